@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from . import catalog
-from . import q_transform  # noqa: F401  (registers queries)
+from . import q_query, q_transform, q_validate  # noqa: F401  (register queries)
 
 
 def queries():
