@@ -161,7 +161,8 @@ def auto_map(headers: DataFrame, synonyms: dict) -> DataFrame:
     out = headers.join(picks, [FILE, "ordinal"], "left")
     return out.select(
         FILE, "ordinal", "header",
-        F.coalesce(F.element_at(names, F.col("t") + 1), snake_case(F.col("header"))).alias("target"),
+        F.when(F.col("t").isNotNull(), F.element_at(names, F.col("t") + 1))
+         .otherwise(snake_case(F.col("header"))).alias("target"),
         F.when(F.col("t").isNotNull(), F.lit("synonym")).otherwise(F.lit("snake_case")).alias("how"))
 
 
