@@ -10,7 +10,7 @@ from pyspark.sql.types import BooleanType, NumericType
 
 from ..functions import to_num
 from ..spec import PROVIDER_FIELD
-from .lineage import FILE, LINEAGE, ORD
+from .lineage import FILE, LINEAGE, ORD, qc
 
 log = logging.getLogger(__name__)
 
@@ -47,11 +47,14 @@ def group_sum(df: DataFrame, keys, var_name: str | None = None, per_file: bool =
     if not numeric:
         log.warning("combine_on=%s requested but no numeric columns to aggregate", ",".join(present))
         return df
-    sums = [F.sum(F.col(c).cast("long") if isinstance(df.schema[c].dataType, BooleanType) else F.col(c))
+    sums = [F.sum(qc(c).cast("long") if isinstance(df.schema[c].dataType, BooleanType) else qc(c))
             .alias(c) for c in numeric]
-    out = df.dropna(subset=group).groupBy(*scope, *group).agg(*sums)
-    out = out.withColumn(ORD, F.struct(*[F.col(g) for g in group]))
-    return out.select(*group, *numeric, *scope, ORD)
+    not_null = F.lit(True)
+    for g in group:
+        not_null = not_null & qc(g).isNotNull()
+    out = df.where(not_null).groupBy(*[qc(c) for c in scope + group]).agg(*sums)
+    out = out.withColumn(ORD, F.struct(*[qc(g) for g in group]))
+    return out.select(*[qc(c) for c in group + numeric + scope], ORD)
 
 
 def provider_totals(df: DataFrame, amount: str = "sales_amount", provider: str = PROVIDER_FIELD) -> DataFrame:
@@ -62,7 +65,7 @@ def provider_totals(df: DataFrame, amount: str = "sales_amount", provider: str =
 def frame_profile(df: DataFrame) -> DataFrame:
     """A3: rows, columns and null cells in one aggregate."""
     cols = [c for c in df.columns if c not in LINEAGE]
-    nulls = sum((F.col(c).isNull().cast("long") for c in cols), F.lit(0).cast("long"))
+    nulls = sum((qc(c).isNull().cast("long") for c in cols), F.lit(0).cast("long"))
     return df.agg(F.count(F.lit(1)).alias("rows"), F.sum(nulls).alias("null_cells")) \
         .select("rows", F.lit(len(cols)).alias("columns"),
                 F.coalesce("null_cells", F.lit(0).cast("long")).alias("null_cells"))
@@ -70,8 +73,8 @@ def frame_profile(df: DataFrame) -> DataFrame:
 
 def value_counts_top(df: DataFrame, column: str, k: int = 25) -> DataFrame:
     """A4 / D3: most frequent values, nulls left out, ties broken by value."""
-    return (df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("count"))
-            .orderBy(F.desc("count"), F.asc(column)).limit(k))
+    return (df.where(qc(column).isNotNull()).groupBy(qc(column)).agg(F.count(F.lit(1)).alias("count"))
+            .orderBy(F.desc("count"), qc(column).asc()).limit(k))
 
 
 def column_profile(df: DataFrame, columns=None, per_file: bool = True) -> DataFrame:
@@ -84,12 +87,12 @@ def column_profile(df: DataFrame, columns=None, per_file: bool = True) -> DataFr
     scope = [FILE] if per_file and FILE in df.columns else []
     aggs = []
     for i, c in enumerate(cols):
-        num = to_num(F.col(c), df.schema[c].dataType)
+        num = to_num(qc(c), df.schema[c].dataType)
         aggs += [
             F.avg(num.isNotNull().cast("double")).alias(f"r{i}"),
             F.count(num).alias(f"n{i}"),
             F.sum(num.between(YEAR_LOW, YEAR_HIGH).cast("long")).alias(f"y{i}"),
-            F.avg(F.length(F.coalesce(F.col(c).cast("string"), F.lit("")))).alias(f"l{i}"),
+            F.avg(F.length(F.coalesce(qc(c).cast("string"), F.lit("")))).alias(f"l{i}"),
         ]
     wide = df.groupBy(*scope).agg(*aggs)
     entries = ", ".join(f"{i}, '{c.replace(chr(39), chr(39) * 2)}', r{i}, n{i}, y{i}, l{i}"

@@ -8,7 +8,7 @@ from pyspark.sql.types import StringType
 
 from ..functions import parse_timestamp, strip_thousands, to_num, to_whole, trim_ws
 from ..spec import DEFAULT_DATE_FORMATS
-from .lineage import LINEAGE
+from .lineage import LINEAGE, qc
 
 # Declared type names and the family they belong to.
 DATE_TYPES = {"date", "datetime"}
@@ -52,7 +52,7 @@ def typed_value(df: DataFrame, column: str, type_name: str,
     if t in FLOAT_TYPES:
         return to_num(column, dtype)                            # C7
     if t in TEXT_TYPES:
-        return F.col(column).cast("string")                     # C8
+        return qc(column).cast("string")                     # C8
     return None
 
 
@@ -74,7 +74,7 @@ def coerce_types(df: DataFrame, type_map: dict, formats=DEFAULT_DATE_FORMATS,
             continue
         typed[column] = expr
         if flag_prefix is not None:
-            flags[f"{flag_prefix}{column}"] = failure_flag(F.col(column), expr)
+            flags[f"{flag_prefix}{column}"] = failure_flag(qc(column), expr)
     if flags:
         df = df.withColumns(flags)
     return (df.withColumns(typed) if typed else df), list(typed)
@@ -91,7 +91,7 @@ def failure_counts(df: DataFrame, type_map: dict, formats=DEFAULT_DATE_FORMATS,
         if expr is None:
             continue
         exprs.append((column, str(type_name).lower(),
-                      F.sum(failure_flag(F.col(column), expr)).alias(column)))
+                      F.sum(failure_flag(qc(column), expr)).alias(column)))
     group = group or []
     if not exprs:
         return df.sparkSession.createDataFrame([], "column string, type string, failures long")

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.lineage import qc
+
 HOW = {"inner": "inner", "left": "left", "right": "right", "outer": "full", "full": "full"}
 
 
@@ -24,7 +26,7 @@ def stack_by_name(frames: list[DataFrame]) -> DataFrame:
             types.setdefault(field.name, set()).add(field.dataType.simpleString())
     clash = {c for c, t in types.items() if len(t) > 1}
     if clash:
-        frames = [f.withColumns({c: F.col(c).cast("string") for c in f.columns if c in clash})
+        frames = [f.withColumns({c: qc(c).cast("string") for c in f.columns if c in clash})
                   for f in frames]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
@@ -69,8 +71,8 @@ def merge_two(left: DataFrame, right: DataFrame, keys: list[str], how: str, suff
     check_keys(left, right, keys)
     join_type = HOW[how]
     overlap = {c for c in right.columns if c in left.columns and c not in keys}
-    r = right.select(*[F.col(c).alias(f"__r_{c}") if c in keys else
-                       F.col(c).alias(f"{c}{suffix}" if c in overlap else c) for c in right.columns])
+    r = right.select(*[qc(c).alias(f"__r_{c}") if c in keys else
+                       qc(c).alias(f"{c}{suffix}" if c in overlap else c) for c in right.columns])
     cond = reduce(lambda a, b: a & b, [left[k].eqNullSafe(r[f"__r_{k}"]) for k in keys])
     joined = left.join(r, cond, join_type)
     if join_type == "right":

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, NumericType
 
-from .lineage import FILE, LINEAGE
+from .lineage import FILE, LINEAGE, qc
 
 OPERATORS = ("=", "!=", ">", ">=", "<", "<=", "contains")
 
@@ -107,7 +107,12 @@ def filter_sql(spark: SparkSession, df: DataFrame, columns, filters, view: str =
 def drop_empty_rows(df: DataFrame, exclude=()) -> DataFrame:
     """drop rows whose data cells are all null (lineage and ``exclude`` not counted)."""
     cols = [c for c in df.columns if c not in LINEAGE and c not in set(exclude)]
-    return df.dropna(how="all", subset=cols) if cols else df
+    if not cols:
+        return df
+    empty = F.lit(True)
+    for c in cols:
+        empty = empty & qc(c).isNull()
+    return df.where(~empty)
 
 
 def sparse_decision(df: DataFrame, threshold: float, per_file: bool = True):
@@ -123,17 +128,17 @@ def sparse_decision(df: DataFrame, threshold: float, per_file: bool = True):
     if not cols:
         return cols, [], None
     scoped = per_file and FILE in df.columns
-    share = [F.avg(F.col(c).isNotNull().cast("double")).alias(c) for c in cols]
+    share = [F.avg(qc(c).isNotNull().cast("double")).alias(c) for c in cols]
     stats = df.groupBy(FILE).agg(*share) if scoped else df.agg(*share)
-    keep = [F.coalesce(F.col(c) >= threshold, F.lit(False)) for c in cols]
+    keep = [F.coalesce(qc(c) >= threshold, F.lit(False)) for c in cols]
     any_keep = keep[0]
     for k in keep[1:]:
         any_keep = any_keep | k
     decision = stats.select(*([FILE] if scoped else []),
                             *[F.when(any_keep, k).otherwise(F.lit(True)).alias(c)
                               for k, c in zip(keep, cols)])
-    summary = decision.agg(*[F.max(F.col(c).cast("int")).alias(f"any_{i}") for i, c in enumerate(cols)],
-                           *[F.min(F.col(c).cast("int")).alias(f"all_{i}") for i, c in enumerate(cols)]
+    summary = decision.agg(*[F.max(qc(c).cast("int")).alias(f"any_{i}") for i, c in enumerate(cols)],
+                           *[F.min(qc(c).cast("int")).alias(f"all_{i}") for i, c in enumerate(cols)]
                            ).first()
     if summary is None or summary[0] is None:   # empty frame: unchanged
         return cols, [], None
@@ -141,7 +146,7 @@ def sparse_decision(df: DataFrame, threshold: float, per_file: bool = True):
     mixed = [c for i, c in enumerate(cols) if c in kept and summary[f"all_{i}"] == 0]
     flags = None
     if mixed and scoped:
-        flags = decision.select(FILE, *[F.col(c).alias(f"__keep_{c}") for c in mixed])
+        flags = decision.select(FILE, *[qc(c).alias(f"__keep_{c}") for c in mixed])
     return kept, mixed, flags
 
 
@@ -150,10 +155,10 @@ def apply_sparse_decision(df: DataFrame, kept, mixed, flags) -> DataFrame:
     out = df
     if mixed and flags is not None:
         out = out.join(flags, FILE, "left")
-        out = out.select(*[F.when(F.col(f"__keep_{c}"), F.col(c)).alias(c) if c in mixed else F.col(c)
+        out = out.select(*[F.when(F.col(f"__keep_{c}"), qc(c)).alias(c) if c in mixed else qc(c)
                            for c in df.columns])
     keep = set(kept)
-    return out.select(*[c for c in df.columns if c in keep or c in LINEAGE or c.startswith("__")])
+    return out.select(*[qc(c) for c in df.columns if c in keep or c in LINEAGE or c.startswith("__")])
 
 
 def drop_sparse_columns(df: DataFrame, threshold: float, per_file: bool = True) -> DataFrame:
@@ -164,4 +169,4 @@ def drop_sparse_columns(df: DataFrame, threshold: float, per_file: bool = True)
 
 def drop_null_dates(df: DataFrame, column: str) -> DataFrame:
     """drop rows without a parsed date."""
-    return df.where(F.col(column).isNotNull()) if column in df.columns else df
+    return df.where(qc(column).isNotNull()) if column in df.columns else df

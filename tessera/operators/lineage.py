@@ -43,3 +43,8 @@ def with_generated_order(df: DataFrame) -> DataFrame:
 
 def has(df: DataFrame, name: str) -> bool:
     return name in df.columns
+
+
+def qc(name: str):
+    """Column by its exact name (dots, spaces and back-quotes in file headers are literal)."""
+    return F.col("`" + name.replace("`", "``") + "`")

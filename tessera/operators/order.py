@@ -7,7 +7,7 @@ import logging
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .lineage import FILE, LINEAGE, ORD
+from .lineage import FILE, LINEAGE, ORD, qc
 
 log = logging.getLogger(__name__)
 
@@ -27,9 +27,9 @@ def dedupe_first(df: DataFrame, keys, per_file: bool = True) -> DataFrame:
         raise ValueError("dedupe_first needs the __ord column for keep-first semantics")
     scope = [FILE] if per_file and FILE in df.columns and FILE not in present else []
     rest = [c for c in df.columns if c not in present and c not in scope]
-    first = F.min_by(F.struct(*[F.col(c) for c in rest]), F.col(ORD)).alias("__first")
-    out = df.groupBy(*scope, *present).agg(first)
-    return out.select(*[F.col(c) if c in present or c in scope else F.col(f"__first.{c}").alias(c)
+    first = F.min_by(F.struct(*[qc(c) for c in rest]), F.col(ORD)).alias("__first")
+    out = df.groupBy(*[qc(c) for c in scope + present]).agg(first)
+    return out.select(*[qc(c) if c in present or c in scope else F.col("__first")[c].alias(c)
                         for c in df.columns])
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..spec import PROVIDER_FIELD, JobSpec
-from .lineage import FILE, LINEAGE
+from .lineage import FILE, LINEAGE, qc
 
 
 def _keep_lineage(df: DataFrame) -> list[str]:
@@ -18,7 +18,7 @@ def _keep_lineage(df: DataFrame) -> list[str]:
 def select_present(df: DataFrame, columns) -> DataFrame:
     """The listed columns that exist, in list order (lineage kept)."""
     present = [c for c in dict.fromkeys(columns) if c in df.columns]
-    return df.select(*present, *[c for c in _keep_lineage(df) if c not in present])
+    return df.select(*[qc(c) for c in present], *[c for c in _keep_lineage(df) if c not in present])
 
 
 def rename(df: DataFrame, mapping: dict) -> DataFrame:
@@ -38,7 +38,7 @@ def positional_select(df: DataFrame, spec: JobSpec, raw_columns: list[str] | Non
         if cell.column >= len(cols):
             continue
         target = cell.alias or spec.column_mappings.get(cell.name, cell.name)
-        picked.append(F.col(cols[cell.column]).alias(target))
+        picked.append(qc(cols[cell.column]).alias(target))
     return df.select(*picked, *_keep_lineage(df))
 
 
@@ -59,7 +59,7 @@ def replace_headers(df: DataFrame, headers: list[str]) -> DataFrame:
         return df
     data = [c for c in df.columns if c not in LINEAGE]
     names = list(headers)[: len(data)] + data[len(headers):]
-    return df.select(*[F.col(old).alias(new) for old, new in zip(data, names)], *_keep_lineage(df))
+    return df.select(*[qc(old).alias(new) for old, new in zip(data, names)], *_keep_lineage(df))
 
 
 def common_columns(frames: dict, order_from: str | None = None) -> tuple[list[str], dict]:
@@ -80,7 +80,7 @@ def common_columns(frames: dict, order_from: str | None = None) -> tuple[list[st
 
 def align_to(df: DataFrame, columns: list[str]) -> DataFrame:
     """Select ``columns``; absent ones become null text (P7 alignment)."""
-    return df.select(*[F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c)
+    return df.select(*[qc(c) if c in df.columns else F.lit(None).cast("string").alias(c)
                        for c in columns], *_keep_lineage(df))
 
 
@@ -129,4 +129,4 @@ def stamp_provider(df: DataFrame, spec: JobSpec) -> DataFrame:
 def project(df: DataFrame, columns) -> DataFrame:
     """P10: chosen columns in the given order; none chosen means all."""
     cols = [c for c in (columns or []) if c in df.columns]
-    return df.select(*cols) if cols else df
+    return df.select(*[qc(c) for c in cols]) if cols else df

@@ -7,7 +7,7 @@ import logging
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .lineage import LINEAGE, ORD
+from .lineage import LINEAGE, ORD, qc
 
 log = logging.getLogger(__name__)
 
@@ -32,8 +32,8 @@ def unpivot(df: DataFrame, ids: list[str], var_name: str, value_name: str):
     cast_to = None if len(types) == 1 else "string"
     src = df
     if cast_to:
-        src = df.select(*[F.col(c) for c in present + lineage],
-                        *[F.col(c).cast(cast_to).alias(c) for c in values])
+        src = df.select(*[qc(c) for c in present + lineage],
+                        *[qc(c).cast(cast_to).alias(c) for c in values])
     out = src.unpivot(present + lineage, values, var_name, value_name)
     if ORD in lineage:
         index = F.create_map(*[x for i, v in enumerate(values) for x in (F.lit(v), F.lit(i))])

@@ -9,7 +9,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from ..functions import parse_timestamp, to_num
 from ..spec import JobSpec
 from .clean import DATE_TYPES, FLOAT_TYPES, INT_TYPES, TEXT_TYPES, typed_value
-from .lineage import FILE, LINEAGE, ORD, SHEET
+from .lineage import FILE, LINEAGE, ORD, SHEET, qc
 
 # The output contract. All optional, nullable, coerced; extra columns allowed.
 CONTRACT = (
@@ -51,8 +51,8 @@ def drift_by_file(df: DataFrame, expected: list[str]) -> DataFrame:
     bounded by the width of the frame.
     """
     cols = [c for c in df.columns if c not in LINEAGE]
-    counts = df.groupBy(FILE).agg(*[F.count(F.col(c)).alias(c) for c in cols])
-    present = F.filter(F.array(*[F.when(F.col(c) > 0, F.lit(c)) for c in cols]),
+    counts = df.groupBy(FILE).agg(*[F.count(qc(c)).alias(c) for c in cols])
+    present = F.filter(F.array(*[F.when(qc(c) > 0, F.lit(c)) for c in cols]),
                        lambda x: x.isNotNull())
     exp = F.array(*[F.lit(c) for c in expected]) if expected else F.array().cast("array<string>")
     return counts.select(
@@ -84,7 +84,7 @@ def _contract_exprs(df: DataFrame, spec: JobSpec):
         elif kind == "double":
             out[name] = to_num(name, dtype)
         else:
-            out[name] = F.col(name).cast("string")
+            out[name] = qc(name).cast("string")
     return out
 
 
@@ -95,9 +95,9 @@ def _cell_errors(df: DataFrame, typed: dict, check: dict) -> DataFrame:
     file_col = F.col(FILE) if FILE in df.columns else F.lit(None).cast("string")
     row_col = F.to_json(F.col(ORD)) if ORD in df.columns else F.lit(None).cast("string")
     entries = F.array(*[
-        F.when(F.col(c).isNotNull() & expr.isNull(),
+        F.when(qc(c).isNotNull() & expr.isNull(),
                F.struct(F.lit(c).alias("column"), F.lit(check[c]).alias("check"),
-                        F.col(c).cast("string").alias("failure_case")))
+                        qc(c).cast("string").alias("failure_case")))
         for c, expr in typed.items()])
     bad = df.select(file_col.alias(FILE), row_col.alias("row"),
                     F.explode(F.filter(entries, lambda e: e.isNotNull())).alias("e"))

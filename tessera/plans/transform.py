@@ -20,7 +20,7 @@ from ..functions import parse_timestamp, to_num
 from ..operators.aggregate import group_sum
 from ..operators.clean import strip_thousands_text, trim_text
 from ..operators.filters import apply_sparse_decision, sparse_decision
-from ..operators.lineage import FILE, LINEAGE
+from ..operators.lineage import FILE, LINEAGE, qc
 from ..operators.order import dedupe_first
 from ..operators.project import stamp_provider
 from ..operators.reshape import unpivot
@@ -54,7 +54,7 @@ def transform(df: DataFrame, spec: JobSpec, per_file: bool = True) -> Transforme
     if spec.drop_empty_rows and source_cols:                             # F9 (source columns)
         empty = F.lit(True)
         for c in source_cols:
-            empty = empty & F.col(c).isNull()
+            empty = empty & qc(c).isNull()
         df = df.withColumn(EMPTY, empty)
     else:
         df = df.withColumn(EMPTY, F.lit(False))
