@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 FILE = "source_file"
 ORD = "__ord"
 SHEET = "source_sheet"
-LINEAGE = (FILE, ORD)
+# names of the columns a row's own file has (set by scans that stack several header layouts)
+LAYOUT = "__cols"
+LINEAGE = (FILE, ORD, LAYOUT)
 
 
 def data_columns(df: DataFrame, exclude=()) -> list[str]:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..spec import PROVIDER_FIELD, JobSpec
-from .lineage import FILE, LINEAGE, qc
+from .lineage import FILE, LAYOUT, LINEAGE, qc
 
 
 def _keep_lineage(df: DataFrame) -> list[str]:
@@ -18,12 +18,21 @@ def _keep_lineage(df: DataFrame) -> list[str]:
 def select_present(df: DataFrame, columns) -> DataFrame:
     """The listed columns that exist, in list order (lineage kept)."""
     present = [c for c in dict.fromkeys(columns) if c in df.columns]
-    return df.select(*[qc(c) for c in present], *[c for c in _keep_lineage(df) if c not in present])
+    out = df.select(*[qc(c) for c in present], *[c for c in _keep_lineage(df) if c not in present])
+    if LAYOUT in out.columns:
+        keep = F.array(*[F.lit(c) for c in present]) if present else F.array().cast("array<string>")
+        out = out.withColumn(LAYOUT, F.array_intersect(F.col(LAYOUT), keep))
+    return out
 
 
 def rename(df: DataFrame, mapping: dict) -> DataFrame:
     """Rename by mapping; unmapped columns keep their name."""
-    return df.withColumnsRenamed({k: v for k, v in mapping.items() if k in df.columns and k != v})
+    renames = {k: v for k, v in mapping.items() if k in df.columns and k != v}
+    out = df.withColumnsRenamed(renames)
+    if LAYOUT in out.columns and renames:
+        m = F.create_map(*[x for k, v in renames.items() for x in (F.lit(k), F.lit(v))])
+        out = out.withColumn(LAYOUT, F.transform(LAYOUT, lambda x: F.coalesce(F.try_element_at(m, x), x)))
+    return out
 
 
 def positional_select(df: DataFrame, spec: JobSpec, raw_columns: list[str] | None = None) -> DataFrame:

@@ -7,7 +7,7 @@ import logging
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .lineage import LINEAGE, ORD, qc
+from .lineage import LAYOUT, LINEAGE, ORD, qc
 
 log = logging.getLogger(__name__)
 
@@ -35,6 +35,11 @@ def unpivot(df: DataFrame, ids: list[str], var_name: str, value_name: str):
         src = df.select(*[qc(c) for c in present + lineage],
                         *[qc(c).cast(cast_to).alias(c) for c in values])
     out = src.unpivot(present + lineage, values, var_name, value_name)
+    if LAYOUT in lineage:
+        # a stacked frame: a file only melts the columns it has
+        out = out.where(F.array_contains(F.col(LAYOUT), F.col(var_name)))
+        out = out.withColumn(LAYOUT, F.array_union(F.array_intersect(LAYOUT, F.array(*[F.lit(c) for c in present])),
+                                                  F.array(F.lit(var_name), F.lit(value_name))))
     if ORD in lineage:
         index = F.create_map(*[x for i, v in enumerate(values) for x in (F.lit(v), F.lit(i))])
         out = out.withColumn(ORD, F.struct(F.try_element_at(index, F.col(var_name)).alias("v"),

@@ -13,8 +13,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.errors import AnalysisException
 
-from ..operators.lineage import FILE, LINEAGE, ORD, SHEET, qc
+from ..operators.lineage import FILE, LAYOUT, LINEAGE, ORD, SHEET, qc
 from ..operators.validate import OWN_COLUMNS, validate
 from ..sinks.outputs import quarantine_rows, write_clean, write_frame
 from ..spec import JobSpec
@@ -81,9 +82,17 @@ def run_job(spark: SparkSession, spec: JobSpec, paths, out_dir: str, kind: str |
         F.sum(kept.cast("long")).alias("rows_kept"))
     err = errors.groupBy(FILE).agg(F.count(F.lit(1)).alias("errors"))
     schema_errors = errors.where(F.col(FILE).isNull()).limit(1).count() > 0
-    present = typed.groupBy(FILE).agg(*[F.count(qc(c)).alias(f"__n{i}") for i, c in enumerate(data_cols)])
-    names = F.filter(F.array(*[F.when(F.col(f"__n{i}") > 0, F.lit(c)) for i, c in enumerate(data_cols)]),
-                     lambda x: x.isNotNull())
+    if LAYOUT in typed.columns:
+        # each file's own columns (a stacked frame null-fills the others)
+        extra_cols = F.array(*[F.lit(c) for c in data_cols if c == "provider_id"]) if "provider_id" in data_cols \
+            else F.array().cast("array<string>")
+        live_cols = F.array(*[F.lit(c) for c in data_cols])
+        present = typed.groupBy(FILE).agg(F.array_distinct(F.flatten(F.collect_set(LAYOUT))).alias("__names"))
+        names = F.array_union(F.array_intersect("__names", live_cols), extra_cols)
+    else:
+        present = typed.groupBy(FILE).agg(*[F.count(qc(c)).alias(f"__n{i}") for i, c in enumerate(data_cols)])
+        names = F.filter(F.array(*[F.when(F.col(f"__n{i}") > 0, F.lit(c)) for i, c in enumerate(data_cols)]),
+                         lambda x: x.isNotNull())
     exp = F.array(*[F.lit(c) for c in expected]) if expected else F.array().cast("array<string>")
     drift = present.select(FILE, F.array_sort(F.array_except(exp, names)).alias("missing"),
                            F.array_sort(F.array_except(names, exp)).alias("extra")) if expected else \
@@ -106,13 +115,16 @@ def run_job(spark: SparkSession, spec: JobSpec, paths, out_dir: str, kind: str |
     clean_path = os.path.join(out_dir, "clean")
     quarantine_path = os.path.join(out_dir, "quarantine")
     ledger_path = os.path.join(out_dir, "ledger")
-    good = typed.join(failed, FILE, "left_anti")
+    good = typed.join(failed, FILE, "left_anti").drop(LAYOUT)
     write_clean(good, clean_path, fmt)
-    write_frame(quarantine_rows(raw, failed).drop(ORD), quarantine_path, fmt, ["company", FILE])
+    write_frame(quarantine_rows(raw, failed).drop(ORD, LAYOUT), quarantine_path, fmt, ["company", FILE])
 
-    written = spark.read.format(fmt).option("header", True).load(clean_path) if fmt == "csv" else \
-        spark.read.parquet(clean_path)
-    out_counts = written.groupBy(FILE).agg(F.count(F.lit(1)).alias("rows_out"))
+    try:
+        written = spark.read.format(fmt).option("header", True).load(clean_path) if fmt == "csv" else \
+            spark.read.parquet(clean_path)
+        out_counts = written.groupBy(FILE).agg(F.count(F.lit(1)).alias("rows_out"))
+    except AnalysisException:          # every file failed: nothing was written
+        out_counts = spark.createDataFrame([], f"{FILE} string, rows_out long")
     dedupe = None
     if t.pre_dedupe is not None:
         dedupe = t.pre_dedupe.groupBy(FILE).agg(F.count(F.lit(1)).alias("rows_before_dedupe"))

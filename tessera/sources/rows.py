@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import to_num
 from ..operators.discover import FILL_SHARE, TEXT_SHARE
-from ..operators.lineage import FILE, ORD, SHEET, qc
+from ..operators.lineage import FILE, LAYOUT, ORD, SHEET, qc
 from ..spec import JobSpec
 
 log = logging.getLogger(__name__)
@@ -104,7 +104,7 @@ def apply_header(rows: DataFrame, spec: JobSpec, header_rows: DataFrame | None =
     n_layouts = layouts_df.count()
     if n_layouts > MAX_LAYOUTS:
         raise ValueError(f"{n_layouts} distinct header layouts; split the input by template")
-    found = [(r["__layout"], list(r["names"] or [])) for r in layouts_df.collect()]
+    found = [(r["__layout"], _trim(list(r["names"] or []))) for r in layouts_df.collect()]
     layouts = [names for _, names in found]
     data = tagged.where(F.col("row") > F.col("header_row")).join(head.select(*scope, "__layout"), scope)
     frames = []
@@ -112,7 +112,8 @@ def apply_header(rows: DataFrame, spec: JobSpec, header_rows: DataFrame | None =
         unique = _unique_names(names)
         part = data.where(F.col("__layout") == F.lit(key))
         width_cols = [F.try_element_at("vals", F.lit(i + 1)).alias(n) for i, n in enumerate(unique)]
-        frames.append(part.select(*width_cols, *_lineage(scope)))
+        frames.append(part.select(*width_cols, *_lineage(scope),
+                                  F.array(*[F.lit(n) for n in unique]).cast("array<string>").alias(LAYOUT)))
     if not frames:
         return rows.select(*_lineage(scope)).limit(0), []
     from ..operators.combine import stack_by_name
@@ -120,12 +121,21 @@ def apply_header(rows: DataFrame, spec: JobSpec, header_rows: DataFrame | None =
     return out, layouts
 
 
+def _trim(names: list) -> list:
+    """Header cells after the last named one are padding, not columns."""
+    while names and (names[-1] is None or str(names[-1]).strip() == ""):
+        names = names[:-1]
+    return names
+
+
 def _lineage(scope) -> list[Column]:
     cols = [F.col(FILE)]
     if SHEET in scope:
         cols.append(F.col(SHEET))
-    order = [F.col(FILE).alias("f")] + ([F.col(SHEET).alias("s")] if SHEET in scope else []) + \
-        [F.col("row").alias("i")]
+    # one order shape for every scan (sheet null for delimited text), so scans stack
+    order = [F.col(FILE).alias("f"),
+             (F.col(SHEET) if SHEET in scope else F.lit(None).cast("string")).alias("s"),
+             F.col("row").cast("long").alias("i")]
     cols.append(F.struct(*order).alias(ORD))
     return cols
 
