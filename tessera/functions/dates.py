@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
+from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -10,6 +12,50 @@ from pyspark.sql.types import DateType, TimestampNTZType, TimestampType
 
 from ..spec import DEFAULT_DATE_FORMATS
 
+# Datetime pattern letters and the text shape each stands for.
+_FIELD_SHAPES = {
+    "y": r"\d{1,4}", "M": r"[0-9A-Za-z]{1,9}", "d": r"\d{1,2}", "H": r"\d{1,2}", "h": r"\d{1,2}",
+    "m": r"\d{1,2}", "s": r"\d{1,2}", "S": r"\d{1,9}", "a": r"[AaPp][Mm]", "E": r"[A-Za-z]{2,9}",
+    "X": r"(Z|[+-]\d{2}(:?\d{2})?)", "x": r"[+-]\d{2}(:?\d{2})?", "Z": r"[+-]\d{4}",
+}
+
+
+@lru_cache(maxsize=256)
+def layout_shape(fmt: str) -> str:
+    """A regular expression every text parsable by ``fmt`` matches (a cheap pre-test).
+
+    A failed ``try_to_timestamp`` is far more expensive than a regex miss, so text is only handed
+    to the parser for the layouts whose shape it has.
+    """
+    out, i = ["^"], 0
+    while i < len(fmt):
+        ch = fmt[i]
+        if ch == "'":
+            j = fmt.find("'", i + 1)
+            j = len(fmt) if j < 0 else j
+            out.append(re.escape(fmt[i + 1:j]) if j > i + 1 else "'")
+            i = j + 1
+            continue
+        if ch.isalpha():
+            j = i
+            while j < len(fmt) and fmt[j] == ch:
+                j += 1
+            run = j - i
+            if ch in "dHhms" and run == 2:
+                out.append(r"\d{1,2}")
+            elif ch == "y" and run == 4:
+                out.append(r"\d{4}")
+            elif ch == "S":
+                out.append(r"\d{1,%d}" % max(run, 1))
+            else:
+                out.append(_FIELD_SHAPES.get(ch, "."))
+            i = j
+            continue
+        out.append(re.escape(ch))
+        i += 1
+    out.append("$")
+    return "".join(out)
+
 
 def parse_timestamp(c: Column | str, formats: Sequence[str] = DEFAULT_DATE_FORMATS,
                     dtype=None) -> Column:
@@ -21,7 +67,11 @@ def parse_timestamp(c: Column | str, formats: Sequence[str] = DEFAULT_DATE_FORMA
     c = F.col(c) if isinstance(c, str) else c
     if isinstance(dtype, (DateType, TimestampType, TimestampNTZType)):
         return c.cast("timestamp_ntz")
+    def first_layout(t: Column) -> Column:
+        parsed = [F.when(t.rlike(layout_shape(fmt)), F.try_to_timestamp(t, F.lit(fmt))) for fmt in formats]
+        return (parsed[0] if len(parsed) == 1 else F.coalesce(*parsed)).cast("timestamp_ntz")
+
+    # the text is bound once (a one-element array and a lambda) so that the tests of all layouts
+    # share it instead of repeating the cleaning expression per layout
     text = F.trim(c.cast("string"))
-    parsed = [F.try_to_timestamp(text, F.lit(fmt)) for fmt in formats]
-    value = parsed[0] if len(parsed) == 1 else F.coalesce(*parsed)
-    return value.cast("timestamp_ntz")
+    return F.element_at(F.transform(F.array(text), first_layout), 1)

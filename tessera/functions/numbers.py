@@ -13,8 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 # Accepted number shapes.
-NUMBER_PATTERN = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
-INFINITY_PATTERN = r"^\s*[+-]?(?i:inf|infinity)\s*$"
+NUMBER_PATTERN = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|(?i:inf|infinity))\s*$"
 
 
 def to_num(c: Column | str, dtype=None) -> Column:
@@ -23,8 +22,7 @@ def to_num(c: Column | str, dtype=None) -> Column:
     if dtype is not None and isinstance(dtype, NumericType):
         return c.cast("double")
     text = c.cast("string")
-    return (F.when(text.rlike(NUMBER_PATTERN) | text.rlike(INFINITY_PATTERN),
-                   F.trim(text).try_cast("double")))
+    return F.when(text.rlike(NUMBER_PATTERN), F.trim(text).try_cast("double"))
 
 
 def to_whole(c: Column | str, dtype=None) -> Column:

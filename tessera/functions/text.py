@@ -51,18 +51,22 @@ MONTH_WORDS = {
 MONTH_ABBREVIATIONS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
 
 
+# Whitespace as Python's str.strip/isspace defines it (rule: every code point with isspace()).
+WHITESPACE = "".join(ch for ch in map(chr, range(0x3001)) if ch.isspace())
+
+
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
 def trim_ws(c: Column | str) -> Column:
-    """Strip Unicode whitespace at both ends; null stays null."""
-    return F.regexp_replace(_col(c), r"(?U)^\s+|\s+$", "")
+    """Strip whitespace at both ends (character set, no regex); null stays null."""
+    return F.btrim(_col(c), F.lit(WHITESPACE))
 
 
 def strip_thousands(c: Column | str) -> Column:
     """Remove commas and every whitespace character (thousands separators)."""
-    return F.regexp_replace(_col(c), r"(?U)[,\s]", "")
+    return F.translate(_col(c), "," + WHITESPACE, "")
 
 
 def snake_case(c: Column | str) -> Column:

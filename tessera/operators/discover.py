@@ -84,14 +84,21 @@ def _hits_udf(pools: list[list[str]]):
 
 
 def synonym_hits(headers: DataFrame, synonyms: dict, header_col: str = "header") -> DataFrame:
-    """Per header, every target it could take: ``(…, t, target, sub, close)`` rows."""
+    """Per header, every target it could take: ``(…, t, target, sub, close)`` rows.
+
+    The matching runs once per distinct header text (corpora repeat the same headers across many
+    files) and is joined back on the text.
+    """
     targets = list(synonyms)
     pools = [[t] + list(synonyms[t]) for t in targets]
     names = F.array(*[F.lit(t) for t in targets])
-    h = headers.withColumn("__hits", _hits_udf(pools)(F.col(header_col)))
-    return (h.select(*headers.columns, F.explode("__hits").alias("h"))
-            .select(*headers.columns, F.col("h.t").alias("t"), F.element_at(names, F.col("h.t") + 1).alias("target"),
-                    F.col("h.sub").alias("sub"), F.col("h.close").alias("close")))
+    texts = headers.select(F.col(header_col).alias("__h")).where(F.col("__h").isNotNull()).distinct()
+    hits = (texts.withColumn("__hits", _hits_udf(pools)(F.col("__h")))
+            .select("__h", F.explode("__hits").alias("h")))
+    joined = headers.join(hits, headers[header_col] == hits["__h"])
+    return joined.select(*[headers[c] for c in headers.columns], F.col("h.t").alias("t"),
+                         F.element_at(names, F.col("h.t") + 1).alias("target"),
+                         F.col("h.sub").alias("sub"), F.col("h.close").alias("close"))
 
 
 _ASSIGN = StructType([StructField(FILE, StringType()), StructField("ordinal", IntegerType()),
@@ -210,8 +217,13 @@ def best_target_udf(synonyms: dict):
 
 
 def best_target(headers: DataFrame, synonyms: dict, header_col: str = "header") -> DataFrame:
-    """M3: best target by similarity ratio (>= 0.6) of normalised texts; first best wins."""
-    return headers.withColumn("target", best_target_udf(synonyms)(F.col(header_col)))
+    """M3: best target by similarity ratio (>= 0.6) of normalised texts; first best wins.
+
+    Scored once per distinct header text, then joined back."""
+    texts = headers.select(F.col(header_col).alias("__h")).where(F.col("__h").isNotNull()).distinct()
+    scored = texts.withColumn("target", best_target_udf(synonyms)(F.col("__h")))
+    out = headers.join(scored, headers[header_col].eqNullSafe(scored["__h"]), "left")
+    return out.select(*[headers[c] for c in headers.columns], "target")
 
 
 # ---------------------------------------------------------------------------------------------

@@ -50,3 +50,16 @@ def has(df: DataFrame, name: str) -> bool:
 def qc(name: str):
     """Column by its exact name (dots, spaces and back-quotes in file headers are literal)."""
     return F.col("`" + name.replace("`", "``") + "`")
+
+
+def spread(df: DataFrame, min_splits: int | None = None) -> DataFrame:
+    """Round-robin the rows over all cores when a scan yields fewer splits than cores.
+
+    A file with one row group is read by one task; the string and parse work after it would then
+    run on one core. Large inputs have far more splits than cores and are returned untouched (no
+    shuffle is added). Call it directly on a scan, after the lineage columns are attached.
+    """
+    cores = min_splits or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)

@@ -211,7 +211,7 @@ def q_mapping_coverage(spark, sf_dir):
 
 
 def _sheet_like(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem")
+    li = table(spark, sf_dir, "lineitem", balance=True)
     return li.select(
         F.concat(F.lit("lineitem_"), "l_returnflag").alias(FILE),
         F.concat(F.lit("part "), F.col("l_partkey").cast("string"), F.lit(" of order "),

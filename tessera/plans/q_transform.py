@@ -36,7 +36,7 @@ FLAGSHIP_SPEC = JobSpec(
 def flagship_source(spark, sf_dir):
     """lineitem as a messy sheet: text dates (returned lines carry 'n/a'), text amounts with
     thousands separators."""
-    li = table(spark, sf_dir, "lineitem", lineage=True)
+    li = table(spark, sf_dir, "lineitem", lineage=True, balance=True)
     return li.select(
         "l_partkey",
         F.when(F.col("l_returnflag") == "R", F.lit("n/a"))
@@ -170,7 +170,7 @@ def q_trim_text(spark, sf_dir):
 SELECT l_orderkey, l_linenumber, round(l_extendedprice, 2) AS price, l_returnflag AS flag FROM lineitem
 """)
 def q_strip_thousands(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem")
+    li = table(spark, sf_dir, "lineitem", balance=True)
     df = li.select("l_orderkey", "l_linenumber",
                    F.format_number("l_extendedprice", 2).alias("price"),
                    F.concat(F.lit(" "), "l_returnflag", F.lit(" ")).alias("flag"))
@@ -216,7 +216,7 @@ TYPE_MAP = {"quantity": "int", "price": "float", "shipped": "date", "line": "tex
 
 
 def _lineitem_as_text(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem")
+    li = table(spark, sf_dir, "lineitem", balance=True)
     flag = F.col("l_returnflag")
     return li.select(
         "l_orderkey", "l_linenumber",
@@ -350,7 +350,7 @@ SELECT o_orderkey, token, {_month_sql('token')} AS month
 FROM (SELECT o_orderkey, {_token_sql()} AS token FROM orders)
 """)
 def q_month_token(spark, sf_dir):
-    o = table(spark, sf_dir, "orders")
+    o = table(spark, sf_dir, "orders", balance=True)
     df = o.select("o_orderkey", _token_expr().alias("token"))
     return df.select("o_orderkey", "token", month_token("token").alias("month"))
 
@@ -366,7 +366,7 @@ FROM (
   FROM orders)
 """)
 def q_year_month_label(spark, sf_dir):
-    o = table(spark, sf_dir, "orders")
+    o = table(spark, sf_dir, "orders", balance=True)
     token = _token_expr()
     label = F.when(F.col("o_orderstatus") != "P",
                    F.concat(F.year("o_orderdate").cast("string"), F.lit("/"), token)) \

@@ -81,7 +81,7 @@ def q_drift_gate(spark, sf_dir):
 # V3 V4 V7: coerce / contract validation of lineitem as a contract-shaped sheet
 
 def _lineitem_contract(spark, sf_dir, per_flag_file: bool = False):
-    li = table(spark, sf_dir, "lineitem")
+    li = table(spark, sf_dir, "lineitem", balance=True)
     file_col = (F.concat(F.lit("lineitem_"), F.col("l_returnflag")) if per_flag_file
                 else F.lit("lineitem.parquet"))
     return li.select(
@@ -208,7 +208,7 @@ PROFILE_COLUMNS = [
 
 
 def _profile_source(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem")
+    li = table(spark, sf_dir, "lineitem", balance=True)
     return li.select(
         "l_orderkey", "l_returnflag", "l_quantity", "l_extendedprice", "l_linestatus", "l_discount",
         "l_tax", F.year("l_shipdate").alias("ship_year"),
