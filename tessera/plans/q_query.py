@@ -206,3 +206,33 @@ FROM ({_merge_sql("LEFT JOIN", "l.nationkey")}) m LEFT JOIN {_NAT} n ON m.nation
 def q_merge_three(spark, sf_dir):
     cust, supp, nat = _merge_inputs(spark, sf_dir)
     return merge_frames([cust, supp, nat], ["nationkey"], "left")
+
+
+# ---------------------------------------------------------------------------------------------
+# S1 S12 S16 on files Spark writes from a table (one header line per part file)
+
+
+@register("csv_scan", """
+SELECT o_orderkey, o_custkey, o_totalprice AS sales_amount, CAST(o_orderdate AS TIMESTAMP) AS report_date,
+       o_orderpriority FROM orders
+""")
+def q_csv_scan(spark, sf_dir):
+    import uuid
+
+    from ..operators.clean import coerce_types
+    from ..session import scratch_path
+    from ..sources.csv import read_csv
+    from ..spec import JobSpec
+
+    o = table(spark, sf_dir, "orders")
+    path = scratch_path(spark, f"csv-scan-{uuid.uuid4().hex}")
+    (o.select("o_orderpriority", "o_orderkey", "o_custkey", "o_totalprice",
+              F.date_format("o_orderdate", "yyyy-MM-dd").alias("o_orderdate"))
+      .repartition(4).write.option("header", True).csv(path))
+    spec = JobSpec(source_type="csv",
+                   columns=("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate", "o_orderpriority"),
+                   column_mappings={"o_totalprice": "sales_amount", "o_orderdate": "report_date"},
+                   field_types={"o_orderkey": "int", "o_custkey": "int", "sales_amount": "float",
+                                "report_date": "date"})
+    typed, _ = coerce_types(read_csv(spark, path, spec), spec.field_types)
+    return typed.select("o_orderkey", "o_custkey", "sales_amount", "report_date", "o_orderpriority")

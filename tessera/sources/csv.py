@@ -21,14 +21,28 @@ def csv_width(spark: SparkSession, paths, delimiter: str = ",", encoding: str =
     return int(w or 1)
 
 
+# Offsets tables up to this many file blocks are broadcast (about 10 MB).
+MAX_BROADCAST_BLOCKS = 200_000
+
+
+def block_bound(spark: SparkSession, paths) -> int:
+    """Upper bound of the number of splits of ``paths`` from the listing only (no content read):
+    a split is never smaller than ``spark.sql.files.openCostInBytes``."""
+    open_cost = int(spark.conf.get("spark.sql.files.openCostInBytes", str(4 * 1024 * 1024)).rstrip("b") or 4194304)
+    sizes = spark.read.format("binaryFile").load(paths).select("length")
+    got = sizes.agg(F.sum(F.ceil(F.col("length") / open_cost) + 1)).first()[0]
+    return int(got or 0)
+
+
 def read_csv_rows(spark: SparkSession, paths, delimiter: str = ",", encoding: str = "utf-8",
                   width: int | None = None, multiline: bool = False) -> DataFrame:
-    """Row table of CSV records: ``source_file, row, vals, kinds``.
+    """Row table of CSV records: ``source_file, row, vals`` (cells as text).
 
     Record order per file is rebuilt without one task per file: each split (file block) numbers
     its records with ``monotonically_increasing_id`` (contiguous inside a split), a small
     aggregate gives each block's record count, a running sum over the blocks of a file gives its
-    offset. Text that parses as a number is of kind ``number``; everything else ``text``.
+    offset. The offsets table has one row per block; it is broadcast when the listing proves it
+    small, otherwise joined by the planner's choice.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     width = width or csv_width(spark, paths, delimiter, encoding)
@@ -44,9 +58,14 @@ def read_csv_rows(spark: SparkSession, paths, delimiter: str = ",", encoding: st
     blocks = raw.groupBy("__path", "__blk").agg(F.min("__mid").alias("__m0"), F.count(F.lit(1)).alias("__n"))
     w = Window.partitionBy("__path").orderBy("__blk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = blocks.withColumn("__off", F.coalesce(F.sum("__n").over(w), F.lit(0)))
-    rows = raw.join(offsets, ["__path", "__blk"]).select(
+    if block_bound(spark, paths) <= MAX_BROADCAST_BLOCKS:
+        offsets = F.broadcast(offsets)
+    return raw.join(offsets, ["__path", "__blk"]).select(
         FILE, "__path", (F.col("__off") + F.col("__mid") - F.col("__m0")).alias("row"), "vals")
-    # trailing empty fields of short records are nulls; kinds from the text shape
+
+
+def with_text_kinds(rows: DataFrame) -> DataFrame:
+    """Cell kinds of text cells: ``number`` when the text parses as a number, else ``text``."""
     kinds = F.transform("vals", lambda v: F.when(v.isNull(), F.lit(None))
                         .when(to_num(v).isNotNull(), F.lit("number")).otherwise(F.lit("text")))
     return rows.withColumn("kinds", kinds)

@@ -41,6 +41,9 @@ def header_row_guess_rows(rows: DataFrame, max_rows: int | None = None) -> DataF
     """M1 on a row table: per file/sheet the first row with > 80 % text and > 50 % fill."""
     scope = scope_of(rows)
     r = rows if max_rows is None else rows.where(F.col("row") < max_rows)
+    if "kinds" not in r.columns:
+        from .csv import with_text_kinds
+        r = with_text_kinds(r)
     filled = F.size(F.filter("vals", lambda v: v.isNotNull()))
     texts = F.size(F.filter(F.arrays_zip("vals", "kinds"),
                             lambda z: z["vals"].isNotNull() & (z["kinds"] == "text")))
@@ -101,10 +104,10 @@ def apply_header(rows: DataFrame, spec: JobSpec, header_rows: DataFrame | None =
                    .select(*scope, F.coalesce("__ov", "names").alias("names"))
     head = head.withColumn("__layout", F.to_json("names"))
     layouts_df = head.select("__layout", "names").distinct()
-    n_layouts = layouts_df.count()
-    if n_layouts > MAX_LAYOUTS:
-        raise ValueError(f"{n_layouts} distinct header layouts; split the input by template")
-    found = [(r["__layout"], _trim(list(r["names"] or []))) for r in layouts_df.collect()]
+    got = layouts_df.limit(MAX_LAYOUTS + 1).collect()
+    if len(got) > MAX_LAYOUTS:
+        raise ValueError(f"more than {MAX_LAYOUTS} distinct header layouts; split the input by template")
+    found = [(r["__layout"], _trim(list(r["names"] or []))) for r in got]
     layouts = [names for _, names in found]
     data = tagged.where(F.col("row") > F.col("header_row")).join(head.select(*scope, "__layout"), scope)
     frames = []
@@ -121,6 +124,25 @@ def apply_header(rows: DataFrame, spec: JobSpec, header_rows: DataFrame | None =
     return out, layouts
 
 
+def apply_metadata_headers(rows: DataFrame, cells) -> DataFrame:
+    """Header cells picked on the sheet (``HeaderCell`` with row and column) name the columns.
+
+    The header row is the lowest picked row; for a column picked twice the first pick in
+    (row, column) order wins; data are the rows below the header row; columns are taken by index.
+    """
+    cells = sorted(cells, key=lambda c: (c.row, c.column))
+    if not cells:
+        raise ValueError("no header cells picked")
+    header_row = max(c.row for c in cells)
+    names: dict[int, str] = {}
+    for c in cells:
+        names.setdefault(c.column, c.alias or c.name)
+    scope = scope_of(rows)
+    data = rows.where(F.col("row") > header_row)
+    cols = [F.try_element_at("vals", F.lit(i + 1)).alias(n) for i, n in sorted(names.items())]
+    return data.select(*cols, *_lineage(scope))
+
+
 def _trim(names: list) -> list:
     """Header cells after the last named one are padding, not columns."""
     while names and (names[-1] is None or str(names[-1]).strip() == ""):

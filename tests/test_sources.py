@@ -145,3 +145,40 @@ def test_listing_company_and_pairing(spark, tmp_path):
     assert paired["jan.csv"].endswith("jan.df-template.json")
     assert paired["feb.csv"].endswith("jan.df-template.json")
     assert paired["top.csv"] is None
+
+
+def test_metadata_headers(spark, tmp_path):
+    from tessera.sources.rows import apply_metadata_headers
+    from tessera.spec import HeaderCell
+    p = tmp_path / "meta.csv"
+    p.write_text("Sales Report Q1,,,\n,Product Code,Qty,Amount\nx,A1,3,9.5\ny,B2,4,1.0\n")
+    rows = csvsrc.read_csv_rows(spark, str(p))
+    cells = [HeaderCell("Sales Report Q1", 0, 0, is_metadata=True), HeaderCell("Product Code", 1, 1),
+             HeaderCell("Qty", 2, 1), HeaderCell("Amount", 3, 1), HeaderCell("dup", 1, 1)]
+    out = apply_metadata_headers(rows, cells)
+    assert out.columns[:4] == ["Sales Report Q1", "Product Code", "Qty", "Amount"]
+    assert sorted(tuple(r)[:4] for r in out.collect()) == [("x", "A1", "3", "9.5"), ("y", "B2", "4", "1.0")]
+
+
+def test_header_map_text_and_rows(spark, tmp_path):
+    from tessera.operators.project import apply_header_map, header_map_rows, parse_header_map_text
+    text = "# comment\nSKU -> article_sku\nAmount: sales_amount  # trailing\n\nbroken line\n"
+    assert parse_header_map_text(text) == {"SKU": "article_sku", "Amount": "sales_amount"}
+    (tmp_path / "map.txt").write_text(text)
+    rows = {(r["source"], r["target"]) for r in header_map_rows(spark.read.text(str(tmp_path / "map.txt"))).collect()}
+    assert rows == {("SKU", "article_sku"), ("Amount", "sales_amount")}
+    df = spark.createDataFrame([("a", 1.0)], "sku string, AMOUNT double")
+    assert apply_header_map(df, parse_header_map_text(text)).columns == ["article_sku", "sales_amount"]
+
+
+def test_missing_key_report_and_check():
+    from tessera.operators.combine import missing_key_report
+    rows = missing_key_report({"a.parquet": ["k1", "x"], "b.parquet": ["k1", "k2"]}, ["k1", "k2"])
+    assert rows == [{"file": "a.parquet", "missing": ["k2"], "message": "a.parquet: missing k2"}]
+
+
+def test_jdbc_options():
+    from tessera.sources.jdbc import Connection
+    c = Connection("erp", "postgresql", "db.example", 5433, "sales", user="u", password="p")
+    assert c.reader_options() == {"url": "jdbc:postgresql://db.example:5433/sales", "user": "u", "password": "p"}
+    assert Connection("x", url="jdbc:sqlite:/tmp/a.db").jdbc_url() == "jdbc:sqlite:/tmp/a.db"
