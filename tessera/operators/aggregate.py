@@ -114,3 +114,26 @@ def file_sizes(df: DataFrame) -> DataFrame:
     """Rows per file and the number of data columns."""
     cols = [c for c in df.columns if c not in LINEAGE]
     return df.groupBy(FILE).agg(F.count(F.lit(1)).alias("rows")).withColumn("columns", F.lit(len(cols)))
+
+
+def type_labels(df: DataFrame) -> list[tuple[str, str]]:
+    """C14: display type of each data column from the schema (Date, Boolean, Number, Text).
+
+    Boolean is tested before Number, so boolean columns are labelled as such.
+    """
+    from pyspark.sql.types import DateType, TimestampNTZType, TimestampType
+    out = []
+    for f in df.schema.fields:
+        if f.name in LINEAGE:
+            continue
+        t = f.dataType
+        if isinstance(t, (DateType, TimestampType, TimestampNTZType)):
+            label = "Date"
+        elif isinstance(t, BooleanType):
+            label = "Boolean"
+        elif isinstance(t, NumericType):
+            label = "Number"
+        else:
+            label = "Text"
+        out.append((f.name, label))
+    return out

@@ -57,11 +57,29 @@ def scan(spark: SparkSession, spec: JobSpec, paths, kind: str | None = None, gue
     return frame
 
 
+def kind_is_files(kind, spec) -> bool:
+    return (kind or spec.source_type or "excel").lower() != "sql"
+
+
+def retry_quarantined(spark: SparkSession, spec: JobSpec, ledger_path: str, out_dir: str, **job_args):
+    """K8: run the job again on the inputs the ledger lists as quarantined (latest run only)."""
+    from ..sinks.outputs import retry_paths
+    ledger = spark.read.parquet(ledger_path)
+    latest = ledger.groupBy(FILE).agg(F.max_by("status", "run_ts").alias("status"),
+                                      F.max_by("path", "run_ts").alias("path"))
+    paths = [r["path"] for r in retry_paths(latest).collect() if r["path"]]
+    if not paths:
+        return None
+    return run_job(spark, spec, paths, out_dir, **job_args)
+
+
 def run_job(spark: SparkSession, spec: JobSpec, paths, out_dir: str, kind: str | None = None,
             level: str = "coerce", fail_on_missing: bool = False, fail_on_extra: bool = False,
             guess_header: bool = False, fmt: str = "parquet", company: str | None = None,
             run_ts=None) -> JobResult:
     raw = scan(spark, spec, paths, kind, guess_header)
+    raw_counts = raw.groupBy(FILE).agg(F.count(F.lit(1)).alias("raw_rows"))      # K5: before any step
+    raw_cols = len([c for c in raw.columns if c not in LINEAGE and c != SHEET])
     if company is not None and "company" not in raw.columns:
         raw = raw.withColumn("company", F.lit(company))
     t = transform(raw, spec)
@@ -99,7 +117,7 @@ def run_job(spark: SparkSession, spec: JobSpec, paths, out_dir: str, kind: str |
         present.select(FILE, F.array().cast("array<string>").alias("missing"),
                        F.array().cast("array<string>").alias("extra"))
     gate_extra = F.array_except("extra", F.array(*[F.lit(c) for c in OWN_COLUMNS]))
-    ledger = (stats.join(drift, FILE, "left").join(err, FILE, "left")
+    ledger = (stats.join(drift, FILE, "left").join(err, FILE, "left").join(raw_counts, FILE, "left")
               .withColumn("errors", F.coalesce("errors", F.lit(0)))
               .withColumn("drift_failed",
                           (F.lit(fail_on_missing) & (F.size("missing") > 0)) |
@@ -136,10 +154,17 @@ def run_job(spark: SparkSession, spec: JobSpec, paths, out_dir: str, kind: str |
         result = result.withColumn("dedupe_dropped", F.lit(0).cast("long"))
     info = t.unpivot_info or {}
     result = (result
+              .withColumn("columns_in", F.lit(raw_cols))
               .withColumn("columns_out", F.lit(len(data_cols)))
               .withColumn("unpivot_columns_before", F.lit(info.get("columns_before")).cast("int"))
               .withColumn("unpivot_columns_after", F.lit(info.get("columns_after")).cast("int"))
               .withColumn("message", F.coalesce("reason", F.lit("Processing successful.")))
               .withColumn("run_ts", F.lit(run_ts).cast("timestamp") if run_ts else F.current_timestamp()))
+    if kind_is_files(kind, spec) and paths:
+        from ..sources.files import list_files
+        listing = list_files(spark, paths if isinstance(paths, str) else paths[0], suffixes=None) \
+            if isinstance(paths, str) or len(paths) == 1 else None
+        if listing is not None:
+            result = result.join(listing.select(FILE, "path").dropDuplicates([FILE]), FILE, "left")
     write_frame(result, ledger_path, "parquet", mode="append")
     return JobResult(result, clean_path, quarantine_path, ledger_path)

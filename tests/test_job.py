@@ -94,3 +94,22 @@ def test_run_combine(spark, tmp_path):
         raise AssertionError("strict stack should fail")
     except ValueError as exc:
         assert "b.parquet" in str(exc)
+
+
+def test_ledger_raw_counts_and_retry(spark, tmp_path):
+    from tessera.plans.job import retry_quarantined
+    _inputs(tmp_path / "in")
+    spec = SPEC.with_(required_fields=("region",))
+    res = run_job(spark, spec, str(tmp_path / "in"), str(tmp_path / "out"), kind="csv", level="contract")
+    led = {r[FILE]: r for r in res.ledger.collect()}
+    assert led["good.csv"]["raw_rows"] == 3 and led["good.csv"]["columns_in"] == 4
+    assert led["good.csv"]["path"].endswith("good.csv")
+    again = retry_quarantined(spark, SPEC, res.ledger_path, str(tmp_path / "out2"), kind="csv")
+    assert {r["status"] for r in again.ledger.collect()} == {"processed"}
+
+
+def test_type_labels(spark):
+    from tessera.operators.aggregate import type_labels
+    df = spark.createDataFrame([(True, 1, 1.5, "x")], "b boolean, i int, d double, s string") \
+        .withColumn("t", F.current_timestamp())
+    assert type_labels(df) == [("b", "Boolean"), ("i", "Number"), ("d", "Number"), ("s", "Text"), ("t", "Date")]
