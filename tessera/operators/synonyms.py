@@ -45,24 +45,26 @@ def synonym_frame(spark: SparkSession, synonyms: dict, origin: str = "base") ->
 
 def merge_synonyms(base: DataFrame, extra: DataFrame) -> DataFrame:
     """M6: union of two synonym tables; a term already present for a target (case-blind) is
-    dropped, the first spelling wins. Targets new to ``base`` come after its targets."""
-    n_targets = base.agg(F.max("target_pos")).first()[0]
-    n_targets = -1 if n_targets is None else n_targets
-    b = base.withColumn("__rank", F.lit(0))
-    known = b.select("target", F.col("target_pos").alias("__tpos")).distinct()
-    e = (extra.join(known, "target", "left")
-         .withColumn("target_pos", F.coalesce("__tpos", F.col("target_pos") + n_targets + 1))
-         .drop("__tpos").withColumn("__rank", F.lit(1)))
-    allrows = b.unionByName(e)
+    dropped, the first spelling wins. Targets new to ``base`` come after its targets.
+
+    Two small aggregates (first spelling per term, first position per target) and one join.
+    """
+    allrows = base.withColumn("__rank", F.lit(0)).unionByName(extra.withColumn("__rank", F.lit(1)))
     first = allrows.groupBy("target", F.lower("term").alias("__low")).agg(
-        F.min_by(F.struct("term", "origin", "target_pos", "term_pos", "__rank"),
-                 F.struct("__rank", "term_pos")).alias("w"))
-    out = first.select("target", "w.term", "w.origin", "w.target_pos", "w.term_pos", "w.__rank")
-    # target positions: a target keeps its first position
-    tpos = out.groupBy("target").agg(F.min("target_pos").alias("tp"))
-    return (out.join(tpos, "target").select("target", "term", "origin", F.col("tp").alias("target_pos"),
-                                             (F.col("__rank") * 100000 + F.col("term_pos")).cast("int")
-                                             .alias("term_pos")))
+        F.min_by(F.struct("term", "origin", "term_pos", "__rank"), F.struct("__rank", "term_pos")).alias("w"))
+    tpos = allrows.groupBy("target").agg(F.min(F.struct("__rank", "target_pos")).alias("tp"))
+    return first.join(tpos, "target").select(
+        "target", "w.term", "w.origin",
+        (F.col("tp.__rank") * 100000 + F.col("tp.target_pos")).cast("int").alias("target_pos"),
+        (F.col("w.__rank") * 100000 + F.col("w.term_pos")).cast("int").alias("term_pos"))
+
+
+def known_synonyms(spark: SparkSession, extra: dict | None = None) -> DataFrame:
+    """Shipped + learned synonyms merged once and checkpointed (a small table reused by many
+    steps; the checkpoint cuts the repeated lineage)."""
+    merged = merge_synonyms(synonym_frame(spark, DEFAULT_SYNONYMS),
+                            synonym_frame(spark, LEARNED_SYNONYMS if extra is None else extra, "user"))
+    return merged.checkpoint(eager=True)
 
 
 def as_dict(syn: DataFrame) -> dict:

@@ -9,8 +9,8 @@ from ..operators.discover import (auto_map, best_target, first_substring_target,
                                   header_row_guess)
 from ..operators.lineage import FILE
 from ..operators.order import numeric_blocks
-from ..operators.synonyms import (DEFAULT_SYNONYMS, LEARNED_SYNONYMS, learn_synonyms, merge_synonyms,
-                                  synonym_frame)
+from ..operators.synonyms import (DEFAULT_SYNONYMS, LEARNED_SYNONYMS, known_synonyms, learn_synonyms,
+                                  merge_synonyms, synonym_frame)
 from ..operators.validate import mapping_coverage
 from .catalog import register, table
 
@@ -161,7 +161,7 @@ _LEARN_SQL = _HITS_SQL + f"""
 
 @register("learn_synonyms", _LEARN_SQL + "SELECT target, term FROM new_terms")
 def q_learn_synonyms(spark, sf_dir):
-    known = merge_synonyms(synonym_frame(spark, DEFAULT_SYNONYMS), synonym_frame(spark, LEARNED_SYNONYMS, "user"))
+    known = known_synonyms(spark)
     mapping = first_substring_target(_header_corpus(spark, sf_dir), DEFAULT_SYNONYMS)
     return learn_synonyms(mapping, known, order_col="ordinal")
 
@@ -184,7 +184,7 @@ SELECT target, min_by(term, (rnk, pos, term)) AS term, min_by(origin, (rnk, pos,
 FROM allrows GROUP BY target, lower(term)
 """)
 def q_merge_synonyms(spark, sf_dir):
-    base = merge_synonyms(synonym_frame(spark, DEFAULT_SYNONYMS), synonym_frame(spark, LEARNED_SYNONYMS, "user"))
+    base = known_synonyms(spark)
     mapping = first_substring_target(_header_corpus(spark, sf_dir), DEFAULT_SYNONYMS)
     learned = learn_synonyms(mapping, base, order_col="ordinal")
     learned = learned.select("target", "term", F.lit("learned").alias("origin"), F.lit(0).alias("target_pos"),
