@@ -93,8 +93,10 @@ def synonym_hits(headers: DataFrame, synonyms: dict, header_col: str = "header")
     pools = [[t] + list(synonyms[t]) for t in targets]
     names = F.array(*[F.lit(t) for t in targets])
     texts = headers.select(F.col(header_col).alias("__h")).where(F.col("__h").isNotNull()).distinct()
+    # explode_outer + filter: an inner explode lets the optimizer infer ``size(udf(…)) > 0`` and push
+    # it below the distinct, which would run the matcher on every row instead of every text
     hits = (texts.withColumn("__hits", _hits_udf(pools)(F.col("__h")))
-            .select("__h", F.explode("__hits").alias("h")))
+            .select("__h", F.explode_outer("__hits").alias("h")).where(F.col("h").isNotNull()))
     joined = headers.join(hits, headers[header_col] == hits["__h"])
     return joined.select(*[headers[c] for c in headers.columns], F.col("h.t").alias("t"),
                          F.element_at(names, F.col("h.t") + 1).alias("target"),

@@ -143,6 +143,50 @@ def validate(df: DataFrame, spec: JobSpec, level: str = "coerce") -> tuple[DataF
     return out, err
 
 
+FAILS = "__fails"
+
+
+def with_row_failures(df: DataFrame, spec: JobSpec, level: str = "coerce") -> tuple[DataFrame, list[str]]:
+    """The coerced frame plus ``__fails``, the number of failing cells of each row.
+
+    Same checks as ``validate`` without building the error table, so the verdict and the ledger
+    come out of one aggregate over the rows. Returns the frame and the missing required columns
+    (contract level; a schema-level failure of every file).
+    """
+    level = (level or "coerce").lower()
+    if level == "off":
+        return df.withColumn(FAILS, F.lit(0)), []
+    fails = F.lit(0)
+    if level == "contract":
+        missing = [f for f in spec.required_fields if f not in df.columns]
+        if missing:
+            return df.withColumn(FAILS, F.lit(0)), missing
+        typed = {}
+        for column, type_name in spec.field_types.items():
+            if column in df.columns:
+                expr = typed_value(df, column, type_name, spec.date_formats)
+                if expr is not None:
+                    typed[column] = expr
+        for c, e in typed.items():
+            fails = fails + (qc(c).isNotNull() & e.isNull()).cast("int")
+        df = df.withColumn(FAILS, fails).withColumns(typed) if typed else df
+        fails = F.col(FAILS) if typed else fails
+    contract = _contract_exprs(df, spec)
+    for c, e in contract.items():
+        fails = fails + (qc(c).isNotNull() & e.isNull()).cast("int")
+    df = df.withColumn(FAILS, fails)
+    return (df.withColumns(contract) if contract else df), []
+
+
+def verdict_one_pass(df: DataFrame, spec: JobSpec, level: str = "coerce") -> DataFrame:
+    """V7 in one aggregate: per file the row count and the failing cells, then the flag."""
+    typed, missing = with_row_failures(df, spec, level)
+    out = typed.groupBy(FILE).agg(F.count(F.lit(1)).alias("row_count"),
+                                  F.coalesce(F.sum(FAILS), F.lit(0)).cast("long").alias("errors"))
+    out = out.withColumn("errors", F.col("errors") + F.lit(len(missing)))
+    return out.withColumn("is_valid", F.col("errors") == 0).select(FILE, "is_valid", "errors", "row_count")
+
+
 def verdict(df: DataFrame, errors: DataFrame) -> DataFrame:
     """V7: per file, valid flag, error count and row count (two small aggregates joined)."""
     if FILE not in df.columns:

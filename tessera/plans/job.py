@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.errors import AnalysisException
 
 from ..operators.lineage import FILE, LAYOUT, LINEAGE, ORD, SHEET, qc
-from ..operators.validate import OWN_COLUMNS, validate
+from ..operators.validate import FAILS, OWN_COLUMNS, with_row_failures
 from ..sinks.outputs import quarantine_rows, write_clean, write_frame
 from ..spec import JobSpec
 from .transform import DATE_BAD, DATE_MISSING, EMPTY, NUM_BAD, transform
@@ -78,51 +78,67 @@ def run_job(spark: SparkSession, spec: JobSpec, paths, out_dir: str, kind: str |
             guess_header: bool = False, fmt: str = "parquet", company: str | None = None,
             run_ts=None) -> JobResult:
     raw = scan(spark, spec, paths, kind, guess_header)
-    raw_counts = raw.groupBy(FILE).agg(F.count(F.lit(1)).alias("raw_rows"))      # K5: before any step
-    raw_cols = len([c for c in raw.columns if c not in LINEAGE and c != SHEET])
     if company is not None and "company" not in raw.columns:
         raw = raw.withColumn("company", F.lit(company))
+    raw_cols = len([c for c in raw.columns if c not in LINEAGE and c != SHEET])
     t = transform(raw, spec)
-    final = t.frame
-    typed, errors = validate(final, spec, level)
-    data_cols = [c for c in typed.columns if c not in LINEAGE]
     expected = sorted(spec.expected_headers())
-
-    # -- one aggregate for the per-file ledger ---------------------------------------------
-    f = t.flagged
     live = ~F.col(EMPTY)
     kept = live & ~F.col(DATE_MISSING)
-    stats = f.groupBy(FILE).agg(
+    row_local = t.pre_dedupe is None and not spec.combine_on
+    if row_local:
+        # no group or dedupe: the output rows are the kept rows of the flagged frame, so the whole
+        # ledger (counts, failures, presence) comes out of one aggregate next to the write
+        scored, missing_req = with_row_failures(t.flagged, spec, level)
+        typed = scored.where(kept).drop(EMPTY, DATE_BAD, DATE_MISSING, NUM_BAD, FAILS)
+        fails = F.sum(F.when(kept, F.col(FAILS)).otherwise(0))
+    else:
+        scored = t.flagged
+        typed, missing_req = with_row_failures(t.frame, spec, level)
+        fails = None
+    data_cols = [c for c in typed.columns if c not in LINEAGE and c != FAILS]
+    if LAYOUT in scored.columns:
+        presence = [F.array_distinct(F.flatten(F.collect_set(LAYOUT))).alias("__names")]
+    else:
+        presence = [F.count(qc(c)).alias(f"__n{i}") for i, c in enumerate(data_cols) if c in scored.columns]
+    aggs = [
         F.count(F.lit(1)).alias("rows_in"),
         F.sum(F.col(EMPTY).cast("long")).alias("empty_rows"),
         F.sum((live & F.col(DATE_BAD)).cast("long")).alias("date_parse_failures"),
         F.sum((kept & F.col(NUM_BAD)).cast("long")).alias("numeric_parse_failures"),
-        F.sum(kept.cast("long")).alias("rows_kept"))
-    err = errors.groupBy(FILE).agg(F.count(F.lit(1)).alias("errors"))
-    schema_errors = errors.where(F.col(FILE).isNull()).limit(1).count() > 0
-    if LAYOUT in typed.columns:
-        # each file's own columns (a stacked frame null-fills the others)
-        extra_cols = F.array(*[F.lit(c) for c in data_cols if c == "provider_id"]) if "provider_id" in data_cols \
-            else F.array().cast("array<string>")
-        live_cols = F.array(*[F.lit(c) for c in data_cols])
-        present = typed.groupBy(FILE).agg(F.array_distinct(F.flatten(F.collect_set(LAYOUT))).alias("__names"))
-        names = F.array_union(F.array_intersect("__names", live_cols), extra_cols)
+        F.sum(kept.cast("long")).alias("rows_kept"),
+        *presence]
+    if fails is not None:
+        aggs.append(fails.cast("long").alias("errors"))
+    stats = scored.groupBy(FILE).agg(*aggs)
+    if fails is None:
+        err = typed.groupBy(FILE).agg(F.sum(FAILS).cast("long").alias("errors"))
+        stats = stats.join(err, FILE, "left")
+        typed = typed.drop(FAILS)
+    live_cols = F.array(*[F.lit(c) for c in data_cols])
+    own = [c for c in data_cols if c == "provider_id"]
+    own_arr = F.array(*[F.lit(c) for c in own]) if own else F.array().cast("array<string>")
+    if LAYOUT in scored.columns:
+        names = F.array_union(F.array_intersect("__names", live_cols), own_arr)
+    else:
+        names = F.filter(F.array(*[F.when(F.col(f"__n{i}") > 0, F.lit(c)) for i, c in enumerate(data_cols)
+                                   if c in scored.columns]), lambda x: x.isNotNull())
+    exp = F.array(*[F.lit(c) for c in expected]) if expected else None
+    missing = F.array_sort(F.array_except(exp, names)) if expected else F.array().cast("array<string>")
+    extra = F.array_sort(F.array_except(names, exp)) if expected else F.array().cast("array<string>")
+    gate_extra = F.array_except(extra, F.array(*[F.lit(c) for c in OWN_COLUMNS]))
+    ledger = (stats.select(FILE, "rows_in", "empty_rows", "date_parse_failures", "numeric_parse_failures",
+                           "rows_kept", F.coalesce("errors", F.lit(0)).alias("errors"),
+                           missing.alias("missing"), extra.alias("extra"),
+                           ((F.lit(fail_on_missing) & (F.size(missing) > 0)) |
+                            (F.lit(fail_on_extra) & (F.size(gate_extra) > 0))).alias("drift_failed"))
+              .withColumn("errors", F.col("errors") + F.lit(len(missing_req)))
+              .withColumn("is_valid", F.col("errors") == 0))
+    if t.unpivot_info:
+        raw_counts = raw.groupBy(FILE).agg(F.count(F.lit(1)).alias("raw_rows"))   # K5: before the melt
+        ledger = ledger.join(raw_counts, FILE, "left")
     else:
-        present = typed.groupBy(FILE).agg(*[F.count(qc(c)).alias(f"__n{i}") for i, c in enumerate(data_cols)])
-        names = F.filter(F.array(*[F.when(F.col(f"__n{i}") > 0, F.lit(c)) for i, c in enumerate(data_cols)]),
-                         lambda x: x.isNotNull())
-    exp = F.array(*[F.lit(c) for c in expected]) if expected else F.array().cast("array<string>")
-    drift = present.select(FILE, F.array_sort(F.array_except(exp, names)).alias("missing"),
-                           F.array_sort(F.array_except(names, exp)).alias("extra")) if expected else \
-        present.select(FILE, F.array().cast("array<string>").alias("missing"),
-                       F.array().cast("array<string>").alias("extra"))
-    gate_extra = F.array_except("extra", F.array(*[F.lit(c) for c in OWN_COLUMNS]))
-    ledger = (stats.join(drift, FILE, "left").join(err, FILE, "left").join(raw_counts, FILE, "left")
-              .withColumn("errors", F.coalesce("errors", F.lit(0)))
-              .withColumn("drift_failed",
-                          (F.lit(fail_on_missing) & (F.size("missing") > 0)) |
-                          (F.lit(fail_on_extra) & (F.size(gate_extra) > 0)))
-              .withColumn("is_valid", (F.col("errors") == 0) & F.lit(not schema_errors)))
+        ledger = ledger.withColumn("raw_rows", F.col("rows_in"))
     reason = (F.when(~F.col("is_valid"), F.lit("Validation failed."))
                .when(F.col("drift_failed"), F.lit("Schema drift.")))
     ledger = ledger.withColumn("reason", reason).withColumn(
@@ -161,10 +177,12 @@ def run_job(spark: SparkSession, spec: JobSpec, paths, out_dir: str, kind: str |
               .withColumn("message", F.coalesce("reason", F.lit("Processing successful.")))
               .withColumn("run_ts", F.lit(run_ts).cast("timestamp") if run_ts else F.current_timestamp()))
     if kind_is_files(kind, spec) and paths:
-        from ..sources.files import list_files
-        listing = list_files(spark, paths if isinstance(paths, str) else paths[0], suffixes=None) \
-            if isinstance(paths, str) or len(paths) == 1 else None
-        if listing is not None:
-            result = result.join(listing.select(FILE, "path").dropDuplicates([FILE]), FILE, "left")
+        if isinstance(paths, str):
+            from ..sources.files import list_files
+            listing = list_files(spark, paths, suffixes=None).select(FILE, "path")
+        else:   # the caller's own (bounded) list of files
+            listing = spark.createDataFrame([(p.rstrip("/").rsplit("/", 1)[-1], p) for p in paths],
+                                            f"{FILE} string, path string")
+        result = result.join(listing.dropDuplicates([FILE]), FILE, "left")
     write_frame(result, ledger_path, "parquet", mode="append")
     return JobResult(result, clean_path, quarantine_path, ledger_path)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators.aggregate import column_profile, file_sizes, frame_profile, value_counts_top
 from ..operators.lineage import FILE, ORD
 from ..operators.order import numeric_blocks
-from ..operators.validate import drift_by_file, drift_gate, validate, verdict
+from ..operators.validate import drift_by_file, drift_gate, validate, verdict, verdict_one_pass
 from ..spec import JobSpec
 from .catalog import register, table
 
@@ -148,9 +148,23 @@ SELECT 'lineitem_' || l_returnflag AS source_file,
 FROM lineitem GROUP BY l_returnflag
 """)
 def q_verdict(spark, sf_dir):
-    df = _lineitem_contract(spark, sf_dir, per_flag_file=True)
-    typed, errors = validate(df, JobSpec(), "coerce")
-    return verdict(typed, errors)
+    return verdict_one_pass(_lineitem_contract(spark, sf_dir, per_flag_file=True), JobSpec(), "coerce")
+
+
+@register("verdict_contract", """
+SELECT 'lineitem_' || l_returnflag AS source_file,
+       count(*) FILTER (WHERE l_returnflag = 'R') + count(*) FILTER (WHERE l_linestatus = 'O')
+         + count(*) FILTER (WHERE l_tax = 0.08) = 0 AS is_valid,
+       count(*) FILTER (WHERE l_returnflag = 'R') + count(*) FILTER (WHERE l_linestatus = 'O')
+         + count(*) FILTER (WHERE l_tax = 0.08) AS errors,
+       count(*) AS row_count
+FROM lineitem GROUP BY l_returnflag
+""")
+def q_verdict_contract(spark, sf_dir):
+    """V4 + V7: declared types, then the contract, counted per file in one pass; the same
+    numbers as the error table of ``validate_contract`` grouped by file."""
+    spec = JobSpec(required_fields=("article_sku",), field_types={"quantity": "int"})
+    return verdict_one_pass(_lineitem_contract(spark, sf_dir, per_flag_file=True), spec, "contract")
 
 
 # ---------------------------------------------------------------------------------------------
