@@ -110,18 +110,31 @@ def apply_header(rows: DataFrame, spec: JobSpec, header_rows: DataFrame | None =
     found = [(r["__layout"], _trim(list(r["names"] or []))) for r in got]
     layouts = [names for _, names in found]
     data = tagged.where(F.col("row") > F.col("header_row")).join(head.select(*scope, "__layout"), scope)
-    frames = []
+    if not found:
+        return rows.select(*_lineage(scope)).limit(0), []
+    # one projection for every layout: output column N takes, per row, the cell at N's position in
+    # that row's layout (literal maps keyed by layout); first-seen column order across layouts
+    order: list[str] = []
+    positions: dict[str, dict[str, int]] = {}
+    lists: dict[str, list[str]] = {}
     for key, names in found:
         unique = _unique_names(names)
-        part = data.where(F.col("__layout") == F.lit(key))
-        width_cols = [F.try_element_at("vals", F.lit(i + 1)).alias(n) for i, n in enumerate(unique)]
-        frames.append(part.select(*width_cols, *_lineage(scope),
-                                  F.array(*[F.lit(n) for n in unique]).cast("array<string>").alias(LAYOUT)))
-    if not frames:
-        return rows.select(*_lineage(scope)).limit(0), []
-    from ..operators.combine import stack_by_name
-    out = stack_by_name(frames)
-    return out, layouts
+        lists[key] = unique
+        for i, n in enumerate(unique):
+            if n not in positions:
+                order.append(n)
+                positions[n] = {}
+            positions[n][key] = i + 1
+    key_col = F.col("__layout")
+
+    def lookup(mapping: dict) -> Column:
+        return F.create_map(*[x for k, v in mapping.items() for x in (F.lit(k), F.lit(v))])
+
+    cols = [F.try_element_at("vals", F.try_element_at(lookup(positions[n]), key_col)).alias(n) for n in order]
+    layout_names = F.create_map(*[x for k, v in lists.items()
+                                  for x in (F.lit(k), F.array(*[F.lit(n) for n in v]).cast("array<string>"))])
+    out = data.select(*cols, *_lineage(scope), F.try_element_at(layout_names, key_col).alias(LAYOUT))
+    return out, [names for _, names in found]
 
 
 def apply_metadata_headers(rows: DataFrame, cells) -> DataFrame:
