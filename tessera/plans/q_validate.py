@@ -276,3 +276,20 @@ def q_numeric_blocks(spark, sf_dir):
     prof = column_profile(_profile_source(spark, sf_dir), per_file=False)
     blocks = numeric_blocks(prof)
     return blocks.select(F.array_join("columns", ",").alias("columns"), "start_idx", "end_idx", "size")
+
+
+# ---------------------------------------------------------------------------------------------
+# Preview, the first rows of every file (a limit that is the feature)
+
+
+@register("preview_rows", """
+SELECT 'lineitem_' || l_returnflag AS source_file, l_orderkey, l_linenumber, l_quantity
+FROM lineitem
+QUALIFY row_number() OVER (PARTITION BY l_returnflag ORDER BY l_orderkey, l_linenumber) <= 10
+""")
+def q_preview_rows(spark, sf_dir):
+    from ..operators.order import head_per_file
+    li = table(spark, sf_dir, "lineitem")
+    df = li.select(F.concat(F.lit("lineitem_"), "l_returnflag").alias(FILE), "l_orderkey", "l_linenumber",
+                   "l_quantity", F.struct("l_orderkey", "l_linenumber").alias(ORD))
+    return head_per_file(df, 10).drop(ORD)

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.lineage import FILE, ORD
+from ..operators.lineage import FILE, LAYOUT, ORD
 
 
 def write_frame(df: DataFrame, path: str, fmt: str = "parquet", partition_by=None, mode: str = "overwrite") -> str:
     """K1 / K2 / K3: Parquet (default) or CSV with a header row; the order column is dropped."""
-    out = df.drop(ORD) if ORD in df.columns else df
+    out = df.drop(*[c for c in (ORD, LAYOUT) if c in df.columns])
     w = out.write.mode(mode)
     parts = [c for c in (partition_by or []) if c in out.columns]
     if parts:

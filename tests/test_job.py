@@ -113,3 +113,19 @@ def test_type_labels(spark):
     df = spark.createDataFrame([(True, 1, 1.5, "x")], "b boolean, i int, d double, s string") \
         .withColumn("t", F.current_timestamp())
     assert type_labels(df) == [("b", "Boolean"), ("i", "Number"), ("d", "Number"), ("s", "Text"), ("t", "Date")]
+
+
+def test_preflight_and_csv_output(spark, tmp_path):
+    from tessera.sinks.outputs import write_frame
+    from tessera.sources.csv import read_csv
+    from tessera.sources.files import list_files, preflight
+    d = tmp_path / "in"
+    d.mkdir()
+    (d / "a.csv").write_text("x,y\n1,2\n3,4\n")
+    (d / "empty.csv").write_text("x,y\n")
+    frame = read_csv(spark, str(d), JobSpec(source_type="csv"))
+    pf = {r[FILE]: (r["rows"], r["status"]) for r in preflight(spark, list_files(spark, str(d)), frame).collect()}
+    assert pf == {"a.csv": (2, "OK"), "empty.csv": (0, "Empty")}
+    out = write_frame(frame, str(tmp_path / "out_csv"), "csv")
+    back = spark.read.option("header", True).csv(out)
+    assert sorted((r["x"], r["y"]) for r in back.collect()) == [("1", "2"), ("3", "4")]
