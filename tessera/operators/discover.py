@@ -38,15 +38,16 @@ def header_row_guess(cells: DataFrame, scope=(FILE,), max_rows: int | None = Non
     """
     scope = list(scope)
     c = cells if max_rows is None else cells.where(F.col("row") < max_rows)
-    width = c.groupBy(*scope).agg((F.max("col") + 1).alias("width"))
     per_row = (c.where(F.col("value").isNotNull())
                .groupBy(*scope, "row")
                .agg(F.count(F.lit(1)).alias("filled"),
                     F.sum((F.col("kind") == "text").cast("int")).alias("texts")))
-    qualifies = (per_row.join(width, scope)
-                 .where((F.col("texts") / F.col("filled") > TEXT_SHARE) &
-                        (F.col("filled") / F.col("width") > FILL_SHARE)))
-    first = qualifies.groupBy(*scope).agg(F.min("row").alias("header_row"))
+    width = c.groupBy(*scope).agg((F.max("col") + 1).alias("width"))
+    # text-heavy rows reduced to the lowest row per (file, fill count): bounded by the width
+    by_fill = (per_row.where(F.col("texts") / F.col("filled") > TEXT_SHARE)
+               .groupBy(*scope, "filled").agg(F.min("row").alias("row")))
+    first = (by_fill.join(width, scope).where(F.col("filled") / F.col("width") > FILL_SHARE)
+             .groupBy(*scope).agg(F.min("row").alias("header_row")))
     return (width.select(*scope).join(first, scope, "left")
             .select(*scope, F.coalesce("header_row", F.lit(0)).alias("header_row")))
 

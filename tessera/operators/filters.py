@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, NumericType
 
-from .lineage import FILE, LINEAGE, qc
+from .lineage import FILE, LINEAGE, qc, small_file_set
 
 OPERATORS = ("=", "!=", ">", ">=", "<", "<=", "contains")
 
@@ -154,9 +154,16 @@ def apply_sparse_decision(df: DataFrame, kept, mixed, flags) -> DataFrame:
     """F10 application: null the cells of files that drop a column, then drop dead columns."""
     out = df
     if mixed and flags is not None:
-        out = out.join(flags, FILE, "left")
-        out = out.select(*[F.when(F.col(f"__keep_{c}"), qc(c)).alias(c) if c in mixed else qc(c)
-                           for c in df.columns])
+        # files that drop each mixed column: literal sets when the lists are small, else a join
+        drops = {c: flags.where(~F.col(f"__keep_{c}")).select(FILE) for c in mixed}
+        sets = {c: small_file_set(d) for c, d in drops.items()}
+        if all(v is not None for v in sets.values()):
+            out = out.select(*[F.when(~F.col(FILE).isin(sets[c]), qc(c)).alias(c) if c in mixed else qc(c)
+                               for c in df.columns])
+        else:
+            out = out.join(flags, FILE, "left")
+            out = out.select(*[F.when(F.col(f"__keep_{c}"), qc(c)).alias(c) if c in mixed else qc(c)
+                               for c in df.columns])
     keep = set(kept)
     return out.select(*[qc(c) for c in df.columns if c in keep or c in LINEAGE or c.startswith("__")])
 

@@ -63,3 +63,24 @@ def spread(df: DataFrame, min_splits: int | None = None) -> DataFrame:
     if df.rdd.getNumPartitions() >= cores:
         return df
     return df.repartition(cores)
+
+
+# A per-file list up to this size is inlined as a literal set (a hash set in the
+# filter, no join); larger lists are joined and the planner picks the strategy.
+MAX_INLINE_FILES = 100_000
+
+
+def small_file_set(files: DataFrame, column: str = FILE, bound: int = MAX_INLINE_FILES) -> list | None:
+    """The distinct values of ``column`` when there are at most ``bound`` of them, else ``None``."""
+    got = files.select(column).distinct().limit(bound + 1).collect()
+    return None if len(got) > bound else [r[0] for r in got]
+
+
+def where_files(df: DataFrame, files: DataFrame, keep: bool, column: str = FILE) -> DataFrame:
+    """Rows whose file is (``keep``) or is not in ``files``: a literal set when small, else a
+    semi / anti join."""
+    names = small_file_set(files, column)
+    if names is not None:
+        cond = F.col(column).isin(names) if names else F.lit(False)
+        return df.where(cond if keep else ~cond | F.col(column).isNull())
+    return df.join(files.select(column).distinct(), column, "left_semi" if keep else "left_anti")

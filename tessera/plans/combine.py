@@ -45,6 +45,18 @@ def run_combine(spark: SparkSession, input_dir: str, pattern: str = "*.parquet",
     paths = matching_files(spark, input_dir, pattern)
     if not paths:
         raise FileNotFoundError(f"No files found in {input_dir} with pattern {pattern}")
+    if mode == "concat" and not strict_schema and all(p.lower().endswith(".parquet") for p in paths):
+        # one scan over every file; schemas merged by name (missing columns null) when types agree
+        try:
+            one = spark.read.option("mergeSchema", True).parquet(*paths)
+            if lineage:   # the entry under input_dir the row came from, as in the per-file branch
+                root = input_dir.rstrip("/").replace("file:", "")
+                one = one.withColumn(FILE, F.regexp_extract(F.col("_metadata.file_path"),
+                                                            _re_escape(root) + "/([^/]+)", 1))
+            one.schema  # noqa: B018 - resolves the merged schema now, so a type clash falls back below
+            return one
+        except Exception:  # noqa: BLE001 - conflicting types: stack by name with text casts
+            pass
     frames = [read_output(spark, p) for p in paths]
     if lineage:
         frames = [f.withColumn(FILE, F.lit(p.rsplit("/", 1)[-1])) for f, p in zip(frames, paths)]

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.errors import AnalysisException
 
-from ..operators.lineage import FILE, LAYOUT, LINEAGE, ORD, SHEET, qc
+from ..operators.lineage import FILE, LAYOUT, LINEAGE, ORD, SHEET, qc, small_file_set, where_files
 from ..operators.validate import FAILS, OWN_COLUMNS, with_row_failures
 from ..sinks.outputs import quarantine_rows, write_clean, write_frame
 from ..spec import JobSpec
@@ -149,7 +149,7 @@ def run_job(spark: SparkSession, spec: JobSpec, paths, out_dir: str, kind: str |
     clean_path = os.path.join(out_dir, "clean")
     quarantine_path = os.path.join(out_dir, "quarantine")
     ledger_path = os.path.join(out_dir, "ledger")
-    good = typed.join(failed, FILE, "left_anti").drop(LAYOUT)
+    good = where_files(typed, failed, keep=False).drop(LAYOUT)
     write_clean(good, clean_path, fmt)
     write_frame(quarantine_rows(raw, failed).drop(ORD, LAYOUT), quarantine_path, fmt, ["company", FILE])
 

@@ -30,7 +30,17 @@ def write_clean(df: DataFrame, path: str, fmt: str = "parquet", per_file: bool =
 
 
 def quarantine_rows(raw: DataFrame, failed: DataFrame) -> DataFrame:
-    """K4: input rows of files that failed, with the reason (semi-join on the small verdict table)."""
+    """K4: input rows of files that failed, with the reason.
+
+    The failed-file list is inlined (file -> reason map) when it is small, else joined."""
+    from ..operators.lineage import MAX_INLINE_FILES
+    got = failed.select(FILE, "reason").limit(MAX_INLINE_FILES + 1).collect()
+    if len(got) <= MAX_INLINE_FILES:
+        if not got:
+            return raw.where(F.lit(False)).withColumn("reason", F.lit(None).cast("string"))
+        reasons = F.create_map(*[x for r in got for x in (F.lit(r[FILE]), F.lit(r["reason"]))])
+        return (raw.where(F.col(FILE).isin([r[FILE] for r in got]))
+                .withColumn("reason", F.try_element_at(reasons, F.col(FILE))))
     return raw.join(failed.select(FILE, "reason"), FILE, "inner")
 
 

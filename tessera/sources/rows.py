@@ -48,11 +48,21 @@ def header_row_guess_rows(rows: DataFrame, max_rows: int | None = None) -> DataF
     texts = F.size(F.filter(F.arrays_zip("vals", "kinds"),
                             lambda z: z["vals"].isNotNull() & (z["kinds"] == "text")))
     stats = r.select(*scope, "row", filled.alias("filled"), texts.alias("texts"), F.size("vals").alias("w"))
+    return _first_qualifying_row(stats, scope)
+
+
+def _first_qualifying_row(stats: DataFrame, scope: list[str]) -> DataFrame:
+    """Per file the first row with text share > 0.8 and fill > 0.5 of the width, else 0.
+
+    Text-heavy rows are first reduced to the lowest row per (file, fill count), a table bounded by
+    the width of a file; only that small table meets the per-file width. Both aggregates combine
+    per task before the shuffle, so a file holding a third of all rows costs no single hot task.
+    """
     width = stats.groupBy(*scope).agg(F.max("w").alias("width"))
-    ok = stats.join(width, scope).where(
-        (F.col("filled") > 0) & (F.col("texts") / F.col("filled") > TEXT_SHARE) &
-        (F.col("filled") / F.col("width") > FILL_SHARE))
-    first = ok.groupBy(*scope).agg(F.min("row").alias("header_row"))
+    text_heavy = stats.where((F.col("filled") > 0) & (F.col("texts") / F.col("filled") > TEXT_SHARE))
+    by_fill = text_heavy.groupBy(*scope, "filled").agg(F.min("row").alias("row"))
+    first = (by_fill.join(width, scope).where(F.col("filled") / F.col("width") > FILL_SHARE)
+             .groupBy(*scope).agg(F.min("row").alias("header_row")))
     return width.select(*scope).join(first, scope, "left").select(
         *scope, F.coalesce("header_row", F.lit(0)).alias("header_row"))
 
@@ -85,10 +95,9 @@ def apply_header(rows: DataFrame, spec: JobSpec, header_rows: DataFrame | None =
     scope = scope_of(rows)
     rows = drop_skipped(rows, spec.skiprows)
     if header_rows is None:
-        h = rows.select(*scope).distinct().withColumn("header_row", F.lit(int(spec.header_row)))
+        tagged = rows.withColumn("header_row", F.lit(int(spec.header_row)))      # no per-file table
     else:
-        h = header_rows
-    tagged = rows.join(h, scope)
+        tagged = rows.join(header_rows, scope)
     if spec.headers:
         # Positional; names come from the spec, not from the file
         data = tagged.where(F.col("row") > F.col("header_row"))
@@ -109,9 +118,13 @@ def apply_header(rows: DataFrame, spec: JobSpec, header_rows: DataFrame | None =
         raise ValueError(f"more than {MAX_LAYOUTS} distinct header layouts; split the input by template")
     found = [(r["__layout"], _trim(list(r["names"] or []))) for r in got]
     layouts = [names for _, names in found]
-    data = tagged.where(F.col("row") > F.col("header_row")).join(head.select(*scope, "__layout"), scope)
     if not found:
         return rows.select(*_lineage(scope)).limit(0), []
+    data = tagged.where(F.col("row") > F.col("header_row"))
+    if len(found) == 1:
+        data = data.withColumn("__layout", F.lit(found[0][0]))             # one layout: no join
+    else:
+        data = data.join(head.select(*scope, "__layout"), scope)
     # one projection for every layout: output column N takes, per row, the cell at N's position in
     # that row's layout (literal maps keyed by layout); first-seen column order across layouts
     order: list[str] = []

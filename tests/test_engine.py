@@ -141,3 +141,14 @@ def test_positional_select_by_index(spark):
     out = positional_select(df, spec)
     assert out.columns == ["third", "first"]
     assert out.collect()[0].asDict() == {"third": 2.0, "first": 1}
+
+
+def test_sparse_columns_per_file(spark):
+    from tessera.operators.filters import drop_sparse_columns
+    rows = [("a.csv", 1, "x", None), ("a.csv", 2, "y", None), ("b.csv", 3, None, "p"), ("b.csv", 4, "z", None)]
+    df = spark.createDataFrame(rows, f"{FILE} string, k int, c string, d string")
+    out = drop_sparse_columns(df, 0.6)
+    # c: a keeps (1.0), b drops (0.5) -> kept, nulled in b; d: a drops (0.0), b drops (0.5) -> gone
+    assert "d" not in out.columns and "c" in out.columns
+    got = sorted((r[FILE], r["k"], r["c"]) for r in out.collect())
+    assert got == [("a.csv", 1, "x"), ("a.csv", 2, "y"), ("b.csv", 3, None), ("b.csv", 4, None)]
