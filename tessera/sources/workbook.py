@@ -184,9 +184,9 @@ def decode(spark: SparkSession, paths, checkpoint: bool = True) -> DataFrame:
     """Decode every workbook once; the result is checkpointed (shared folder) for reuse."""
     from pyspark.sql.types import _parse_datatype_string
     paths = [paths] if isinstance(paths, str) else list(paths)
+    # decoded in the scan task: file contents are never shuffled; Spark packs small files into
+    # one split and gives a large file a task of its own
     files = spark.read.format("binaryFile").load(paths).select("path", "content")
-    # one file per task: the decode of a file is independent, big files should not queue
-    files = files.repartition(max(1, spark.sparkContext.defaultParallelism), "path")
     out = files.mapInArrow(_decode_batches, _parse_datatype_string(DECODED))
     return out.checkpoint(eager=True) if checkpoint else out
 

@@ -21,7 +21,7 @@ from ..spec import JobSpec
 def start_incremental(spark: SparkSession, spec: JobSpec, in_dir: str, out_dir: str,
                       archive_dir: str | None = None, checkpoint: str | None = None,
                       pattern: str | None = None, available_now: bool = True, kind: str | None = None,
-                      max_files_per_trigger: int | None = None, **job_args):
+                      max_files_per_trigger: int | None = 1000, **job_args):
     """Start the stream; returns the ``StreamingQuery``."""
     checkpoint = checkpoint or scratch_path(spark, "stream-" + os.path.basename(in_dir.rstrip("/")))
     reader = (spark.readStream.format("binaryFile")
@@ -36,7 +36,8 @@ def start_incremental(spark: SparkSession, spec: JobSpec, in_dir: str, out_dir:
     files = reader.load(in_dir).select("path")
 
     def handle(batch: DataFrame, epoch: int) -> None:
-        # the micro-batch is a bounded list of new file paths (at most maxFilesPerTrigger)
+        # the micro-batch is a bounded list of new file paths (at most maxFilesPerTrigger), the
+        # only thing that passes through the driver; the files themselves are read by the job
         paths = sorted(r["path"] for r in batch.collect())
         if not paths:
             return
