@@ -221,10 +221,107 @@ def _sheet_like(spark, sf_dir):
         F.col("l_linestatus").alias("Status"), F.col("l_tax").alias("Tax"))
 
 
-@register("header_candidates")
+SHEET_COLUMNS = [
+    ("Item description", "'part ' || CAST(l_partkey AS VARCHAR) || ' of order ' || CAST(l_orderkey AS VARCHAR)"),
+    ("2020 Jan", "l_quantity"),
+    ("2020/helmikuu", "l_extendedprice"),
+    ("Discount", "l_discount"),
+    ("Ship year", "year(l_shipdate)"),
+    ("Status", "l_linestatus"),
+    ("Tax", "l_tax"),
+]
+CANDIDATE_TARGETS = ["Item description", "2020-jan", "sales_amount"]
+
+
+def _ym_lambda() -> str:
+    """DuckDB lambda with the year+month label rule (parts on / - blanks; 4-digit year; month)."""
+    from .q_transform import _month_sql
+    parts = "list_filter(string_split_regex(replace(replace(h, '/', ' '), '-', ' '), '\\s+'), lambda p: p <> '')"
+    year = f"list_filter({parts}, lambda p: regexp_matches(p, '^[0-9]{{4}}$'))[1]"
+    month = f"list_filter(list_transform({parts}, lambda p: {_month_sql('p')}), lambda m: m IS NOT NULL)[1]"
+    return f"lambda h: CASE WHEN {year} IS NOT NULL AND {month} IS NOT NULL THEN {year} || '-' || {month} ELSE h END"
+
+
+def _candidates_sql() -> str:
+    num_re = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|(?i:inf|infinity))\s*$"
+    raw = []
+    for i, (name, expr) in enumerate(SHEET_COLUMNS):
+        txt = f"CAST(({expr}) AS VARCHAR)"
+        num = f"CASE WHEN regexp_matches({txt}, '{num_re}') THEN try_cast(trim({txt}) AS DOUBLE) END"
+        raw.append(
+            f"SELECT 'lineitem_' || l_returnflag AS source_file, {i} AS ordinal, '{name}' AS col, "
+            f"avg(CASE WHEN {num} IS NOT NULL THEN 1.0 ELSE 0.0 END) AS r, count({num}) AS n, "
+            f"sum(CASE WHEN {num} BETWEEN 1900 AND 2100 THEN 1 ELSE 0 END) AS y, "
+            f"avg(length(coalesce({txt}, ''))) AS l FROM lineitem GROUP BY l_returnflag")
+    targets = "[" + ", ".join(f"'{t}'" for t in CANDIDATE_TARGETS) + "]"
+    q = "'"
+
+    def d(x):
+        return f"CAST({x} AS DOUBLE)"
+
+    return f"""
+WITH raw AS ({" UNION ALL ".join(raw)}),
+prof AS (
+  SELECT source_file, ordinal, col,
+         r > 0.6 AND NOT coalesce(n > 0 AND y / n > 0.6, false) AS is_numeric,
+         l > 12 AND r < 0.3 AS is_texty
+  FROM raw),
+hdr AS (
+  SELECT source_file, list(col ORDER BY ordinal) AS headers,
+         coalesce(list(col ORDER BY ordinal) FILTER (WHERE is_numeric), []) AS numeric,
+         coalesce(list(col ORDER BY ordinal) FILTER (WHERE is_texty), []) AS texty
+  FROM prof GROUP BY source_file),
+isl AS (SELECT source_file, ordinal, col,
+               ordinal - row_number() OVER (PARTITION BY source_file ORDER BY ordinal) AS island
+        FROM prof WHERE is_numeric),
+blocks AS (SELECT source_file, list(col ORDER BY ordinal) AS cols, min(ordinal) AS start_idx
+           FROM isl GROUP BY source_file, island),
+bk AS (SELECT b.source_file, b.cols, b.start_idx,
+              CASE WHEN b.start_idx > 0 THEN h.headers[b.start_idx] END AS lft, h.texty
+       FROM blocks b JOIN hdr h USING (source_file)),
+bk2 AS (SELECT *, coalesce(lft IS NOT NULL AND list_contains(texty, lft) AND NOT list_contains(cols, lft), false)
+                  AS has_key FROM bk),
+cand AS (
+  SELECT source_file, 'As detected' AS label, headers, {d("0.20")} AS score, 'Headers as read from file.' AS note
+  FROM hdr
+  UNION ALL
+  SELECT source_file, 'Combined year+month headers', h2, {d("0.35")},
+         'Merged year + month tokens into single period labels.'
+  FROM (SELECT source_file, headers, list_transform(headers, {_ym_lambda()}) AS h2 FROM hdr) WHERE h2 <> headers
+  UNION ALL
+  SELECT source_file, 'Numeric block ordering',
+         CASE WHEN has_key THEN list_prepend(lft, cols) ELSE cols END,
+         least(CASE WHEN has_key THEN {d("0.6")} + {d("0.05")} * len(cols) ELSE {d("0.5")} + {d("0.05")} * len(cols) END,
+               {d("0.9")}),
+         'Numeric block cols ' || CAST(start_idx AS VARCHAR) || '-' || CAST(start_idx + len(cols) - 1 AS VARCHAR)
+           || ' (size ' || CAST(len(cols) AS VARCHAR) || ')'
+           || CASE WHEN has_key THEN '; key column {q}{q}' || lft || '{q}{q} on the left.' ELSE '' END
+  FROM bk2
+  UNION ALL
+  SELECT source_file, 'Numeric-first (sales) ordering',
+         list_concat(numeric, list_filter(headers, lambda h: NOT list_contains(numeric, h))),
+         {d("0.5")} + {d("0.05")} * len(numeric), 'Prioritized numeric columns (likely amounts/quantities).'
+  FROM hdr WHERE len(numeric) > 0),
+ann AS (
+  SELECT *, list_sort(list_filter({targets}, lambda t: NOT list_contains(headers, t))) AS missing,
+            list_sort(list_distinct(list_filter(headers, lambda h: NOT list_contains({targets}, h)))) AS extra
+  FROM cand WHERE label = 'As detected' OR score >= 0.25)
+SELECT source_file, label, array_to_string(headers, '|') AS headers, round(score, 4) AS score,
+       CASE WHEN len(missing) > 0 OR len(extra) > 0 THEN trim(note || ' |'
+            || CASE WHEN len(missing) > 0 THEN ' missing vs current schema: ' || array_to_string(missing[1:5], ', ')
+                    || CASE WHEN len(missing) > 5 THEN '...' ELSE '' END ELSE '' END
+            || ' '
+            || CASE WHEN len(extra) > 0 THEN ' extra: ' || array_to_string(extra[1:5], ', ')
+                    || CASE WHEN len(extra) > 5 THEN '...' ELSE '' END ELSE '' END)
+            ELSE note END AS note
+FROM ann
+"""
+
+
+@register("header_candidates", _candidates_sql())
 def q_header_candidates(spark, sf_dir):
     prof = column_profile(_sheet_like(spark, sf_dir))
     blocks = numeric_blocks(prof)
-    cand = header_candidates(prof, blocks, "sales", ["Item description", "2020-jan", "sales_amount"])
+    cand = header_candidates(prof, blocks, "sales", CANDIDATE_TARGETS)
     return cand.select(FILE, "label", F.array_join("headers", "|").alias("headers"),
                        F.round("score", 4).alias("score"), "note")
