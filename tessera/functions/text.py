@@ -100,16 +100,12 @@ def month_token(c: Column | str) -> Column:
     return F.coalesce(F.try_element_at(_month_map(), low), fallback)
 
 
-def _month_token_expr(x: Column) -> Column:
-    return month_token(x)
-
-
 def year_month_label(c: Column | str) -> Column:
     """``YYYY-mon`` when the label holds a 4-digit token and a month token, else the label."""
     label = _col(c).cast("string")
     parts = F.filter(F.split(F.regexp_replace(label, "[/-]", " "), r"\s+"), lambda p: p != "")
     year = F.try_element_at(F.filter(parts, lambda p: p.rlike("^[0-9]{4}$")), F.lit(1))
     month = F.try_element_at(
-        F.filter(F.transform(parts, _month_token_expr), lambda m: m.isNotNull()), F.lit(1))
+        F.filter(F.transform(parts, month_token), lambda m: m.isNotNull()), F.lit(1))
     return F.when(year.isNotNull() & month.isNotNull(),
                   F.concat(year, F.lit("-"), month)).otherwise(label)

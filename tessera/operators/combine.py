@@ -81,13 +81,10 @@ def merge_two(left: DataFrame, right: DataFrame, keys: list[str], how: str, suff
         key_cols = [F.coalesce(left[k], F.col(f"__r_{k}")).alias(k) for k in keys]
     else:
         key_cols = [left[k].alias(k) for k in keys]
-    left_rest = [left[c] for c in left.columns if c not in keys]
-    right_rest = [F.col(f"{c}{suffix}" if c in overlap else c) for c in right.columns if c not in keys]
-    # pandas order: left columns with keys in place, then the right side's non-key columns
-    ordered = []
-    for c in left.columns:
-        ordered.append(key_cols[keys.index(c)] if c in keys else left[c])
-    return joined.select(*ordered, *right_rest) if left_rest is not None else joined
+    right_rest = [qc(f"{c}{suffix}" if c in overlap else c) for c in right.columns if c not in keys]
+    # output order: left columns with the keys in place, then the right side's non-key columns
+    ordered = [key_cols[keys.index(c)] if c in keys else left[c] for c in left.columns]
+    return joined.select(*ordered, *right_rest)
 
 
 def merge_frames(frames: list[DataFrame], keys: list[str], how: str = "inner") -> DataFrame:

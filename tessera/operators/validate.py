@@ -99,8 +99,11 @@ def _cell_errors(df: DataFrame, typed: dict, check: dict) -> DataFrame:
                F.struct(F.lit(c).alias("column"), F.lit(check[c]).alias("check"),
                         qc(c).cast("string").alias("failure_case")))
         for c, expr in typed.items()])
-    bad = df.select(file_col.alias(FILE), row_col.alias("row"),
-                    F.explode(F.filter(entries, lambda e: e.isNotNull())).alias("e"))
+    # explode_outer + filter: an inner explode makes the optimizer infer ``size(…) > 0`` and push
+    # the whole coercion below the exchange that spreads the rows, and evaluate it twice
+    bad = (df.select(file_col.alias(FILE), row_col.alias("row"),
+                     F.explode_outer(F.filter(entries, lambda e: e.isNotNull())).alias("e"))
+           .where(F.col("e").isNotNull()))
     return bad.select(FILE, "e.column", "e.check", "e.failure_case", "row")
 
 
