@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
+
 # Shipped synonyms, target order and term order as configured.
 DEFAULT_SYNONYMS = {
     "provider_id": ["provider", "vendor", "supplier", "source", "partner", "distributor", "department",
@@ -64,7 +66,7 @@ def known_synonyms(spark: SparkSession, extra: dict | None = None) -> DataFrame:
     steps; the checkpoint cuts the repeated lineage)."""
     merged = merge_synonyms(synonym_frame(spark, DEFAULT_SYNONYMS),
                             synonym_frame(spark, LEARNED_SYNONYMS if extra is None else extra, "user"))
-    return merged.checkpoint(eager=True)
+    return checkpointed(merged)
 
 
 def as_dict(syn: DataFrame) -> dict:

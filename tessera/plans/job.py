@@ -13,6 +13,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+
+from ..session import checkpointed
 from pyspark.errors import AnalysisException
 
 from ..operators.lineage import FILE, LAYOUT, LINEAGE, ORD, SHEET, qc, small_file_set, where_files
@@ -143,7 +145,7 @@ def run_job(spark: SparkSession, spec: JobSpec, paths, out_dir: str, kind: str |
                .when(F.col("drift_failed"), F.lit("Schema drift.")))
     ledger = ledger.withColumn("reason", reason).withColumn(
         "status", F.when(F.col("reason").isNull(), F.lit("processed")).otherwise(F.lit("quarantined")))
-    ledger = ledger.checkpoint(eager=True)          # small, reused by the writes below
+    ledger = checkpointed(ledger)          # small, reused by the writes below
 
     failed = ledger.where(F.col("status") == "quarantined").select(FILE, "reason")
     clean_path = os.path.join(out_dir, "clean")

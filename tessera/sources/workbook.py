@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
+
 from ..operators.lineage import FILE, SHEET, qc
 from ..spec import JobSpec
 from .rows import apply_header, header_row_guess_rows
@@ -188,7 +190,7 @@ def decode(spark: SparkSession, paths, checkpoint: bool = True) -> DataFrame:
     # one split and gives a large file a task of its own
     files = spark.read.format("binaryFile").load(paths).select("path", "content")
     out = files.mapInArrow(_decode_batches, _parse_datatype_string(DECODED))
-    return out.checkpoint(eager=True) if checkpoint else out
+    return checkpointed(out) if checkpoint else out
 
 
 def _letters_expr(c):
