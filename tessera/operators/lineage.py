@@ -59,10 +59,12 @@ def spread(df: DataFrame, min_splits: int | None = None) -> DataFrame:
     run on one core. Large inputs have far more splits than cores and are returned untouched (no
     shuffle is added). Call it directly on a scan, after the lineage columns are attached.
     """
-    cores = min_splits or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
+    try:
+        cores = min_splits or df.sparkSession.sparkContext.defaultParallelism
+        splits = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - sessions without RDD access: leave the plan as it is
         return df
-    return df.repartition(cores)
+    return df if splits >= cores else df.repartition(cores)
 
 
 # A per-file list up to this size is inlined as a literal set (a hash set in the
