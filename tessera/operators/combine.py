@@ -66,6 +66,23 @@ def missing_key_report(schemas: dict[str, list[str]], keys: list[str], show: int
     return rows
 
 
+def missing_keys_by_file(df: DataFrame, keys: list[str], show: int = 5) -> DataFrame:
+    """J6 over a stacked frame: per file, the merge keys it lacks (a key is present in a file when
+    it has a value there), with a message naming the first ``show``. One aggregate pass."""
+    from .lineage import FILE, LINEAGE
+    cols = [c for c in df.columns if c not in LINEAGE]
+    counts = df.groupBy(FILE).agg(*[F.count(qc(c)).alias(f"__n{i}") for i, c in enumerate(cols)])
+    present = F.filter(F.array(*[F.when(F.col(f"__n{i}") > 0, F.lit(c)) for i, c in enumerate(cols)]),
+                       lambda x: x.isNotNull())
+    missing = F.filter(F.array(*[F.lit(k) for k in keys]), lambda k: ~F.array_contains(present, k))
+    out = counts.select(FILE, missing.alias("missing"))
+    more = F.when(F.size("missing") > show, F.lit("...")).otherwise(F.lit(""))
+    return out.where(F.size("missing") > 0).select(
+        FILE, F.array_join("missing", ",").alias("missing"),
+        F.concat(F.col(FILE), F.lit(": missing "), F.array_join(F.slice("missing", 1, show), ", "), more)
+         .alias("message"))
+
+
 def merge_two(left: DataFrame, right: DataFrame, keys: list[str], how: str, suffix: str) -> DataFrame:
     """One merge step: null keys match each other; overlapping right columns get ``suffix``."""
     check_keys(left, right, keys)

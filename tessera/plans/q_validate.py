@@ -77,6 +77,20 @@ def q_drift_gate(spark, sf_dir):
                     F.array_join("extra", ",").alias("extra"), "drift_failed")
 
 
+@register("missing_keys", _DRIFT_SRC + """
+, keys AS (
+  SELECT source_file, list_filter(['o_orderkey', 'o_custkey', 'o_totalprice'],
+                                  lambda k: NOT list_contains(present, k)) AS missing FROM p)
+SELECT source_file, array_to_string(missing, ',') AS missing,
+       source_file || ': missing ' || array_to_string(missing[1:5], ', ') AS message
+FROM keys WHERE len(missing) > 0
+""")
+def q_missing_keys(spark, sf_dir):
+    """Merge keys each file of a stacked frame lacks, before any merge runs."""
+    from ..operators.combine import missing_keys_by_file
+    return missing_keys_by_file(_orders_as_files(spark, sf_dir), ["o_orderkey", "o_custkey", "o_totalprice"])
+
+
 # ---------------------------------------------------------------------------------------------
 # V3 V4 V7: coerce / contract validation of lineitem as a contract-shaped sheet
 
