@@ -3,6 +3,8 @@
 import difflib
 import re
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from tessera.functions.text import MONTH_WORDS
@@ -46,9 +48,12 @@ def brute_auto_map(headers, synonyms):
     return out
 
 
-def test_auto_map_matches_brute_force(spark):
-    corpus = q_discover._header_corpus(spark, SF)
-    got = {(r[FILE], r["ordinal"]): r["target"] for r in q_discover.q_auto_map(spark, SF).collect()}
+@pytest.mark.parametrize("sf", [SF, "/root/testdata/sf0.01"])
+def test_auto_map_matches_brute_force(spark, sf):
+    """Exact against an unpruned walk; at sf0.01 a file has ~80 headers, so the |T|-per-target
+    candidate cut is exercised."""
+    corpus = q_discover._header_corpus(spark, sf)
+    got = {(r[FILE], r["ordinal"]): r["target"] for r in q_discover.q_auto_map(spark, sf).collect()}
     rows = corpus.orderBy(FILE, "ordinal").collect()
     files = {}
     for r in rows:
