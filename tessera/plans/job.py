@@ -33,8 +33,21 @@ class JobResult:
 
 
 def scan(spark: SparkSession, spec: JobSpec, paths, kind: str | None = None, guess_header: bool = False,
-         connections: dict | None = None) -> DataFrame:
-    """Read every input of one spec as a single frame, by kind (csv, excel, parquet, sql)."""
+         connections: dict | None = None, infer_numbers: bool = True) -> DataFrame:
+    """Read every input of one spec as a single frame, by kind (csv, excel, parquet, sql).
+
+    Text scans (csv, excel) give text cells; with ``infer_numbers`` a column whose every value is a
+    number becomes a number column (whole numbers: long), as a typed reader would have it, so that
+    group sums see it. That costs one aggregate pass; declared ``field_types`` need none.
+    """
+    frame = _scan(spark, spec, paths, kind, guess_header, connections)
+    if infer_numbers and (kind or spec.source_type or "excel").lower() not in ("sql", "parquet"):
+        from ..sources.rows import infer_types
+        frame = infer_types(frame, exclude=set(spec.field_types))
+    return frame
+
+
+def _scan(spark, spec, paths, kind, guess_header, connections):
     kind = (kind or spec.source_type or "excel").lower()
     paths = [paths] if isinstance(paths, str) else list(paths or [])
     if kind == "sql":
@@ -78,8 +91,8 @@ def retry_quarantined(spark: SparkSession, spec: JobSpec, ledger_path: str, out_
 def run_job(spark: SparkSession, spec: JobSpec, paths, out_dir: str, kind: str | None = None,
             level: str = "coerce", fail_on_missing: bool = False, fail_on_extra: bool = False,
             guess_header: bool = False, fmt: str = "parquet", company: str | None = None,
-            run_ts=None) -> JobResult:
-    raw = scan(spark, spec, paths, kind, guess_header)
+            run_ts=None, infer_numbers: bool = True) -> JobResult:
+    raw = scan(spark, spec, paths, kind, guess_header, infer_numbers=infer_numbers)
     if company is not None and "company" not in raw.columns:
         raw = raw.withColumn("company", F.lit(company))
     raw_cols = len([c for c in raw.columns if c not in LINEAGE and c != SHEET])

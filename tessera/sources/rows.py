@@ -188,13 +188,15 @@ def _lineage(scope) -> list[Column]:
     return cols
 
 
-def infer_types(df: DataFrame, kinds: dict | None = None) -> DataFrame:
+def infer_types(df: DataFrame, exclude=()) -> DataFrame:
     """Number-like text columns become doubles (longs when every value is whole); one pass.
 
-    ``kinds`` (optional) maps a column to the cell kind that must hold for all its values.
+    A column qualifies when it has values and every one of them parses as a number (the strict
+    shape of ``to_num``); ``exclude`` names columns to leave as text (declared types).
     """
     from pyspark.sql.types import StringType
-    cols = [c for c in df.columns if c not in (FILE, SHEET, ORD) and isinstance(df.schema[c].dataType, StringType)]
+    cols = [c for c in df.columns if c not in (FILE, SHEET, ORD) and c not in set(exclude)
+            and isinstance(df.schema[c].dataType, StringType)]
     if not cols:
         return df
     aggs = []
@@ -207,5 +209,5 @@ def infer_types(df: DataFrame, kinds: dict | None = None) -> DataFrame:
     for i, c in enumerate(cols):
         n, x, w = stats[f"n{i}"], stats[f"x{i}"], stats[f"w{i}"] or 0
         if n and n == x:
-            casts[c] = to_num(qc(c)).cast("long") if w == x else to_num(qc(c))
+            casts[c] = to_num(qc(c)).try_cast("long") if w == x else to_num(qc(c))
     return df.withColumns(casts) if casts else df

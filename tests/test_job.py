@@ -129,3 +129,15 @@ def test_preflight_and_csv_output(spark, tmp_path):
     out = write_frame(frame, str(tmp_path / "out_csv"), "csv")
     back = spark.read.option("header", True).csv(out)
     assert sorted((r["x"], r["y"]) for r in back.collect()) == [("1", "2"), ("3", "4")]
+
+
+def test_job_sums_inferred_number_columns(spark, tmp_path):
+    d = tmp_path / "in"
+    d.mkdir()
+    (d / "s.csv").write_text("sku,qty,price,note\nA,1,2.5,x\nA,2,0.5,y\nB,3,1.0,z\n")
+    spec = JobSpec(source_type="csv", combine_on=("sku",), provider_name="p")
+    res = run_job(spark, spec, str(d), str(tmp_path / "out"), kind="csv")
+    got = sorted((r["sku"], r["qty"], r["price"]) for r in spark.read.parquet(res.clean_path).collect())
+    assert got == [("A", 3, 3.0), ("B", 3, 1.0)]
+    cols = spark.read.parquet(res.clean_path).columns
+    assert "note" not in cols      # text columns leave a group sum
