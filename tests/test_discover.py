@@ -129,3 +129,21 @@ def test_header_candidates_shape(spark):
     ym = [r for r in rows if r["label"] == "Combined year+month headers"][0]
     assert "2020-jan" in ym["headers"].split("|") and "2020-feb" in ym["headers"].split("|")
     assert all(r["score"] >= 0.25 or r["label"] == "As detected" for r in rows)
+
+
+def test_header_candidates_other_data_types(spark):
+    from tessera.operators.aggregate import column_profile
+    from tessera.operators.discover import header_candidates
+    from tessera.operators.order import numeric_blocks
+    prof = column_profile(q_discover._sheet_like(spark, SF))
+    blocks = numeric_blocks(prof)
+    ps = {r["label"]: r for r in header_candidates(prof, blocks, "product_sales", None).collect()
+          if r[FILE] == "lineitem_N"}
+    key = ps["Product key + numeric measures"]
+    assert key["headers"] == ["Item description", "2020 Jan", "2020/helmikuu", "Discount", "Tax"]
+    assert abs(key["score"] - 0.75) < 1e-9
+    pdsc = {r["label"]: r for r in header_candidates(prof, blocks, "product_descriptions", ["a", "b", "c", "d", "e", "f"]).collect()
+            if r[FILE] == "lineitem_N"}
+    desc = pdsc["Description-first ordering"]
+    assert desc["headers"][0] == "Item description" and desc["score"] == 0.45
+    assert "missing vs current schema: a, b, c, d, e..." in desc["note"]
