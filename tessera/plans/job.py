@@ -11,16 +11,15 @@ from __future__ import annotations
 import os
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from ..session import checkpointed
 from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators.lineage import FILE, LAYOUT, LINEAGE, ORD, SHEET, qc, small_file_set, where_files
 from ..operators.validate import FAILS, OWN_COLUMNS, with_row_failures
+from ..session import checkpointed
 from ..sinks.outputs import quarantine_rows, write_clean, write_frame
-from ..spec import JobSpec
+from ..spec import AMOUNT_FIELD, JobSpec
 from .transform import DATE_BAD, DATE_MISSING, EMPTY, NUM_BAD, transform
 
 
@@ -30,6 +29,7 @@ class JobResult:
     clean_path: str
     quarantine_path: str
     ledger_path: str
+    totals: dict | None = None      # K6 job totals, observed during the write of the clean rows
 
 
 def scan(spark: SparkSession, spec: JobSpec, paths, kind: str | None = None, guess_header: bool = False,
@@ -165,7 +165,12 @@ def run_job(spark: SparkSession, spec: JobSpec, paths, out_dir: str, kind: str |
     quarantine_path = os.path.join(out_dir, "quarantine")
     ledger_path = os.path.join(out_dir, "ledger")
     good = where_files(typed, failed, keep=False).drop(LAYOUT)
-    write_clean(good, clean_path, fmt)
+    # job totals ride along the write (an Observation), no extra pass
+    seen = Observation("clean_rows")
+    observed = [F.count(F.lit(1)).alias("rows_written")]
+    if AMOUNT_FIELD in good.columns:
+        observed.append(F.sum(qc(AMOUNT_FIELD)).alias("sales_amount_total"))
+    write_clean(good.observe(seen, *observed), clean_path, fmt)
     write_frame(quarantine_rows(raw, failed).drop(ORD, LAYOUT), quarantine_path, fmt, ["company", FILE])
 
     try:
@@ -200,4 +205,4 @@ def run_job(spark: SparkSession, spec: JobSpec, paths, out_dir: str, kind: str |
                                             f"{FILE} string, path string")
         result = result.join(listing.dropDuplicates([FILE]), FILE, "left")
     write_frame(result, ledger_path, "parquet", mode="append")
-    return JobResult(result, clean_path, quarantine_path, ledger_path)
+    return JobResult(result, clean_path, quarantine_path, ledger_path, dict(seen.get or {}))

@@ -39,6 +39,7 @@ def test_job_writes_clean_quarantine_and_ledger(spark, tmp_path):
                    ("B", "2024-02-29", 4.0)]
     status = {r["status"]: r["files"] for r in run_status(spark.read.parquet(res.ledger_path)).collect()}
     assert status["processed"] == 2
+    assert res.totals["rows_written"] == 5 and abs(res.totals["sales_amount_total"] - 1020.0) < 1e-9
 
 
 def test_job_contract_failure_quarantines(spark, tmp_path):
