@@ -85,15 +85,21 @@ def column_profile(df: DataFrame, columns=None, per_file: bool = True) -> DataFr
     """
     cols = [c for c in (columns or df.columns) if c not in LINEAGE]
     scope = [FILE] if per_file and FILE in df.columns else []
+    # parse and measure each cell once in a projection; the aggregates then read plain columns
+    cells = df.select(*[qc(c) for c in scope],
+                      *[to_num(qc(c), df.schema[c].dataType).alias(f"__x{i}") for i, c in enumerate(cols)],
+                      *[F.length(F.coalesce(qc(c).cast("string"), F.lit(""))).alias(f"__l{i}")
+                        for i, c in enumerate(cols)])
     aggs = []
     for i, c in enumerate(cols):
-        num = to_num(qc(c), df.schema[c].dataType)
+        num = F.col(f"__x{i}")
         aggs += [
             F.avg(num.isNotNull().cast("double")).alias(f"r{i}"),
             F.count(num).alias(f"n{i}"),
             F.sum(num.between(YEAR_LOW, YEAR_HIGH).cast("long")).alias(f"y{i}"),
-            F.avg(F.length(F.coalesce(qc(c).cast("string"), F.lit("")))).alias(f"l{i}"),
+            F.avg(F.col(f"__l{i}")).alias(f"l{i}"),
         ]
+    df = cells
     wide = df.groupBy(*scope).agg(*aggs)
     entries = ", ".join(f"{i}, '{c.replace(chr(39), chr(39) * 2)}', r{i}, n{i}, y{i}, l{i}"
                         for i, c in enumerate(cols))
