@@ -320,7 +320,10 @@ FROM ann
 
 @register("header_candidates", _candidates_sql())
 def q_header_candidates(spark, sf_dir):
-    prof = column_profile(_sheet_like(spark, sf_dir))
+    from ..session import checkpointed
+    # the profile (one row per file and column) feeds several candidate branches: materialise it
+    # once in the shared checkpoint folder instead of re-scanning the data per branch
+    prof = checkpointed(column_profile(_sheet_like(spark, sf_dir)))
     blocks = numeric_blocks(prof)
     cand = header_candidates(prof, blocks, "sales", CANDIDATE_TARGETS)
     return cand.select(FILE, "label", F.array_join("headers", "|").alias("headers"),
