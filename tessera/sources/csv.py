@@ -76,7 +76,7 @@ def read_csv(spark: SparkSession, paths, spec: JobSpec, guess_header: bool = Fal
     """CSV files read as the spec says (delimiter, encoding, skipped rows, header row),
     selected and renamed; all cells are text (type after rename)."""
     from ..operators.project import filter_and_rename
-    rows = read_csv_rows(spark, paths, spec.delimiter, spec.encoding, width).drop("__path")
+    rows = read_csv_rows(spark, paths, spec.delimiter, spec.encoding, width or spec.csv_width).drop("__path")
     header_rows = header_row_guess_rows(rows) if guess_header else None
     frame, _ = apply_header(rows, spec, header_rows)
     return frame if spec.headers else filter_and_rename(frame, spec)

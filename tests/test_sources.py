@@ -182,3 +182,12 @@ def test_jdbc_options():
     c = Connection("erp", "postgresql", "db.example", 5433, "sales", user="u", password="p")
     assert c.reader_options() == {"url": "jdbc:postgresql://db.example:5433/sales", "user": "u", "password": "p"}
     assert Connection("x", url="jdbc:sqlite:/tmp/a.db").jdbc_url() == "jdbc:sqlite:/tmp/a.db"
+
+
+def test_csv_width_from_spec(spark, tmp_path):
+    p = tmp_path / "w.csv"
+    p.write_text("a;b\n1;2\n")
+    spec = JobSpec.from_dict({"source_type": "csv", "delimiter": ";", "csv_width": 2})
+    assert spec.csv_width == 2
+    frame = csvsrc.read_csv(spark, str(p), spec)
+    assert [(r["a"], r["b"]) for r in frame.collect()] == [("1", "2")]
