@@ -24,13 +24,30 @@ DEFAULT_CONF = {
 }
 
 
+# Settings for a large cluster (about 1000 executors, 100 TB inputs); merged into ``build_session``
+# with ``cluster=True``. Shuffle partitions start high and AQE coalesces them to ~128 MB each;
+# input splits stay at 256 MB so a task's working set fits executor memory; skewed join partitions
+# are split by AQE.
+CLUSTER_CONF = {
+    "spark.sql.shuffle.partitions": "8000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "16m",
+    "spark.sql.files.maxPartitionBytes": "256m",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "512m",
+    "spark.sql.autoBroadcastJoinThreshold": "64m",
+}
+
+
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
-                  app_name: str = "tessera", extra: dict | None = None) -> SparkSession:
-    """Return a session with the library defaults (used by tests and the bench)."""
+                  app_name: str = "tessera", extra: dict | None = None, cluster: bool = False) -> SparkSession:
+    """Return a session with the library defaults (used by tests and the bench); ``cluster``
+    adds ``CLUSTER_CONF``."""
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
     conf = dict(DEFAULT_CONF)
+    if cluster:
+        conf.update(CLUSTER_CONF)
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
