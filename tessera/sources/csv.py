@@ -25,10 +25,18 @@ def csv_width(spark: SparkSession, paths, delimiter: str = ",", encoding: str =
 MAX_BROADCAST_BLOCKS = 200_000
 
 
+def _bytes(text: str) -> int:
+    """A Spark size setting ('4194304', '4m', '1k', '2g', '512b') in bytes."""
+    t = str(text).strip().lower().rstrip("b")
+    mult = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}.get(t[-1:], 1)
+    return int(float(t[:-1] if mult > 1 else t) * mult)
+
+
 def block_bound(spark: SparkSession, paths) -> int:
     """Upper bound of the number of splits of ``paths`` from the listing only (no content read):
-    a split is never smaller than ``spark.sql.files.openCostInBytes``."""
-    open_cost = int(spark.conf.get("spark.sql.files.openCostInBytes", str(4 * 1024 * 1024)).rstrip("b") or 4194304)
+    a split is never smaller than min(maxPartitionBytes, openCostInBytes)."""
+    open_cost = max(1, min(_bytes(spark.conf.get("spark.sql.files.openCostInBytes", "4m")),
+                           _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes", "128m"))))
     sizes = spark.read.format("binaryFile").load(paths).select("length")
     got = sizes.agg(F.sum(F.ceil(F.col("length") / open_cost) + 1)).first()[0]
     return int(got or 0)

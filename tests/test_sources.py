@@ -191,3 +191,24 @@ def test_csv_width_from_spec(spark, tmp_path):
     assert spec.csv_width == 2
     frame = csvsrc.read_csv(spark, str(p), spec)
     assert [(r["a"], r["b"]) for r in frame.collect()] == [("1", "2")]
+
+
+def test_csv_row_order_many_files_packed(spark, tmp_path):
+    """Several files, each cut into many blocks, with blocks of different files sharing a task."""
+    d = tmp_path / "many"
+    d.mkdir()
+    sizes = {"a.csv": 7000, "b.csv": 3000, "c.csv": 11000}
+    for name, n in sizes.items():
+        (d / name).write_text("".join(f"{i},{name}\n" for i in range(n)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+    try:
+        rows = csvsrc.read_csv_rows(spark, str(d), width=2)
+        got = [(r[FILE], r["row"], r["vals"][0]) for r in rows.collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert len(got) == sum(sizes.values())
+    assert all(int(v) == r for _, r, v in got)
+    for name, n in sizes.items():
+        assert sorted(r for f, r, _ in got if f == name) == list(range(n))
