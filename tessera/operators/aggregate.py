@@ -117,9 +117,13 @@ def column_profile(df: DataFrame, columns=None, per_file: bool = True) -> DataFr
 
 
 def file_sizes(df: DataFrame) -> DataFrame:
-    """Rows per file and the number of data columns."""
-    cols = [c for c in df.columns if c not in LINEAGE]
-    return df.groupBy(FILE).agg(F.count(F.lit(1)).alias("rows")).withColumn("columns", F.lit(len(cols)))
+    """Rows per file (and sheet, when the frame has one) and the number of data columns
+    (the file's own columns when the frame stacks several layouts)."""
+    from .lineage import LAYOUT, SHEET
+    cols = [c for c in df.columns if c not in LINEAGE and c != SHEET]
+    scope = [FILE] + ([SHEET] if SHEET in df.columns else [])
+    width = F.max(F.size(LAYOUT)) if LAYOUT in df.columns else F.lit(len(cols))
+    return df.groupBy(*scope).agg(F.count(F.lit(1)).alias("rows"), width.alias("columns"))
 
 
 def type_labels(df: DataFrame) -> list[tuple[str, str]]:

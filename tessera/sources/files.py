@@ -64,9 +64,17 @@ def read_parquet(spark: SparkSession, paths, lineage: bool = True) -> DataFrame:
     return with_file_order(df) if lineage else df
 
 
-def preflight(spark: SparkSession, listing: DataFrame, rows: DataFrame) -> DataFrame:
-    """A10: per listed file, its data rows and a status (OK, Empty, or the decode error)."""
-    counts = rows.groupBy(FILE).agg(F.count(F.lit(1)).alias("rows"))
-    out = listing.select("path", FILE).join(counts, FILE, "left")
-    return out.withColumn("rows", F.coalesce("rows", F.lit(0))).withColumn(
-        "status", F.when(F.col("rows") > 0, F.lit("OK")).otherwise(F.lit("Empty")))
+def preflight(spark: SparkSession, listing: DataFrame, rows: DataFrame, errors: DataFrame | None = None) -> DataFrame:
+    """A10: per listed file, its data rows and columns and a status: OK, Empty, or the decode
+    error (``errors``: ``source_file, message`` as from ``workbook.decode_errors``)."""
+    from ..operators.aggregate import file_sizes
+    sizes = file_sizes(rows)
+    if "source_sheet" in sizes.columns:
+        sizes = sizes.groupBy(FILE).agg(F.sum("rows").alias("rows"), F.max("columns").alias("columns"))
+    out = listing.select("path", FILE).join(sizes, FILE, "left")
+    status = F.when(F.col("rows") > 0, F.lit("OK")).otherwise(F.lit("Empty"))
+    if errors is not None:
+        out = out.join(errors.select(FILE, F.col("message").alias("__err")), FILE, "left")
+        status = F.when(F.col("__err").isNotNull(), F.concat(F.lit("error: "), F.col("__err"))).otherwise(status)
+    out = out.withColumn("rows", F.coalesce("rows", F.lit(0))).withColumn("columns", F.coalesce("columns", F.lit(0)))
+    return out.withColumn("status", status).drop("__err")

@@ -125,8 +125,14 @@ def test_preflight_and_csv_output(spark, tmp_path):
     (d / "a.csv").write_text("x,y\n1,2\n3,4\n")
     (d / "empty.csv").write_text("x,y\n")
     frame = read_csv(spark, str(d), JobSpec(source_type="csv"))
-    pf = {r[FILE]: (r["rows"], r["status"]) for r in preflight(spark, list_files(spark, str(d)), frame).collect()}
-    assert pf == {"a.csv": (2, "OK"), "empty.csv": (0, "Empty")}
+    pf = {r[FILE]: (r["rows"], r["columns"], r["status"])
+          for r in preflight(spark, list_files(spark, str(d)), frame).collect()}
+    assert pf == {"a.csv": (2, 2, "OK"), "empty.csv": (0, 0, "Empty")}
+    from tessera.sources import workbook as wb
+    (d / "broken.xlsx").write_bytes(b"PK\x03\x04garbage")
+    errs = wb.decode_errors(wb.decode(spark, str(d / "broken.xlsx")))
+    pf2 = {r[FILE]: r["status"] for r in preflight(spark, list_files(spark, str(d)), frame, errs).collect()}
+    assert pf2["broken.xlsx"].startswith("error: ")
     out = write_frame(frame, str(tmp_path / "out_csv"), "csv")
     back = spark.read.option("header", True).csv(out)
     assert sorted((r["x"], r["y"]) for r in back.collect()) == [("1", "2"), ("3", "4")]
