@@ -148,3 +148,22 @@ def test_job_sums_inferred_number_columns(spark, tmp_path):
     assert got == [("A", 3, 3.0), ("B", 3, 1.0)]
     cols = spark.read.parquet(res.clean_path).columns
     assert "note" not in cols      # text columns leave a group sum
+
+
+def test_job_on_parquet_per_file_groups(spark, tmp_path):
+    o = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
+    d = tmp_path / "in"
+    o.where("o_orderstatus = 'F'").coalesce(1).write.parquet(str(d / "f.parquet"))
+    o.where("o_orderstatus <> 'F'").coalesce(1).write.parquet(str(d / "rest.parquet"))
+    spec = JobSpec(source_type="parquet", columns=("o_custkey", "o_totalprice", "o_orderpriority"),
+                   column_mappings={"o_totalprice": "sales_amount"}, combine_on=("o_custkey",),
+                   provider_name="p")
+    res = run_job(spark, spec, [str(d / "f.parquet"), str(d / "rest.parquet")], str(tmp_path / "out"),
+                  kind="parquet")
+    out = spark.read.parquet(res.clean_path)
+    got = sorted((r["o_custkey"], round(r["sales_amount"], 2)) for r in out.collect())
+    pdf = o.toPandas()
+    pdf["grp"] = (pdf["o_orderstatus"] == "F")
+    want = sorted((int(k), round(v, 2)) for (k, _g), v in pdf.groupby(["o_custkey", "grp"])["o_totalprice"].sum().items())
+    assert got == want                      # groups stay inside their source file
+    assert {r["status"] for r in res.ledger.collect()} == {"processed"}
