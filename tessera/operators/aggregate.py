@@ -26,7 +26,8 @@ def _is_numeric(df: DataFrame, c: str) -> bool:
     return isinstance(df.schema[c].dataType, (NumericType, BooleanType))
 
 
-def group_sum(df: DataFrame, keys, var_name: str | None = None, per_file: bool = True) -> DataFrame:
+def group_sum(df: DataFrame, keys, var_name: str | None = None, per_file: bool = True,
+              row_ok: str | None = None) -> DataFrame:
     """A1: sum every numeric column by the keys (+ unpivot variable, + provider).
 
     Rows with a null key are dropped; an all-null group sums to null; non-numeric, non-key columns
@@ -36,23 +37,35 @@ def group_sum(df: DataFrame, keys, var_name: str | None = None, per_file: bool =
     present = [k for k in keys if k in df.columns]
     if not present:
         log.warning("combine_on keys not found in columns; skipping aggregation")
-        return df
+        return df.where(F.col(row_ok)).drop(row_ok) if row_ok else df
     group = list(present)
     if var_name and var_name in df.columns and var_name not in group:
         group.append(var_name)
     if PROVIDER_FIELD in df.columns and PROVIDER_FIELD not in group:
         group.append(PROVIDER_FIELD)
     scope = [FILE] if per_file and FILE in df.columns and FILE not in group else []
-    numeric = [c for c in df.columns if c not in group and c not in LINEAGE and _is_numeric(df, c)]
+    numeric = [c for c in df.columns if c not in group and c not in LINEAGE and c != row_ok
+               and _is_numeric(df, c)]
     if not numeric:
         log.warning("combine_on=%s requested but no numeric columns to aggregate", ",".join(present))
-        return df
-    sums = [F.sum(qc(c).cast("long") if isinstance(df.schema[c].dataType, BooleanType) else qc(c))
-            .alias(c) for c in numeric]
+        return df.where(F.col(row_ok)).drop(row_ok) if row_ok else df
+
+    def value(c):
+        v = qc(c).cast("long") if isinstance(df.schema[c].dataType, BooleanType) else qc(c)
+        return F.when(F.col(row_ok), v) if row_ok else v
+
+    sums = [F.sum(value(c)).alias(c) for c in numeric]
     not_null = F.lit(True)
     for g in group:
         not_null = not_null & qc(g).isNotNull()
+    # ``row_ok``: rows that an earlier step drops take part in no sum, and a group made only of
+    # such rows is not emitted (same result as dropping them first, but the test that decides it
+    # runs inside the aggregation rather than being pushed into the scan)
+    if row_ok:
+        sums.append(F.max(F.col(row_ok).cast("int")).alias("__any_ok"))
     out = df.where(not_null).groupBy(*[qc(c) for c in scope + group]).agg(*sums)
+    if row_ok:
+        out = out.where(F.col("__any_ok") == 1).drop("__any_ok")
     out = out.withColumn(ORD, F.struct(*[qc(g) for g in group]))
     return out.select(*[qc(c) for c in group + numeric + scope], ORD)
 

@@ -87,9 +87,14 @@ def transform(df: DataFrame, spec: JobSpec, per_file: bool = True) -> Transforme
     else:
         df = df.withColumn(NUM_BAD, F.lit(False))
     flagged = df
-    out = df.where(~F.col(EMPTY) & ~F.col(DATE_MISSING)).drop(*FLAGS)
-    if spec.combine_on:                                                  # A1
-        out = group_sum(out, spec.combine_on, spec.var_name if spec.unpivot else None, per_file)
+    if spec.combine_on:                                                  # F11 folded into A1
+        kept = (~F.col(EMPTY) & ~F.col(DATE_MISSING)).alias("__ok")
+        out = df.where(~F.col(EMPTY)).select("*", kept).drop(*FLAGS)
+        out = group_sum(out, spec.combine_on, spec.var_name if spec.unpivot else None, per_file, row_ok="__ok")
+        if "__ok" in out.columns:
+            out = out.where(F.col("__ok")).drop("__ok")
+    else:
+        out = df.where(~F.col(EMPTY) & ~F.col(DATE_MISSING)).drop(*FLAGS)
     pre = None
     if spec.dedupe_on:                                                   # D1
         pre = out
