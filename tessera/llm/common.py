@@ -37,3 +37,14 @@ def byte_batches(batches, limit: int = 8 << 20):
         step = max(1, int(n * limit / max(1, batch.nbytes)))
         for at in range(0, n, step):
             yield batch.slice(at, step)
+
+
+def sample_per_class(rows: DataFrame, class_col: str, id_col: str, n: int) -> DataFrame:
+    """About ``n`` rows of each class, and never more than twice ``n`` times the classes: a row is taken if a
+    hash of its id falls below the share its class needs, so reruns take the same rows."""
+    counts = {r[0]: r[1] for r in rows.groupBy(class_col).count().collect() if r[0] is not None}
+    if not counts:
+        return rows.limit(0)
+    share = F.create_map(*[F.lit(x) for c, k in counts.items() for x in (c, min(1.0, n / k))])
+    u = F.pmod(F.xxhash64(F.lit(7), F.col(id_col)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    return rows.where(F.col(class_col).isNotNull() & (u < share[F.col(class_col)])).limit(2 * n * len(counts))
