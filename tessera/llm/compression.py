@@ -147,3 +147,14 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                                              names=[*cols, "evidence", "score"])
 
     return src.mapInArrow(run, schema)
+
+
+def keep_good(docs: DataFrame, model: Model, least: float = 0.7, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, that score ``least`` or more. Their order in a partition stays."""
+    def run(batches):
+        good, bad = model.compressors()
+        for batch in byte_batches(batches):
+            x = np.array([evidence(t, good, bad, model.fit.window) for t in batch.column(text_col).to_pylist()])
+            yield batch.filter(pa.array(probability(x, model.weights) >= least))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -111,3 +111,30 @@ def op3_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import knn
 
     return knn.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+OP7_SQL = r"""
+WITH w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                '[\x20\x09-\x0D]+'), x -> x <> '') AS words FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+    ELSE list_distinct([array_to_string(words[i:i + 4], ' ') FOR i IN range(1, len(words) - 3)]) END AS sh FROM w),
+t AS (SELECT doc_id, unnest(sh) AS g FROM s),
+n AS (SELECT doc_id, len(sh) AS n FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM t a JOIN t b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT p.a, p.b FROM p JOIN n x ON p.a = x.doc_id JOIN n y ON p.b = y.doc_id WHERE 100 * k >= 80 * (x.n + y.n - k)),
+u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r AS (
+  WITH RECURSIVE reach(node, other) AS (SELECT a, b FROM u UNION SELECT reach.node, u.b FROM reach JOIN u ON reach.other = u.a)
+  SELECT node, min(other) AS least FROM reach GROUP BY 1)
+SELECT n.doc_id, CAST(n.n AS BIGINT) AS n_shingles, least(n.doc_id, coalesce(r.least, n.doc_id)) AS component_id
+FROM n LEFT JOIN r ON r.node = n.doc_id
+"""
+
+
+@register("op7_jaccard_join", OP7_SQL)
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import jaccard_join
+
+    return jaccard_join.link(table(spark, sf_dir, "documents"))
