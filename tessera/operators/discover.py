@@ -8,15 +8,14 @@ so nothing holds a whole file in one place except where a file's width bounds it
 from __future__ import annotations
 
 import difflib
-import re
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
-from ..functions import snake_case, year_month_label
-from .lineage import FILE
+from ..functions import header_norm, snake_case, trim_ws, year_month_label
+from .lineage import FILE, file_keys
 
 # Header-row heuristic thresholds.
 TEXT_SHARE = 0.8
@@ -38,122 +37,114 @@ def header_row_guess(cells: DataFrame, scope=(FILE,), max_rows: int | None = Non
     """
     scope = list(scope)
     c = cells if max_rows is None else cells.where(F.col("row") < max_rows)
-    per_row = (c.where(F.col("value").isNotNull())
-               .groupBy(*scope, "row")
-               .agg(F.count(F.lit(1)).alias("filled"),
-                    F.sum((F.col("kind") == "text").cast("int")).alias("texts")))
-    width = c.groupBy(*scope).agg((F.max("col") + 1).alias("width"))
-    # text-heavy rows reduced to the lowest row per (file, fill count): bounded by the width
-    by_fill = (per_row.where(F.col("texts") / F.col("filled") > TEXT_SHARE)
-               .groupBy(*scope, "filled").agg(F.min("row").alias("row")))
+    there = F.col("value").isNotNull()
+    stats = c.groupBy(*scope, "row").agg(F.sum(there.cast("long")).alias("filled"), F.sum((there & (F.col("kind") == "text")).cast("long")).alias("texts"),
+                                         (F.max("col") + 1).alias("w"))
+    return first_header_row(stats, scope)
+
+
+def first_header_row(stats: DataFrame, scope: list[str]) -> DataFrame:
+    """(scope, header_row) from (scope, row, filled, texts, w): per file the first row with a text share > 0.8 and a fill > 0.5 of the
+    file's own width, else 0.
+
+    Text-heavy rows are first reduced to the lowest row per (file, fill count), a table bounded by
+    the width of a file; only that small table meets the per-file width. Both aggregates combine
+    per task before the shuffle, so a file holding a third of all rows costs no single hot task.
+    """
+    width = stats.groupBy(*scope).agg(F.max("w").alias("width"))
+    heavy = stats.where((F.col("filled") > 0) & (F.col("texts") / F.col("filled") > TEXT_SHARE))
+    by_fill = heavy.groupBy(*scope, "filled").agg(F.min("row").alias("row"))
     first = (by_fill.join(width, scope).where(F.col("filled") / F.col("width") > FILL_SHARE)
              .groupBy(*scope).agg(F.min("row").alias("header_row")))
-    return (width.select(*scope).join(first, scope, "left")
-            .select(*scope, F.coalesce("header_row", F.lit(0)).alias("header_row")))
+    return width.select(*scope).join(first, scope, "left").select(*scope, F.coalesce("header_row", F.lit(0)).alias("header_row"))
 
 
 # ---------------------------------------------------------------------------------------------
 # M2
 
 
-_HIT = ArrayType(StructType([StructField("t", IntegerType()), StructField("sub", BooleanType()),
-                             StructField("close", BooleanType())]))
+# Rough bounds in the JVM leave few pairs to the exact ratio, which is a small Arrow-batched helper.
 
 
-def _hits_udf(pools: list[list[str]]):
-    """Pandas UDF: for each header, the targets it hits by substring or close match."""
-    lowered = [[c.lower() for c in pool] for pool in pools]
+@F.pandas_udf(DoubleType())
+def _ratio(first: pd.Series, second: pd.Series) -> pd.Series:
+    """Share of matching characters of two texts, as ``difflib`` counts them."""
+    return pd.Series([difflib.SequenceMatcher(None, a, b).ratio() for a, b in zip(first, second)], dtype="float64")
 
-    @F.pandas_udf(_HIT)
-    def hits(headers: pd.Series) -> pd.Series:
-        out = []
-        for h in headers:
-            if h is None:
-                out.append([])
-                continue
-            low = str(h).lower().strip()
-            row = []
-            for t, pool in enumerate(pools):
-                sub = any(c and c in low for c in lowered[t])
-                close = bool(difflib.get_close_matches(low, pool, n=1, cutoff=CLOSE_CUTOFF))
-                if sub or close:
-                    row.append({"t": t, "sub": sub, "close": close})
-            out.append(row)
-        return pd.Series(out)
 
-    return hits
+def _may_reach(a, b, cutoff: float):
+    """The ratio 2 * matches / (length of both) cannot reach the cutoff unless the texts have enough characters in common."""
+    both = F.length(a) + F.length(b)
+    chars = F.array_distinct(F.split(a, ""))
+    times = lambda text, c: F.length(text) - F.length(F.replace(text, c, F.lit("")))
+    common = F.aggregate(chars, F.lit(0), lambda n, c: n + F.when(c == "", 0).otherwise(F.least(times(a, c), times(b, c))))
+    short = 2 * F.least(F.length(a), F.length(b)) >= cutoff * both - 1e-9
+    return F.when(short, 2 * common >= cutoff * both - 1e-9).otherwise(F.lit(False))
 
 
-def synonym_hits(headers: DataFrame, synonyms: dict, header_col: str = "header") -> DataFrame:
-    """Per header, every target it could take: ``(…, t, target, sub, close)`` rows.
+def _term_rows(synonyms: dict, form=lambda c: c):
+    """All (target position, position, term) of a synonym configuration as one literal array: the targets' own names come first."""
+    listed = [(t, term) for t, (name, terms) in enumerate(synonyms.items()) for term in (name, *terms)]
+    return F.array(*[F.struct(F.lit(t).alias("t"), F.lit(k).alias("k"), form(F.lit(str(term))).alias("term"))
+                     for k, (t, term) in enumerate(listed)])
 
-    The matching runs once per distinct header text (corpora repeat the same headers across many
-    files) and is joined back on the text.
-    """
-    targets = list(synonyms)
-    pools = [[t] + list(synonyms[t]) for t in targets]
-    names = F.array(*[F.lit(t) for t in targets])
+
+def _texts_with_terms(headers: DataFrame, header_col: str, synonyms: dict, form=lambda c: c) -> DataFrame:
+    """Each distinct header text beside each term of the configuration."""
     texts = headers.select(F.col(header_col).alias("__h")).where(F.col("__h").isNotNull()).distinct()
-    # explode_outer + filter: an inner explode lets the optimizer infer ``size(udf(…)) > 0`` and push
-    # it below the distinct, which would run the matcher on every row instead of every text
-    hits = (texts.withColumn("__hits", _hits_udf(pools)(F.col("__h")))
-            .select("__h", F.explode_outer("__hits").alias("h")).where(F.col("h").isNotNull()))
+    return texts.withColumn("term", F.explode(_term_rows(synonyms, form))).select("__h", "term.*")
+
+
+def _target_names(synonyms: dict):
+    return F.array(*[F.lit(t) for t in synonyms])
+
+
+def substring_hits(headers: DataFrame, synonyms: dict, header_col: str = "header") -> DataFrame:
+    """Per header the targets with a term contained in it (case-blind); no Python."""
+    pairs = _texts_with_terms(headers, header_col, synonyms)
+    low = trim_ws(F.lower(F.col("__h")))
+    hits = pairs.where((F.col("term") != "") & F.contains(low, F.lower("term"))).select("__h", "t").distinct()
     joined = headers.join(hits, headers[header_col] == hits["__h"])
-    return joined.select(*[headers[c] for c in headers.columns], F.col("h.t").alias("t"),
-                         F.element_at(names, F.col("h.t") + 1).alias("target"),
-                         F.col("h.sub").alias("sub"), F.col("h.close").alias("close"))
+    return joined.select(*[headers[c] for c in headers.columns], "t", F.element_at(_target_names(synonyms), F.col("t") + 1).alias("target"))
+
 
+def synonym_hits(headers: DataFrame, synonyms: dict, header_col: str = "header") -> DataFrame:
+    """Per header, every target it could take: ``(…, t, target, sub, close)`` rows.
 
-_ASSIGN = StructType([StructField(FILE, StringType()), StructField("ordinal", IntegerType()),
-                      StructField("t", IntegerType())])
+    Terms meet each distinct header text once (corpora repeat the same headers across many files). Containment is a
+    JVM expression; only pairs that may be close enough get their ratio computed.
+    """
+    pairs = _texts_with_terms(headers, header_col, synonyms).withColumn("low", trim_ws(F.lower(F.col("__h"))))
+    sub = (F.col("term") != "") & F.contains(F.col("low"), F.lower("term"))
+    pairs = pairs.withColumn("sub", sub).withColumn("may", _may_reach(F.col("term"), F.col("low"), CLOSE_CUTOFF))
+    plain = pairs.where("sub").select("__h", "t", F.lit(True).alias("sub"), F.lit(False).alias("close"))
+    close = pairs.where("may").select("__h", "t", F.lit(False).alias("sub"), (_ratio("term", "low") >= CLOSE_CUTOFF).alias("close")).where("close")
+    hits = plain.unionByName(close).groupBy("__h", "t").agg(F.max("sub").alias("sub"), F.max("close").alias("close"))
+    joined = headers.join(hits, headers[header_col] == hits["__h"])
+    return joined.select(*[headers[c] for c in headers.columns], "t", F.element_at(_target_names(synonyms), F.col("t") + 1).alias("target"), "sub", "close")
 
 
-def greedy_assign(hits_in_order, n_targets: int) -> list:
-    """Once-only walk: ``hits_in_order`` is ``[(key, {t: (sub, close)}), …]`` in header order.
+def assign_once(hits_in_order, n_targets: int) -> list:
+    """Give each header of a file at most one target and each target at most one header.
 
-    Per header, targets are tried in configured order: a used one is skipped; a substring hit
-    takes the target; after a close match the search ends at the next unused target unless that
-    one has a substring hit; a close match alone takes its target.
+    ``hits_in_order``: ``[(key, {t: (sub, close)}), …]`` in header order. A header takes its first hit among the free
+    targets; when that is only close, the next free target takes precedence if it is contained in the header.
     """
-    used: set = set()
-    out = []
+    free, out = list(range(n_targets)), []
     for key, hits in hits_in_order:
-        best = None
-        for t in range(n_targets):
-            if t in used:
-                continue
-            sub, close = hits.get(t, (False, False))
-            if sub:
-                best = t
-                break
-            if best is not None:
-                break
-            if close:
-                best = t
-        if best is not None:
-            used.add(best)
-            out.append((key, best))
+        wanted = [k for k, t in enumerate(free) if t in hits and any(hits[t])]
+        if not wanted:
+            continue
+        k = wanted[0]
+        following = hits.get(free[k + 1], (False,))[0] if k + 1 < len(free) else False
+        out.append((key, free.pop(k + 1 if following and not hits[free[k]][0] else k)))
     return out
 
 
-def _greedy_fn(n_targets: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        """The candidates of one file (at most |T|² rows) walked in header order."""
-        file_name = pdf[FILE].iloc[0]
-        ordered = []
-        for ordinal, grp in pdf.sort_values(["ordinal", "t"]).groupby("ordinal", sort=True):
-            ordered.append((int(ordinal), {int(r.t): (bool(r.sub), bool(r.close)) for r in grp.itertuples()}))
-        picks = greedy_assign(ordered, n_targets)
-        return pd.DataFrame([(file_name, o, t) for o, t in picks], columns=[FILE, "ordinal", "t"])
-    return run
-
-
 def auto_map(headers: DataFrame, synonyms: dict) -> DataFrame:
     """M2: map each header of each file to a target field, each target at most once per file.
 
-    Walks headers in order; for the first unused target with a term contained in the header it
-    stops, a close match (ratio >= 0.82) is kept unless the next unused target has a substring
-    hit. Unmapped headers get their snake_case form.
+    Headers are taken in order (see ``assign_once``); a header without a target gets its snake_case form.
 
     Scale: a header that matches target t while t is free always takes some target, so the header
     that finally takes t is among the first |T| headers hitting t. Candidates are cut to those
@@ -161,17 +152,24 @@ def auto_map(headers: DataFrame, synonyms: dict) -> DataFrame:
     and the ordered walk runs per file on at most |T|² rows.
     """
     n = len(synonyms)
-    targets = list(synonyms)
-    hits = synonym_hits(headers, synonyms)
-    w = Window.partitionBy(FILE, "t").orderBy("ordinal")
-    cand = (hits.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= n)
-            .select(FILE, F.col("ordinal").cast("int").alias("ordinal"), "t", "sub", "close"))
-    picks = cand.groupBy(FILE).applyInPandas(_greedy_fn(n), _ASSIGN)
-    names = F.array(*[F.lit(t) for t in targets])
-    out = headers.join(picks, [FILE, "ordinal"], "left")
+    scope = file_keys(headers)
+    w = Window.partitionBy(*scope, "t").orderBy("ordinal")
+    cand = (synonym_hits(headers, synonyms).withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= n)
+            .select(*scope, F.col("ordinal").cast("long").alias("ordinal"), "t", "sub", "close"))
+    schema = StructType([*(cand.schema[c] for c in scope), StructField("ordinal", LongType()), StructField("t", IntegerType())])
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        ordered = {}
+        for r in pdf.sort_values(["ordinal", "t"]).itertuples():
+            ordered.setdefault(int(r.ordinal), {})[int(r.t)] = (bool(r.sub), bool(r.close))
+        picks = pd.DataFrame(assign_once(ordered.items(), n), columns=["ordinal", "t"])
+        return picks.assign(**{c: pdf[c].iloc[0] for c in scope})[[*scope, "ordinal", "t"]]
+
+    picks = cand.groupBy(*scope).applyInPandas(walk, schema)
+    out = headers.join(picks, [*scope, "ordinal"], "left")
     return out.select(
-        FILE, "ordinal", "header",
-        F.when(F.col("t").isNotNull(), F.element_at(names, F.col("t") + 1))
+        *scope, "ordinal", "header",
+        F.when(F.col("t").isNotNull(), F.element_at(_target_names(synonyms), F.col("t") + 1))
          .otherwise(snake_case(F.col("header"))).alias("target"),
         F.when(F.col("t").isNotNull(), F.lit("synonym")).otherwise(F.lit("snake_case")).alias("how"))
 
@@ -179,53 +177,24 @@ def auto_map(headers: DataFrame, synonyms: dict) -> DataFrame:
 def first_substring_target(headers: DataFrame, synonyms: dict) -> DataFrame:
     """Per header the first target (config order) with a term contained in it, without the
     once-only rule; headers without a hit are left out."""
-    hits = synonym_hits(headers, synonyms).where("sub")
-    return (hits.groupBy(*headers.columns).agg(F.min("t").alias("t"))
-            .withColumn("target", F.element_at(F.array(*[F.lit(t) for t in synonyms]), F.col("t") + 1))
-            .drop("t"))
+    return (substring_hits(headers, synonyms).groupBy(*headers.columns).agg(F.min("t").alias("t"))
+            .withColumn("target", F.element_at(_target_names(synonyms), F.col("t") + 1)).drop("t"))
 
 
 # ---------------------------------------------------------------------------------------------
 # M3
 
-_NORM = re.compile(r"[^a-z0-9]+")
-
-
-def _norm(text: str) -> str:
-    return re.sub(r"\s+", " ", _NORM.sub(" ", text.lower())).strip()
-
-
-def best_target_udf(synonyms: dict):
-    pairs = [(t, _norm(term)) for t, terms in synonyms.items() for term in [t] + list(terms)]
-
-    @F.pandas_udf(StringType())
-    def best(headers: pd.Series) -> pd.Series:
-        out = []
-        for h in headers:
-            if h is None:
-                out.append(None)
-                continue
-            src = _norm(str(h))
-            best_score, best_t = 0.0, None
-            sm = difflib.SequenceMatcher(None, src, "")
-            for t, term in pairs:
-                sm.set_seq2(term)
-                score = sm.ratio()
-                if score > best_score:
-                    best_score, best_t = score, t
-            out.append(best_t if best_score >= BEST_CUTOFF else None)
-        return pd.Series(out, dtype=object)
-
-    return best
-
 
 def best_target(headers: DataFrame, synonyms: dict, header_col: str = "header") -> DataFrame:
-    """M3: best target by similarity ratio (>= 0.6) of normalised texts; first best wins.
-
-    Scored once per distinct header text, then joined back."""
-    texts = headers.select(F.col(header_col).alias("__h")).where(F.col("__h").isNotNull()).distinct()
-    scored = texts.withColumn("target", best_target_udf(synonyms)(F.col("__h")))
-    out = headers.join(scored, headers[header_col].eqNullSafe(scored["__h"]), "left")
+    """M3: best target by similarity ratio (>= 0.6) of normalised texts; of equal ones the first in the configuration.
+
+    Every distinct header text meets every term once; pairs that cannot reach the cutoff are left out before
+    the ratio, and an aggregation takes the best."""
+    pairs = _texts_with_terms(headers, header_col, synonyms, header_norm).withColumn("norm", header_norm(F.col("__h")))
+    near = pairs.where(_may_reach(F.col("norm"), F.col("term"), BEST_CUTOFF)).withColumn("ratio", _ratio("norm", "term"))
+    best = near.where(F.col("ratio") >= BEST_CUTOFF).groupBy("__h").agg(F.min(F.struct((-F.col("ratio")).alias("r"), "k", "t")).alias("b"))
+    scored = best.select("__h", F.element_at(_target_names(synonyms), F.col("b.t") + 1).alias("target"))
+    out = headers.join(scored, headers[header_col] == scored["__h"], "left")
     return out.select(*[headers[c] for c in headers.columns], "target")
 
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions.text import MONTH_WORDS
-from tessera.operators.discover import BEST_CUTOFF, CLOSE_CUTOFF, greedy_assign
+from tessera.operators.discover import BEST_CUTOFF, CLOSE_CUTOFF, assign_once
 from tessera.operators.lineage import FILE
 from tessera.operators.synonyms import DEFAULT_SYNONYMS, LEARNED_SYNONYMS, as_dict, merge_synonyms, synonym_frame
 from tessera.plans import q_discover, q_transform, q_validate
@@ -67,11 +67,11 @@ def test_auto_map_matches_brute_force(spark, sf):
 
 def test_auto_map_close_match_then_next_target():
     # close match on target 0, no hit on target 1 -> search ends with target 0
-    assert greedy_assign([(0, {0: (False, True), 2: (True, False)})], 3) == [(0, 0)]
+    assert assign_once([(0, {0: (False, True), 2: (True, False)})], 3) == [(0, 0)]
     # close match on 0, substring on the next unused target -> that one wins
-    assert greedy_assign([(0, {0: (False, True), 1: (True, False)})], 3) == [(0, 1)]
+    assert assign_once([(0, {0: (False, True), 1: (True, False)})], 3) == [(0, 1)]
     # used targets are skipped
-    assert greedy_assign([(0, {0: (True, False)}), (1, {0: (True, False), 2: (False, True)})], 3) == [(0, 0), (1, 2)]
+    assert assign_once([(0, {0: (True, False)}), (1, {0: (True, False), 2: (False, True)})], 3) == [(0, 0), (1, 2)]
 
 
 def test_best_target_matches_difflib(spark):
