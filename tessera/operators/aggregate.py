@@ -10,7 +10,7 @@ from pyspark.sql.types import BooleanType, NumericType
 
 from ..functions import to_num
 from ..spec import PROVIDER_FIELD
-from .lineage import FILE, LINEAGE, ORD, qc
+from .lineage import FILE, LINEAGE, NUMERIC, ORD, file_keys, qc
 
 log = logging.getLogger(__name__)
 
@@ -27,12 +27,13 @@ def _is_numeric(df: DataFrame, c: str) -> bool:
 
 
 def group_sum(df: DataFrame, keys, var_name: str | None = None, per_file: bool = True,
-              row_ok: str | None = None) -> DataFrame:
+              row_ok: str | None = None, constant: str | None = None) -> DataFrame:
     """A1: sum every numeric column by the keys (+ unpivot variable, + provider).
 
     Rows with a null key are dropped; an all-null group sums to null; non-numeric, non-key columns
     leave the frame. Aggregation is partial per partition first, so a hot key costs one row per
-    map task in the shuffle. With ``per_file`` the groups stay inside their source file.
+    map task in the shuffle. With ``per_file`` the groups stay inside their source file. ``constant``: a provider that is the
+    same for all rows; it is set afterwards and not grouped by, so a later step keyed as the groups needs no shuffle of its own.
     """
     present = [k for k in keys if k in df.columns]
     if not present:
@@ -41,17 +42,22 @@ def group_sum(df: DataFrame, keys, var_name: str | None = None, per_file: bool =
     group = list(present)
     if var_name and var_name in df.columns and var_name not in group:
         group.append(var_name)
-    if PROVIDER_FIELD in df.columns and PROVIDER_FIELD not in group:
+    fixed = constant is not None and PROVIDER_FIELD in df.columns and PROVIDER_FIELD not in group
+    if PROVIDER_FIELD in df.columns and PROVIDER_FIELD not in group and not fixed:
         group.append(PROVIDER_FIELD)
-    scope = [FILE] if per_file and FILE in df.columns and FILE not in group else []
-    numeric = [c for c in df.columns if c not in group and c not in LINEAGE and c != row_ok
-               and _is_numeric(df, c)]
+    scope = [c for c in file_keys(df) if c not in group] if per_file else []
+    # text columns that are numbers in some files are summed there and null in the others
+    mixed = set(df.schema[NUMERIC].metadata.get("columns", [])) if NUMERIC in df.columns else set()
+    numeric = [c for c in df.columns if c not in group and c not in LINEAGE and c not in (row_ok, PROVIDER_FIELD if fixed else None)
+               and (_is_numeric(df, c) or c in mixed)]
     if not numeric:
         log.warning("combine_on=%s requested but no numeric columns to aggregate", ",".join(present))
         return df.where(F.col(row_ok)).drop(row_ok) if row_ok else df
 
     def value(c):
         v = qc(c).cast("long") if isinstance(df.schema[c].dataType, BooleanType) else qc(c)
+        if not _is_numeric(df, c):
+            v = F.when(F.array_contains(NUMERIC, c), to_num(qc(c)))
         return F.when(F.col(row_ok), v) if row_ok else v
 
     sums = [F.sum(value(c)).alias(c) for c in numeric]
@@ -67,7 +73,8 @@ def group_sum(df: DataFrame, keys, var_name: str | None = None, per_file: bool =
     if row_ok:
         out = out.where(F.col("__any_ok") == 1).drop("__any_ok")
     out = out.withColumn(ORD, F.struct(*[qc(g) for g in group]))
-    return out.select(*[qc(c) for c in group + numeric + scope], ORD)
+    given = [F.lit(constant).alias(PROVIDER_FIELD)] if fixed else []
+    return out.select(*[qc(c) for c in group], *given, *[qc(c) for c in numeric + scope], ORD)
 
 
 def provider_totals(df: DataFrame, amount: str = "sales_amount", provider: str = PROVIDER_FIELD) -> DataFrame:
@@ -97,7 +104,7 @@ def column_profile(df: DataFrame, columns=None, per_file: bool = True) -> DataFr
     numbers in 1900..2100 (> 0.6, false without numbers); ``mean_len`` counts null as length 0.
     """
     cols = [c for c in (columns or df.columns) if c not in LINEAGE]
-    scope = [FILE] if per_file and FILE in df.columns else []
+    scope = file_keys(df) if per_file else []
     # parse and measure each cell once in a projection; the aggregates then read plain columns
     cells = df.select(*[qc(c) for c in scope],
                       *[to_num(qc(c), df.schema[c].dataType).alias(f"__x{i}") for i, c in enumerate(cols)],
@@ -134,7 +141,7 @@ def file_sizes(df: DataFrame) -> DataFrame:
     (the file's own columns when the frame stacks several layouts)."""
     from .lineage import LAYOUT, SHEET
     cols = [c for c in df.columns if c not in LINEAGE and c != SHEET]
-    scope = [FILE] + ([SHEET] if SHEET in df.columns else [])
+    scope = file_keys(df) + ([SHEET] if SHEET in df.columns else [])
     width = F.max(F.size(LAYOUT)) if LAYOUT in df.columns else F.lit(len(cols))
     return df.groupBy(*scope).agg(F.count(F.lit(1)).alias("rows"), width.alias("columns"))
 

@@ -6,28 +6,35 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType, NullType, NumericType
 
 from ..operators.lineage import qc
 
 HOW = {"inner": "inner", "left": "left", "right": "right", "outer": "full", "full": "full"}
 
 
+def widest(types) -> str:
+    """One type for columns of several: whole numbers become long, numbers of any kind double, anything else text."""
+    kinds = [t for t in types if not isinstance(t, NullType)]
+    if all(isinstance(t, IntegralType) for t in kinds):
+        return "long"
+    return "double" if all(isinstance(t, NumericType) for t in kinds) else "string"
+
+
 def stack_by_name(frames: list[DataFrame]) -> DataFrame:
     """Union by column name, first-seen column order, missing columns null.
 
-    A column whose type differs between frames is cast to text in all of them (Spark would
-    otherwise coerce text to a number and fail at run time).
+    A column whose type differs between frames gets the type that holds them all (``widest``); numbers stay numbers.
     """
     if not frames:
         raise ValueError("nothing to stack")
-    types: dict[str, set] = {}
+    types: dict[str, list] = {}
     for f in frames:
         for field in f.schema.fields:
-            types.setdefault(field.name, set()).add(field.dataType.simpleString())
-    clash = {c for c, t in types.items() if len(t) > 1}
-    if clash:
-        frames = [f.withColumns({c: qc(c).cast("string") for c in f.columns if c in clash})
-                  for f in frames]
+            types.setdefault(field.name, []).append(field.dataType)
+    wide = {c: widest(t) for c, t in types.items() if len({x.simpleString() for x in t}) > 1}
+    if wide:
+        frames = [f.withColumns({c: qc(c).cast(wide[c]) for c in f.columns if c in wide}) for f in frames]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
@@ -67,13 +74,11 @@ def missing_key_report(schemas: dict[str, list[str]], keys: list[str], show: int
 
 
 def missing_keys_by_file(df: DataFrame, keys: list[str], show: int = 5) -> DataFrame:
-    """J6 over a stacked frame: per file, the merge keys it lacks (a key is present in a file when
-    it has a value there), with a message naming the first ``show``. One aggregate pass."""
-    from .lineage import FILE, LINEAGE
-    cols = [c for c in df.columns if c not in LINEAGE]
-    counts = df.groupBy(FILE).agg(*[F.count(qc(c)).alias(f"__n{i}") for i, c in enumerate(cols)])
-    present = F.filter(F.array(*[F.when(F.col(f"__n{i}") > 0, F.lit(c)) for i, c in enumerate(cols)]),
-                       lambda x: x.isNotNull())
+    """J6 over a stacked frame: per file, the merge keys it lacks (see ``columns_by_file``), with a message naming the
+    first ``show``. One aggregate pass."""
+    from .lineage import FILE
+    from .validate import columns_by_file
+    counts, present = columns_by_file(df), F.col("present")
     missing = F.filter(F.array(*[F.lit(k) for k in keys]), lambda k: ~F.array_contains(present, k))
     out = counts.select(FILE, missing.alias("missing"))
     more = F.when(F.size("missing") > show, F.lit("...")).otherwise(F.lit(""))
@@ -90,18 +95,14 @@ def merge_two(left: DataFrame, right: DataFrame, keys: list[str], how: str, suff
     overlap = {c for c in right.columns if c in left.columns and c not in keys}
     r = right.select(*[qc(c).alias(f"__r_{c}") if c in keys else
                        qc(c).alias(f"{c}{suffix}" if c in overlap else c) for c in right.columns])
-    cond = reduce(lambda a, b: a & b, [left[k].eqNullSafe(r[f"__r_{k}"]) for k in keys])
-    joined = left.join(r, cond, join_type)
-    if join_type == "right":
-        key_cols = [F.col(f"__r_{k}").alias(k) for k in keys]
-    elif join_type == "full":
-        key_cols = [F.coalesce(left[k], F.col(f"__r_{k}")).alias(k) for k in keys]
-    else:
-        key_cols = [left[k].alias(k) for k in keys]
+    mine = left.withColumnsRenamed({c: f"__l_{c}" for c in left.columns})
+    cond = reduce(lambda a, b: a & b, [qc(f"__l_{k}").eqNullSafe(qc(f"__r_{k}")) for k in keys])
+    joined = mine.join(r, cond, join_type)
+    key = {"right": lambda k: qc(f"__r_{k}"), "full": lambda k: F.coalesce(qc(f"__l_{k}"), qc(f"__r_{k}"))}.get(
+        join_type, lambda k: qc(f"__l_{k}"))
     right_rest = [qc(f"{c}{suffix}" if c in overlap else c) for c in right.columns if c not in keys]
     # output order: left columns with the keys in place, then the right side's non-key columns
-    ordered = [key_cols[keys.index(c)] if c in keys else left[c] for c in left.columns]
-    return joined.select(*ordered, *right_rest)
+    return joined.select(*[(key(c) if c in keys else qc(f"__l_{c}")).alias(c) for c in left.columns], *right_rest)
 
 
 def merge_frames(frames: list[DataFrame], keys: list[str], how: str = "inner") -> DataFrame:

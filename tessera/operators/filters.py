@@ -2,69 +2,73 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, NumericType
+from pyspark.sql.types import NumericType
 
-from .lineage import FILE, LINEAGE, qc, small_file_set
+from ..session import checkpointed
+from .lineage import LINEAGE, file_keys, qc
 
-OPERATORS = ("=", "!=", ">", ">=", "<", "<=", "contains")
+# One entry per operator: what a cell and a value make of a row. A null cell matches "!=" alone.
+CONDITIONS = {
+    "=": lambda c, v: c == F.lit(v),                                              # F1
+    "!=": lambda c, v: ~c.eqNullSafe(F.lit(v)),                                   # F2
+    ">": lambda c, v: c > F.lit(v),                                               # F3
+    ">=": lambda c, v: c >= F.lit(v),                                             # F4
+    "<": lambda c, v: c < F.lit(v),                                               # F5
+    "<=": lambda c, v: c <= F.lit(v),                                             # F6
+    "contains": lambda c, v: F.coalesce(c.cast("string").rlike(str(v)), F.lit(False)),  # a pattern
+}
+OPERATORS = tuple(CONDITIONS)
 
 
 @dataclass(frozen=True)
 class Term:
+    """One filter: column, operator (default "=") and value, blanks around them ignored."""
+
     column: str
     op: str = "="
     value: str = ""
 
+    @classmethod
+    def of(cls, given) -> "Term":
+        """From a term, a (column, operator, value) triple or a dict with ``column``, ``operator``, ``value``."""
+        if isinstance(given, cls):
+            return given
+        parts = [given.get(k) for k in ("column", "operator", "value")] if isinstance(given, dict) else list(given)
+        column, op, value = ("" if p is None else str(p).strip() for p in parts)
+        return cls(column, op or "=", value)
+
 
 def _terms(filters) -> list[Term]:
-    out = []
-    for f in filters or []:
-        if isinstance(f, Term):
-            out.append(f)
-        elif isinstance(f, dict):
-            out.append(Term(str(f.get("column", "")).strip(), str(f.get("operator", "")).strip() or "=",
-                            str(f.get("value", "")).strip()))
-        else:
-            col, op, val = f
-            out.append(Term(str(col).strip(), str(op).strip() or "=", str(val).strip()))
-    return out
+    return [Term.of(f) for f in filters or []]
+
+
+def typed_literal(dtype, text: str):
+    """The value as the column's kind of literal; None if a number is asked for and it is none."""
+    if not isinstance(dtype, NumericType):
+        return text
+    try:
+        return float(text)
+    except ValueError:
+        return None
 
 
 def term_condition(df: DataFrame, term: Term):
     """Condition of one filter term, or ``None`` when the term is skipped.
 
-    Skipped: empty or unknown column, empty value, numeric column with a non-number value.
+    Skipped: empty or unknown column or operator, empty value, numeric column with a non-number value.
     """
-    if not term.column or term.column not in df.columns or term.value == "":
+    make = CONDITIONS.get(term.op.lower())
+    if make is None or term.column not in df.columns or term.value == "":
+        return None
+    value = typed_literal(df.schema[term.column].dataType, term.value)
+    if value is None:
         return None
-    c = F.col(term.column)
-    dtype = df.schema[term.column].dataType
-    value: object = term.value
-    if isinstance(dtype, NumericType) and not isinstance(dtype, BooleanType):
-        try:
-            value = float(term.value)
-        except ValueError:
-            return None
-    op = term.op
-    if op == "=":
-        return c == F.lit(value)                      # F1: null never matches
-    if op == "!=":
-        return ~c.eqNullSafe(F.lit(value))           # F2: null matches
-    if op == ">":
-        return c > F.lit(value)                       # F3
-    if op == ">=":
-        return c >= F.lit(value)                      # F4
-    if op == "<":
-        return c < F.lit(value)                       # F5
-    if op == "<=":
-        return c <= F.lit(value)                      # F6
-    if op.lower() == "contains":                      # F7: regex search, null never matches
-        return F.coalesce(c.cast("string").rlike(str(term.value)), F.lit(False))
-    return None
+    return make(qc(term.column), term.value if term.op.lower() == "contains" else value)
 
 
 def apply_filters(df: DataFrame, filters) -> DataFrame:
@@ -97,8 +101,9 @@ def build_sql(view: str, columns, filters, df_columns=None) -> tuple[str, dict]:
     return f"SELECT {cols} FROM {_quote_ident(view)}{where}", args
 
 
-def filter_sql(spark: SparkSession, df: DataFrame, columns, filters, view: str = "data") -> DataFrame:
-    """F8: run the filter query as parameterised SQL over a temp view of ``df``."""
+def filter_sql(spark: SparkSession, df: DataFrame, columns, filters, view: str | None = None) -> DataFrame:
+    """F8: run the filter query as parameterised SQL over a temp view of ``df`` (a name of its own by default)."""
+    view = view or f"filter_{uuid.uuid4().hex}"
     df.createOrReplaceTempView(view)
     text, args = build_sql(view, columns, filters, df.columns)
     return spark.sql(text, args=args)
@@ -127,16 +132,15 @@ def sparse_decision(df: DataFrame, threshold: float, per_file: bool = True):
     cols = [c for c in df.columns if c not in LINEAGE]
     if not cols:
         return cols, [], None
-    scoped = per_file and FILE in df.columns
-    share = [F.avg(qc(c).isNotNull().cast("double")).alias(c) for c in cols]
-    stats = df.groupBy(FILE).agg(*share) if scoped else df.agg(*share)
-    keep = [F.coalesce(qc(c) >= threshold, F.lit(False)) for c in cols]
+    scoped = file_keys(df) if per_file else []
+    share = [F.avg(qc(c).isNotNull().cast("double")).alias(f"__s{i}") for i, c in enumerate(cols)]
+    stats = df.groupBy(*scoped).agg(*share)
+    keep = [F.coalesce(F.col(f"__s{i}") >= threshold, F.lit(False)) for i in range(len(cols))]
     any_keep = keep[0]
     for k in keep[1:]:
         any_keep = any_keep | k
-    decision = stats.select(*([FILE] if scoped else []),
-                            *[F.when(any_keep, k).otherwise(F.lit(True)).alias(c)
-                              for k, c in zip(keep, cols)])
+    decision = stats.select(*scoped, *[F.when(any_keep, k).otherwise(F.lit(True)).alias(c) for k, c in zip(keep, cols)])
+    decision = checkpointed(decision) if scoped else decision  # one row per file, used by all that follows
     summary = decision.agg(*[F.max(qc(c).cast("int")).alias(f"any_{i}") for i, c in enumerate(cols)],
                            *[F.min(qc(c).cast("int")).alias(f"all_{i}") for i, c in enumerate(cols)]
                            ).first()
@@ -146,7 +150,7 @@ def sparse_decision(df: DataFrame, threshold: float, per_file: bool = True):
     mixed = [c for i, c in enumerate(cols) if c in kept and summary[f"all_{i}"] == 0]
     flags = None
     if mixed and scoped:
-        flags = decision.select(FILE, *[qc(c).alias(f"__keep_{c}") for c in mixed])
+        flags = decision.select(*scoped, *[qc(c).alias(f"__keep_{c}") for c in mixed])
     return kept, mixed, flags
 
 
@@ -154,16 +158,8 @@ def apply_sparse_decision(df: DataFrame, kept, mixed, flags) -> DataFrame:
     """F10 application: null the cells of files that drop a column, then drop dead columns."""
     out = df
     if mixed and flags is not None:
-        # files that drop each mixed column: literal sets when the lists are small, else a join
-        drops = {c: flags.where(~F.col(f"__keep_{c}")).select(FILE) for c in mixed}
-        sets = {c: small_file_set(d) for c, d in drops.items()}
-        if all(v is not None for v in sets.values()):
-            out = out.select(*[F.when(~F.col(FILE).isin(sets[c]), qc(c)).alias(c) if c in mixed else qc(c)
-                               for c in df.columns])
-        else:
-            out = out.join(flags, FILE, "left")
-            out = out.select(*[F.when(F.col(f"__keep_{c}"), qc(c)).alias(c) if c in mixed else qc(c)
-                               for c in df.columns])
+        out = out.join(flags, file_keys(df), "left")
+        out = out.select(*[F.when(qc(f"__keep_{c}"), qc(c)).alias(c) if c in mixed else qc(c) for c in df.columns])
     keep = set(kept)
     return out.select(*[qc(c) for c in df.columns if c in keep or c in LINEAGE or c.startswith("__")])
 

@@ -1,7 +1,7 @@
 """Lineage columns every operator understands.
 
-``source_file`` names the input file (the per-file scope of the template semantics) and ``__ord``
-is a sortable struct that reproduces the row order of the inputs. Row order matters for
+``source_file`` names the input file for display, ``__path`` tells files apart (the per-file scope of the
+template semantics; frames built by hand may do with the name alone), and ``__ord`` is a sortable struct that reproduces the row order of the inputs. Row order matters for
 keep-first de-duplication and for header rows, and Spark does not keep it by itself once a frame
 is shuffled, so it is carried as data.
 """
@@ -12,11 +12,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 FILE = "source_file"
+# the full path of the input: what files are told apart by (names repeat across folders)
+KEY = "__path"
 ORD = "__ord"
 SHEET = "source_sheet"
 # names of the columns a row's own file has (set by scans that stack several header layouts)
 LAYOUT = "__cols"
-LINEAGE = (FILE, ORD, LAYOUT)
+# names of the text columns that are numbers in a row's own file, where files differ
+NUMERIC = "__numeric"
+LINEAGE = (FILE, ORD, LAYOUT, KEY, NUMERIC)
 
 
 def data_columns(df: DataFrame, exclude=()) -> list[str]:
@@ -25,14 +29,26 @@ def data_columns(df: DataFrame, exclude=()) -> list[str]:
     return [c for c in df.columns if c not in skip]
 
 
+def file_keys(df: DataFrame) -> list[str]:
+    """The columns that name a row's file: the path where the frame has it, and the display name."""
+    return [c for c in (KEY, FILE) if c in df.columns]
+
+
+def input_path():
+    """Path of the input a Parquet row belongs to: a folder ``x.parquet`` that a job wrote counts as one input."""
+    path = F.col("_metadata.file_path")
+    folder = F.regexp_extract(path, r"^(.*?\.parquet)/", 1)
+    return F.when(folder != "", folder).otherwise(path)
+
+
 def with_file_order(df: DataFrame, file_name: bool = True) -> DataFrame:
-    """Add ``source_file`` and ``__ord`` to a file-based scan (Parquet: row index in the file).
+    """Add ``source_file``, ``__path`` and ``__ord`` to a file-based scan (Parquet: row index in the file).
 
     Must be applied directly on the scan, where ``_metadata`` is available.
     """
     out = df
     if file_name:
-        out = out.withColumn(FILE, F.col("_metadata.file_name"))
+        out = out.withColumns({FILE: F.element_at(F.split(input_path(), "/"), -1), KEY: input_path()})
     return out.withColumn(
         ORD, F.struct(F.col("_metadata.file_path").alias("f"),
                       F.col("_metadata.row_index").alias("i")))
@@ -52,37 +68,8 @@ def qc(name: str):
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def spread(df: DataFrame, min_splits: int | None = None) -> DataFrame:
-    """Round-robin the rows over all cores when a scan yields fewer splits than cores.
-
-    A file with one row group is read by one task; the string and parse work after it would then
-    run on one core. Large inputs have far more splits than cores and are returned untouched (no
-    shuffle is added). Call it directly on a scan, after the lineage columns are attached.
-    """
-    try:
-        cores = min_splits or df.sparkSession.sparkContext.defaultParallelism
-        splits = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - sessions without RDD access: leave the plan as it is
-        return df
-    return df if splits >= cores else df.repartition(cores)
-
-
-# A per-file list up to this size is inlined as a literal set (a hash set in the
-# filter, no join); larger lists are joined and the planner picks the strategy.
-MAX_INLINE_FILES = 100_000
-
-
-def small_file_set(files: DataFrame, column: str = FILE, bound: int = MAX_INLINE_FILES) -> list | None:
-    """The distinct values of ``column`` when there are at most ``bound`` of them, else ``None``."""
-    got = files.select(column).distinct().limit(bound + 1).collect()
-    return None if len(got) > bound else [r[0] for r in got]
-
-
-def where_files(df: DataFrame, files: DataFrame, keep: bool, column: str = FILE) -> DataFrame:
-    """Rows whose file is (``keep``) or is not in ``files``: a literal set when small, else a
-    semi / anti join."""
-    names = small_file_set(files, column)
-    if names is not None:
-        cond = F.col(column).isin(names) if names else F.lit(False)
-        return df.where(cond if keep else ~cond | F.col(column).isNull())
-    return df.join(files.select(column).distinct(), column, "left_semi" if keep else "left_anti")
+def where_files(df: DataFrame, files: DataFrame, keep: bool) -> DataFrame:
+    """Rows whose file is (``keep``) or is not in ``files``: a semi / anti join on the file's columns, broadcast when the
+    planner finds the list small."""
+    on = [c for c in file_keys(df) if c in files.columns]
+    return df.join(files.select(*on).distinct(), on, "left_semi" if keep else "left_anti")

@@ -7,7 +7,7 @@ import logging
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .lineage import FILE, LINEAGE, ORD, qc
+from .lineage import FILE, LINEAGE, ORD, file_keys, qc
 
 log = logging.getLogger(__name__)
 
@@ -15,9 +15,8 @@ log = logging.getLogger(__name__)
 def dedupe_first(df: DataFrame, keys, per_file: bool = True) -> DataFrame:
     """Keep the first row (by ``__ord``) of every key; null keys are equal to each other.
 
-    Written as ``min_by`` aggregation rather than a window: the aggregate is combined per map
-    partition before the shuffle, so a key that holds a third of all rows sends one row per task,
-    not all of its rows to one sorter.
+    Written as ``min_by`` aggregation rather than a window: a key that holds a third of all rows sends one row per
+    map task, not all of its rows to one sorter. Rows hold text, so Spark sorts each task's rows by key for it.
     """
     present = [k for k in keys if k in df.columns]
     if not present:
@@ -25,7 +24,7 @@ def dedupe_first(df: DataFrame, keys, per_file: bool = True) -> DataFrame:
         return df
     if ORD not in df.columns:
         raise ValueError("dedupe_first needs the __ord column for keep-first semantics")
-    scope = [FILE] if per_file and FILE in df.columns and FILE not in present else []
+    scope = [c for c in file_keys(df) if c not in present] if per_file else []
     rest = [c for c in df.columns if c not in present and c not in scope]
     first = F.min_by(F.struct(*[qc(c) for c in rest]), F.col(ORD)).alias("__first")
     out = df.groupBy(*[qc(c) for c in scope + present]).agg(first)
@@ -36,7 +35,7 @@ def dedupe_first(df: DataFrame, keys, per_file: bool = True) -> DataFrame:
 def head_per_file(df: DataFrame, n: int) -> DataFrame:
     """First ``n`` rows of every file (a ``row_number <= n`` window; Spark limits it per
     partition before the shuffle)."""
-    w = Window.partitionBy(FILE).orderBy(ORD)
+    w = Window.partitionBy(*file_keys(df)).orderBy(ORD)
     return df.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= n).drop("__rn")
 
 
@@ -51,7 +50,7 @@ def numeric_blocks(profile: DataFrame) -> DataFrame:
     Input is the column profile (one row per file and column, so a window per file sorts at
     most a sheet's width). Output: ``columns`` in order, ``start_idx``, ``end_idx``, ``size``.
     """
-    scope = [FILE] if FILE in profile.columns else []
+    scope = file_keys(profile)
     nums = profile.where("is_numeric")
     w = Window.partitionBy(*scope).orderBy("ordinal") if scope else Window.orderBy("ordinal")
     islands = nums.withColumn("island", F.col("ordinal") - F.row_number().over(w))

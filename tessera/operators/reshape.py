@@ -7,7 +7,8 @@ import logging
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .lineage import LAYOUT, LINEAGE, ORD, qc
+from .combine import widest
+from .lineage import LAYOUT, LINEAGE, NUMERIC, ORD, qc
 
 log = logging.getLogger(__name__)
 
@@ -27,10 +28,18 @@ def unpivot(df: DataFrame, ids: list[str], var_name: str, value_name: str):
     values = [c for c in df.columns if c not in present and c not in lineage]
     if not values:
         return df, None
-    types = {df.schema[c].dataType.simpleString() for c in values}
-    # one value type per column in Spark: mixed inputs are cast to text
-    cast_to = None if len(types) == 1 else "string"
+    # one value type per column in Spark: mixed inputs get the type that holds them all
+    types = {df.schema[c].dataType.simpleString(): df.schema[c].dataType for c in values}
+    cast_to = None if len(types) == 1 else widest(types.values())
     src = df
+    if NUMERIC in lineage and LAYOUT in lineage:
+        # the molten value is a number in a file whose value columns all are
+        from pyspark.sql.types import NumericType
+        texts = F.array(*[F.lit(c) for c in values if not isinstance(df.schema[c].dataType, NumericType)]).cast("array<string>")
+        odd = F.array_except(F.array_intersect(LAYOUT, texts), NUMERIC)
+        now = F.when(F.size(odd) == 0, F.array(F.lit(value_name))).otherwise(F.array().cast("array<string>"))
+        df = df.withColumn(NUMERIC, now)
+        src = df = df.select(*[c for c in df.columns if c != NUMERIC], F.col(NUMERIC).alias(NUMERIC, metadata={"columns": [value_name]}))
     if cast_to:
         src = df.select(*[qc(c) for c in present + lineage],
                         *[qc(c).cast(cast_to).alias(c) for c in values])

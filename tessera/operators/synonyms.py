@@ -39,6 +39,9 @@ LEARNED_SYNONYMS = {
 SCHEMA = "target string, term string, origin string, target_pos int, term_pos int"
 
 
+POSITIONS = 1 << 32  # positions of one table; those of the next come after
+
+
 def synonym_frame(spark: SparkSession, synonyms: dict, origin: str = "base") -> DataFrame:
     rows = [(t, str(term), origin, i, j)
             for i, (t, terms) in enumerate(synonyms.items()) for j, term in enumerate(terms)]
@@ -57,8 +60,8 @@ def merge_synonyms(base: DataFrame, extra: DataFrame) -> DataFrame:
     tpos = allrows.groupBy("target").agg(F.min(F.struct("__rank", "target_pos")).alias("tp"))
     return first.join(tpos, "target").select(
         "target", "w.term", "w.origin",
-        (F.col("tp.__rank") * 100000 + F.col("tp.target_pos")).cast("int").alias("target_pos"),
-        (F.col("w.__rank") * 100000 + F.col("w.term_pos")).cast("int").alias("term_pos"))
+        (F.col("tp.__rank").cast("long") * POSITIONS + F.col("tp.target_pos")).alias("target_pos"),
+        (F.col("w.__rank").cast("long") * POSITIONS + F.col("w.term_pos")).alias("term_pos"))
 
 
 def known_synonyms(spark: SparkSession, extra: dict | None = None) -> DataFrame:
@@ -70,12 +73,9 @@ def known_synonyms(spark: SparkSession, extra: dict | None = None) -> DataFrame:
 
 
 def as_dict(syn: DataFrame) -> dict:
-    """Ordered ``{target: [terms]}`` of a synonym table (configuration-sized, checked)."""
-    n = syn.count()
-    if n > 100_000:
-        raise ValueError(f"synonym table too large to hand to row helpers ({n} rows)")
+    """Ordered ``{target: [terms]}`` of a synonym table, for use as a configuration: the caller knows that it is one."""
     out: dict = {}
-    for r in syn.orderBy("target_pos", "term_pos").collect():
+    for r in syn.orderBy("target_pos", "term_pos").toLocalIterator():
         out.setdefault(r["target"], []).append(r["term"])
     return out
 

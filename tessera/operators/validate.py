@@ -9,7 +9,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from ..functions import parse_timestamp, to_num
 from ..spec import JobSpec
 from .clean import DATE_TYPES, FLOAT_TYPES, INT_TYPES, TEXT_TYPES, typed_value
-from .lineage import FILE, LINEAGE, ORD, SHEET, qc
+from .lineage import FILE, LAYOUT, LINEAGE, ORD, SHEET, file_keys, qc
 
 # The output contract. All optional, nullable, coerced; extra columns allowed.
 CONTRACT = (
@@ -44,21 +44,25 @@ def drift(df: DataFrame, spec: JobSpec) -> tuple[list[str], list[str]]:
     return schema_diff([c for c in df.columns if c not in LINEAGE], expected)
 
 
-def drift_by_file(df: DataFrame, expected: list[str]) -> DataFrame:
-    """V1 per file of a stacked frame: a column is present in a file when it has a value there.
-
-    One aggregate pass (counts per file and column), then set differences on arrays whose size is
-    bounded by the width of the frame.
-    """
+def columns_by_file(df: DataFrame) -> DataFrame:
+    """(file columns, present): the data columns each file of a frame has. Scans that stack several layouts know them by name;
+    in other stacked frames a column counts as a file's when it has a value there. One aggregate pass."""
+    keys = file_keys(df)
+    if LAYOUT in df.columns:
+        return df.groupBy(*keys).agg(F.array_distinct(F.flatten(F.collect_set(LAYOUT))).alias("present"))
     cols = [c for c in df.columns if c not in LINEAGE]
-    counts = df.groupBy(FILE).agg(*[F.count(qc(c)).alias(c) for c in cols])
-    present = F.filter(F.array(*[F.when(qc(c) > 0, F.lit(c)) for c in cols]),
-                       lambda x: x.isNotNull())
+    counts = df.groupBy(*keys).agg(*[F.count(qc(c)).alias(f"__n{i}") for i, c in enumerate(cols)])
+    present = F.filter(F.array(*[F.when(F.col(f"__n{i}") > 0, F.lit(c)) for i, c in enumerate(cols)]), lambda x: x.isNotNull())
+    return counts.select(*keys, present.alias("present"))
+
+
+def drift_by_file(df: DataFrame, expected: list[str]) -> DataFrame:
+    """V1 per file of a stacked frame: set differences on arrays whose size is bounded by the width of the frame."""
     exp = F.array(*[F.lit(c) for c in expected]) if expected else F.array().cast("array<string>")
-    return counts.select(
-        FILE,
-        F.array_sort(F.array_except(exp, present)).alias("missing"),
-        F.array_sort(F.array_except(present, exp)).alias("extra"))
+    return columns_by_file(df).select(
+        *file_keys(df),
+        F.array_sort(F.array_except(exp, "present")).alias("missing"),
+        F.array_sort(F.array_except("present", exp)).alias("extra"))
 
 
 def drift_gate(drift_df: DataFrame, fail_on_missing: bool, fail_on_extra: bool) -> DataFrame:
@@ -88,23 +92,18 @@ def _contract_exprs(df: DataFrame, spec: JobSpec):
     return out
 
 
-def _cell_errors(df: DataFrame, typed: dict, check: dict) -> DataFrame:
-    """Error rows for cells that were set and did not survive coercion."""
-    if not typed:
-        return df.sparkSession.createDataFrame([], ERROR_SCHEMA)
-    file_col = F.col(FILE) if FILE in df.columns else F.lit(None).cast("string")
-    row_col = F.to_json(F.col(ORD)) if ORD in df.columns else F.lit(None).cast("string")
-    entries = F.array(*[
-        F.when(qc(c).isNotNull() & expr.isNull(),
-               F.struct(F.lit(c).alias("column"), F.lit(check[c]).alias("check"),
-                        qc(c).cast("string").alias("failure_case")))
-        for c, expr in typed.items()])
-    # explode_outer + filter: an inner explode makes the optimizer infer ``size(…) > 0`` and push
-    # the whole coercion below the exchange that spreads the rows, and evaluate it twice
-    bad = (df.select(file_col.alias(FILE), row_col.alias("row"),
-                     F.explode_outer(F.filter(entries, lambda e: e.isNotNull())).alias("e"))
-           .where(F.col("e").isNotNull()))
-    return bad.select(FILE, "e.column", "e.check", "e.failure_case", "row")
+def _failed_cells(typed: dict, check: dict):
+    """Array of the cells that were set and did not survive coercion."""
+    cells = [F.when(qc(c).isNotNull() & expr.isNull(), F.struct(F.lit(c).alias("column"), F.lit(check[c]).alias("check"),
+                                                                qc(c).cast("string").alias("failure_case")))
+             for c, expr in typed.items()]
+    return F.filter(F.array(*cells), lambda e: e.isNotNull()) if cells else F.array().cast(
+        "array<struct<column:string,check:string,failure_case:string>>")
+
+
+def _declared(df: DataFrame, spec: JobSpec) -> dict:
+    typed = {c: typed_value(df, c, t, spec.date_formats) for c, t in spec.field_types.items() if c in df.columns}
+    return {c: e for c, e in typed.items() if e is not None}
 
 
 def validate(df: DataFrame, spec: JobSpec, level: str = "coerce") -> tuple[DataFrame, DataFrame]:
@@ -112,38 +111,33 @@ def validate(df: DataFrame, spec: JobSpec, level: str = "coerce") -> tuple[DataF
 
     ``off``: frame unchanged, no errors. ``coerce``: the contract columns present are coerced.
     ``contract``: required columns must exist (else one error per missing column), declared
-    types are applied with their failures, then the contract coercion.
+    types are applied with their failures, then the contract coercion. Both kinds of failures are gathered in one array per
+    row, so the error table is one scan.
     """
     level = (level or "coerce").lower()
     spark = df.sparkSession
     empty = spark.createDataFrame([], ERROR_SCHEMA)
     if level == "off":
         return df, empty
-    errors = []
+    typed = {}
     if level == "contract":
         missing = [f for f in spec.required_fields if f not in df.columns]
         if missing:
             rows = [(None, m, "column_in_dataframe", "missing required column", None) for m in missing]
             return df, spark.createDataFrame(rows, ERROR_SCHEMA)
-        typed = {}
-        check = {}
-        for column, type_name in spec.field_types.items():
-            if column in df.columns:
-                expr = typed_value(df, column, type_name, spec.date_formats)
-                if expr is not None:
-                    typed[column] = expr
-                    check[column] = f"coerce to {str(type_name).lower()}"
-        if typed:
-            errors.append(_cell_errors(df, typed, check))
-            df = df.withColumns(typed)
-    contract = {c: e for c, e in _contract_exprs(df, spec).items()}
-    check = {c: f"coerce to {k}" for c, k in CONTRACT}
-    errors.append(_cell_errors(df, contract, check))
-    out = df.withColumns(contract) if contract else df
-    err = errors[0]
-    for e in errors[1:]:
-        err = err.unionByName(e)
-    return out, err
+        typed = _declared(df, spec)
+    check = {c: f"coerce to {str(t).lower()}" for c, t in spec.field_types.items()}
+    both = df.withColumn("__declared", _failed_cells(typed, check)).withColumns(typed)
+    contract = _contract_exprs(both, spec)
+    both = both.withColumn("__bad", F.concat("__declared", _failed_cells(contract, {c: f"coerce to {k}" for c, k in CONTRACT})))
+    file_col = F.col(FILE) if FILE in df.columns else F.lit(None).cast("string")
+    row_col = F.to_json(F.col(ORD)) if ORD in df.columns else F.lit(None).cast("string")
+    # explode_outer + filter: an inner explode makes the optimizer infer ``size(…) > 0``, push the
+    # whole coercion below it and evaluate it twice
+    bad = both.select(file_col.alias(FILE), row_col.alias("row"), F.explode_outer("__bad").alias("e")).where(F.col("e").isNotNull())
+    out = df.withColumns(typed) if typed else df
+    contract = _contract_exprs(out, spec)
+    return (out.withColumns(contract) if contract else out), bad.select(FILE, "e.column", "e.check", "e.failure_case", "row")
 
 
 FAILS = "__fails"
@@ -153,8 +147,8 @@ def with_row_failures(df: DataFrame, spec: JobSpec, level: str = "coerce") -> tu
     """The coerced frame plus ``__fails``, the number of failing cells of each row.
 
     Same checks as ``validate`` without building the error table, so the verdict and the ledger
-    come out of one aggregate over the rows. Returns the frame and the missing required columns
-    (contract level; a schema-level failure of every file).
+    come out of one aggregate over the rows. Returns the frame and the required columns that no row has
+    (contract level). Where files have columns of their own, ``missing_required`` tells the rest.
     """
     level = (level or "coerce").lower()
     if level == "off":
@@ -162,14 +156,9 @@ def with_row_failures(df: DataFrame, spec: JobSpec, level: str = "coerce") -> tu
     fails = F.lit(0)
     if level == "contract":
         missing = [f for f in spec.required_fields if f not in df.columns]
-        if missing:
+        if missing and LAYOUT not in df.columns:
             return df.withColumn(FAILS, F.lit(0)), missing
-        typed = {}
-        for column, type_name in spec.field_types.items():
-            if column in df.columns:
-                expr = typed_value(df, column, type_name, spec.date_formats)
-                if expr is not None:
-                    typed[column] = expr
+        typed = _declared(df, spec)
         for c, e in typed.items():
             fails = fails + (qc(c).isNotNull() & e.isNull()).cast("int")
         df = df.withColumn(FAILS, fails).withColumns(typed) if typed else df
@@ -181,24 +170,36 @@ def with_row_failures(df: DataFrame, spec: JobSpec, level: str = "coerce") -> tu
     return (df.withColumns(contract) if contract else df), []
 
 
+def missing_required(present, spec: JobSpec, level: str):
+    """Number of required columns that are not in the array ``present`` of a file's columns; such a file gets no other checks."""
+    if (level or "coerce").lower() != "contract" or not spec.required_fields:
+        return F.lit(0)
+    return F.size(F.array_except(F.array(*[F.lit(c) for c in spec.required_fields]), present))
+
+
 def verdict_one_pass(df: DataFrame, spec: JobSpec, level: str = "coerce") -> DataFrame:
     """V7 in one aggregate: per file the row count and the failing cells, then the flag."""
     typed, missing = with_row_failures(df, spec, level)
-    out = typed.groupBy(FILE).agg(F.count(F.lit(1)).alias("row_count"),
-                                  F.coalesce(F.sum(FAILS), F.lit(0)).cast("long").alias("errors"))
-    out = out.withColumn("errors", F.col("errors") + F.lit(len(missing)))
+    keys = file_keys(df)
+    own = [F.array_distinct(F.flatten(F.collect_set(LAYOUT))).alias("__names")] if LAYOUT in typed.columns else []
+    out = typed.groupBy(*keys).agg(F.count(F.lit(1)).alias("row_count"), *own,
+                                   F.coalesce(F.sum(FAILS), F.lit(0)).cast("long").alias("errors"))
+    lacking = missing_required(F.col("__names"), spec, level) if own else F.lit(len(missing))
+    out = out.withColumn("errors", F.when(lacking > 0, lacking).otherwise(F.col("errors")).cast("long"))
     return out.withColumn("is_valid", F.col("errors") == 0).select(FILE, "is_valid", "errors", "row_count")
 
 
 def verdict(df: DataFrame, errors: DataFrame) -> DataFrame:
-    """V7: per file, valid flag, error count and row count (two small aggregates joined)."""
+    """V7: per file, valid flag, error count and row count (two small aggregates joined). Errors without a file are the schema's and
+    count for every file."""
     if FILE not in df.columns:
         rows = df.agg(F.count(F.lit(1)).alias("row_count")).withColumn(FILE, F.lit(None).cast("string"))
     else:
         rows = df.groupBy(FILE).agg(F.count(F.lit(1)).alias("row_count"))
-    errs = errors.groupBy(FILE).agg(F.count(F.lit(1)).alias("errors"))
-    schema_errs = errors.where(F.col(FILE).isNull()).agg(F.count(F.lit(1)).alias("n")).first()["n"]
-    out = rows.join(errs, FILE, "left").withColumn("errors", F.coalesce("errors", F.lit(0)) + schema_errs)
+    errs = errors.where(F.col(FILE).isNotNull()).groupBy(F.col(FILE).alias("__f")).agg(F.count(F.lit(1)).alias("own"))
+    common = errors.where(F.col(FILE).isNull()).agg(F.count(F.lit(1)).alias("common"))  # one row
+    out = rows.join(errs, F.col(FILE) == F.col("__f"), "left").join(F.broadcast(common), F.lit(True))
+    out = out.withColumn("errors", F.coalesce("own", F.lit(0)) + F.col("common"))
     return out.withColumn("is_valid", F.col("errors") == 0).select(FILE, "is_valid", "errors", "row_count")
 
 

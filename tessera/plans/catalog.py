@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.lineage import spread, with_file_order
+from ..operators.lineage import with_file_order
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -28,11 +28,10 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
-def table(spark: SparkSession, sf_dir: str, name: str, lineage: bool = False, balance: bool = False) -> DataFrame:
-    """A driver table; ``balance`` spreads a scan with fewer splits than cores (CPU-heavy queries)."""
+def table(spark: SparkSession, sf_dir: str, name: str, lineage: bool = False) -> DataFrame:
+    """A driver table."""
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    df = with_file_order(df) if lineage else df
-    return spread(df) if balance else df
+    return with_file_order(df) if lineage else df
 
 
 def r2(c) -> "F.Column":

@@ -55,7 +55,7 @@ def run_combine(spark: SparkSession, input_dir: str, pattern: str = "*.parquet",
                                                             _re_escape(root) + "/([^/]+)", 1))
             one.schema  # noqa: B018 - resolves the merged schema now, so a type clash falls back below
             return one
-        except Exception:  # noqa: BLE001 - conflicting types: stack by name with text casts
+        except Exception:  # noqa: BLE001 - conflicting types: stack by name with wider types
             pass
     frames = [read_output(spark, p) for p in paths]
     if lineage:

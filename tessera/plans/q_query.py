@@ -145,67 +145,79 @@ def q_common_columns(spark, sf_dir):
 
 
 def _merge_inputs(spark, sf_dir):
-    c = table(spark, sf_dir, "customer")
-    s = table(spark, sf_dir, "supplier")
-    n = table(spark, sf_dir, "nation")
-    cust = c.select("c_custkey", "c_name",
-                    F.when(F.col("c_mktsegment") != "BUILDING", F.col("c_nationkey")).alias("nationkey"),
-                    F.col("c_acctbal").alias("acctbal"))
-    supp = s.select("s_suppkey", "s_name",
-                    F.when(F.col("s_acctbal") < 0, F.lit(None))
-                     .when(F.col("s_nationkey") < 5, F.col("s_nationkey") + 30)
-                     .otherwise(F.col("s_nationkey")).alias("nationkey"),
-                    F.col("s_acctbal").alias("acctbal"))
-    nat = n.select(F.col("n_nationkey").alias("nationkey"), "n_name", F.col("n_regionkey").alias("acctbal"))
-    return cust, supp, nat
-
-
-_CUST = ("(SELECT c_custkey, c_name, CASE WHEN c_mktsegment <> 'BUILDING' THEN c_nationkey END AS nationkey, "
-         "c_acctbal AS acctbal FROM customer)")
-_SUPP = ("(SELECT s_suppkey, s_name, CASE WHEN s_acctbal < 0 THEN NULL WHEN s_nationkey < 5 THEN s_nationkey + 30 "
-         "ELSE s_nationkey END AS nationkey, "
-         "s_acctbal AS acctbal FROM supplier)")
-_NAT = "(SELECT n_nationkey AS nationkey, n_name, n_regionkey AS acctbal FROM nation)"
+    """Orders to customers to suppliers on a key that grows with the data; a third of the orders share one key, some have none."""
+    o, c, s = (table(spark, sf_dir, t) for t in ("orders", "customer", "supplier"))
+    orders = o.select("o_orderkey", F.when(F.col("o_orderkey") % 3 == 0, F.lit(1)).when(F.col("o_orderstatus") != "P", F.col("o_custkey"))
+                      .cast("long").alias("custkey"), F.col("o_totalprice").alias("acctbal"))
+    cust = c.select(F.when(F.col("c_custkey") != 2, F.col("c_custkey")).cast("long").alias("custkey"), "c_name", F.col("c_acctbal").alias("acctbal"))
+    supp = s.select(F.col("s_suppkey").cast("long").alias("custkey"), "s_name", F.col("s_acctbal").alias("acctbal"))
+    return orders, cust, supp
+
+
+_ORD = ("(SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 1 WHEN o_orderstatus <> 'P' THEN o_custkey END AS custkey, "
+        "o_totalprice AS acctbal FROM orders)")
+_CUST = "(SELECT CASE WHEN c_custkey <> 2 THEN c_custkey END AS custkey, c_name, c_acctbal AS acctbal FROM customer)"
+_SUPP = "(SELECT s_suppkey AS custkey, s_name, s_acctbal AS acctbal FROM supplier)"
 
 
 def _merge_sql(join: str, key: str) -> str:
     return f"""
-SELECT l.c_custkey, l.c_name, {key} AS nationkey, l.acctbal, r.s_suppkey, r.s_name, r.acctbal AS acctbal_2
-FROM {_CUST} l {join} {_SUPP} r ON l.nationkey IS NOT DISTINCT FROM r.nationkey
+SELECT l.o_orderkey, CAST({key} AS BIGINT) AS custkey, l.acctbal, r.c_name, r.acctbal AS acctbal_2
+FROM {_ORD} l {join} {_CUST} r ON l.custkey IS NOT DISTINCT FROM r.custkey
 """
 
 
-@register("merge_inner", _merge_sql("JOIN", "l.nationkey"))
+@register("merge_inner", _merge_sql("JOIN", "l.custkey"))
 def q_merge_inner(spark, sf_dir):
-    cust, supp, _ = _merge_inputs(spark, sf_dir)
-    return merge_frames([cust, supp], ["nationkey"], "inner")
+    orders, cust, _ = _merge_inputs(spark, sf_dir)
+    return merge_frames([orders, cust], ["custkey"], "inner")
 
 
-@register("merge_left", _merge_sql("LEFT JOIN", "l.nationkey"))
+@register("merge_left", _merge_sql("LEFT JOIN", "l.custkey"))
 def q_merge_left(spark, sf_dir):
-    cust, supp, _ = _merge_inputs(spark, sf_dir)
-    return merge_frames([cust, supp], ["nationkey"], "left")
+    orders, cust, _ = _merge_inputs(spark, sf_dir)
+    return merge_frames([orders, cust], ["custkey"], "left")
 
 
-@register("merge_right", _merge_sql("RIGHT JOIN", "r.nationkey"))
+@register("merge_right", _merge_sql("RIGHT JOIN", "r.custkey"))
 def q_merge_right(spark, sf_dir):
-    cust, supp, _ = _merge_inputs(spark, sf_dir)
-    return merge_frames([cust, supp], ["nationkey"], "right")
+    orders, cust, _ = _merge_inputs(spark, sf_dir)
+    return merge_frames([orders, cust], ["custkey"], "right")
 
 
-@register("merge_outer", _merge_sql("FULL JOIN", "coalesce(l.nationkey, r.nationkey)"))
+@register("merge_outer", _merge_sql("FULL JOIN", "coalesce(l.custkey, r.custkey)"))
 def q_merge_outer(spark, sf_dir):
-    cust, supp, _ = _merge_inputs(spark, sf_dir)
-    return merge_frames([cust, supp], ["nationkey"], "outer")
+    orders, cust, _ = _merge_inputs(spark, sf_dir)
+    return merge_frames([orders, cust], ["custkey"], "outer")
 
 
 @register("merge_three", f"""
-SELECT m.*, n.n_name, n.acctbal AS acctbal_3
-FROM ({_merge_sql("LEFT JOIN", "l.nationkey")}) m LEFT JOIN {_NAT} n ON m.nationkey IS NOT DISTINCT FROM n.nationkey
+SELECT m.*, n.s_name, n.acctbal AS acctbal_3
+FROM ({_merge_sql("LEFT JOIN", "l.custkey")}) m LEFT JOIN {_SUPP} n ON m.custkey IS NOT DISTINCT FROM n.custkey
 """)
 def q_merge_three(spark, sf_dir):
-    cust, supp, nat = _merge_inputs(spark, sf_dir)
-    return merge_frames([cust, supp, nat], ["nationkey"], "left")
+    return merge_frames(list(_merge_inputs(spark, sf_dir)), ["custkey"], "left")
+
+
+@register("stack_widen", """
+SELECT o_orderkey AS k, CAST(o_totalprice AS DOUBLE) AS v, 'o' AS part FROM orders
+UNION ALL SELECT l_orderkey, CAST(l_linenumber AS DOUBLE), 'l' FROM lineitem
+""")
+def q_stack_widen(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("v"), F.lit("o").alias("part"))
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("int").alias("k"), F.col("l_linenumber").cast("int").alias("v"), F.lit("l").alias("part"))
+    return stack_by_name([o, li])
+
+
+@register("unpivot_widen", """
+SELECT l_orderkey, l_linenumber, 'l_quantity' AS measure, CAST(l_quantity AS DOUBLE) AS value FROM lineitem
+UNION ALL SELECT l_orderkey, l_linenumber, 'l_suppkey', CAST(l_suppkey AS DOUBLE) FROM lineitem
+""")
+def q_unpivot_widen(spark, sf_dir):
+    from ..operators.reshape import unpivot
+
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("double").alias("l_quantity"), "l_suppkey")
+    return unpivot(li, ["l_orderkey", "l_linenumber"], "measure", "value")[0]
 
 
 # ---------------------------------------------------------------------------------------------

@@ -8,7 +8,7 @@ from ..functions import header_norm, month_token, snake_case, year_month_label
 from ..operators.aggregate import group_sum, provider_totals
 from ..operators.clean import coerce_types, failure_counts, strip_thousands_text, trim_text
 from ..operators.filters import drop_empty_rows, drop_sparse_columns, drop_null_dates
-from ..operators.lineage import FILE, ORD
+from ..operators.lineage import FILE, KEY, ORD
 from ..operators.order import dedupe_first, strip_lineage
 from ..operators.project import (filter_and_rename, replace_headers, stamp_provider)
 from ..operators.reshape import unpivot
@@ -36,7 +36,7 @@ FLAGSHIP_SPEC = JobSpec(
 def flagship_source(spark, sf_dir):
     """lineitem as a messy sheet: text dates (returned lines carry 'n/a'), text amounts with
     thousands separators."""
-    li = table(spark, sf_dir, "lineitem", lineage=True, balance=True)
+    li = table(spark, sf_dir, "lineitem", lineage=True)
     return li.select(
         "l_partkey",
         F.when(F.col("l_returnflag") == "R", F.lit("n/a"))
@@ -94,7 +94,7 @@ SELECT s_suppkey, s_name, s_nationkey, s_acctbal, 'supplier.parquet' AS provider
 """)
 def q_provider_stamp(spark, sf_dir):
     df = stamp_provider(table(spark, sf_dir, "supplier", lineage=True), JobSpec())
-    return df.drop(FILE, ORD)
+    return df.drop(FILE, ORD, KEY)
 
 
 # ---------------------------------------------------------------------------------------------
@@ -136,7 +136,7 @@ SELECT order_ref, status, amount, note FROM (
 WHERE NOT (order_ref IS NULL AND status IS NULL AND amount IS NULL AND note IS NULL)
 """)
 def q_drop_empty_rows(spark, sf_dir):
-    return drop_empty_rows(_orders_with_gaps(spark, sf_dir)).drop(FILE, ORD)
+    return drop_empty_rows(_orders_with_gaps(spark, sf_dir)).drop(FILE, ORD, KEY)
 
 
 @register("drop_sparse_columns", """
@@ -146,7 +146,7 @@ SELECT CASE WHEN o_orderpriority <> '5-LOW' THEN o_orderkey END AS order_ref,
 FROM orders
 """)
 def q_drop_sparse_columns(spark, sf_dir):
-    return drop_sparse_columns(_orders_with_gaps(spark, sf_dir), 0.5).drop(FILE, ORD)
+    return drop_sparse_columns(_orders_with_gaps(spark, sf_dir), 0.5).drop(FILE, ORD, KEY)
 
 
 # ---------------------------------------------------------------------------------------------
@@ -170,7 +170,7 @@ def q_trim_text(spark, sf_dir):
 SELECT l_orderkey, l_linenumber, round(l_extendedprice, 2) AS price, l_returnflag AS flag FROM lineitem
 """)
 def q_strip_thousands(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem", balance=True)
+    li = table(spark, sf_dir, "lineitem")
     df = li.select("l_orderkey", "l_linenumber",
                    F.format_number("l_extendedprice", 2).alias("price"),
                    F.concat(F.lit(" "), "l_returnflag", F.lit(" ")).alias("flag"))
@@ -194,7 +194,7 @@ FROM orders WHERE o_orderpriority NOT IN ('1-URGENT', '2-HIGH')
 def q_parse_date_drop(spark, sf_dir):
     df = _orders_text_dates(spark, sf_dir)
     df = df.withColumn("report_date", parse_timestamp("report_date"))
-    return drop_null_dates(df, "report_date").drop(FILE, ORD)
+    return drop_null_dates(df, "report_date").drop(FILE, ORD, KEY)
 
 
 @register("amount_fill_zero", """
@@ -216,7 +216,7 @@ TYPE_MAP = {"quantity": "int", "price": "float", "shipped": "date", "line": "tex
 
 
 def _lineitem_as_text(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem", balance=True)
+    li = table(spark, sf_dir, "lineitem")
     flag = F.col("l_returnflag")
     return li.select(
         "l_orderkey", "l_linenumber",
@@ -350,7 +350,7 @@ SELECT o_orderkey, token, {_month_sql('token')} AS month
 FROM (SELECT o_orderkey, {_token_sql()} AS token FROM orders)
 """)
 def q_month_token(spark, sf_dir):
-    o = table(spark, sf_dir, "orders", balance=True)
+    o = table(spark, sf_dir, "orders")
     df = o.select("o_orderkey", _token_expr().alias("token"))
     return df.select("o_orderkey", "token", month_token("token").alias("month"))
 
@@ -366,7 +366,7 @@ FROM (
   FROM orders)
 """)
 def q_year_month_label(spark, sf_dir):
-    o = table(spark, sf_dir, "orders", balance=True)
+    o = table(spark, sf_dir, "orders")
     token = _token_expr()
     label = F.when(F.col("o_orderstatus") != "P",
                    F.concat(F.year("o_orderdate").cast("string"), F.lit("/"), token)) \

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators.aggregate import column_profile, file_sizes, frame_profile, value_counts_top
-from ..operators.lineage import FILE, ORD
+from ..operators.lineage import FILE, KEY, ORD
 from ..operators.order import numeric_blocks
 from ..operators.validate import drift_by_file, drift_gate, validate, verdict, verdict_one_pass
 from ..spec import JobSpec
@@ -95,7 +95,7 @@ def q_missing_keys(spark, sf_dir):
 # V3 V4 V7: coerce / contract validation of lineitem as a contract-shaped sheet
 
 def _lineitem_contract(spark, sf_dir, per_flag_file: bool = False):
-    li = table(spark, sf_dir, "lineitem", balance=True)
+    li = table(spark, sf_dir, "lineitem")
     file_col = (F.concat(F.lit("lineitem_"), F.col("l_returnflag")) if per_flag_file
                 else F.lit("lineitem.parquet"))
     return li.select(
@@ -151,7 +151,7 @@ FROM lineitem
 def q_typed_contract_frame(spark, sf_dir):
     spec = JobSpec(required_fields=("article_sku",), field_types={"quantity": "int"})
     typed, _ = validate(_lineitem_contract(spark, sf_dir), spec, "contract")
-    return typed.drop(FILE, ORD)
+    return typed.drop(FILE, ORD, KEY)
 
 
 @register("verdict", """
@@ -236,7 +236,7 @@ PROFILE_COLUMNS = [
 
 
 def _profile_source(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem", balance=True)
+    li = table(spark, sf_dir, "lineitem")
     return li.select(
         "l_orderkey", "l_returnflag", "l_quantity", "l_extendedprice", "l_linestatus", "l_discount",
         "l_tax", F.year("l_shipdate").alias("ship_year"),

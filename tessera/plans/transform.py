@@ -20,7 +20,7 @@ from ..functions import parse_timestamp, to_num
 from ..operators.aggregate import group_sum
 from ..operators.clean import strip_thousands_text, trim_text
 from ..operators.filters import apply_sparse_decision, sparse_decision
-from ..operators.lineage import FILE, LINEAGE, qc
+from ..operators.lineage import LAYOUT, LINEAGE, file_keys, qc
 from ..operators.order import dedupe_first
 from ..operators.project import stamp_provider
 from ..operators.reshape import unpivot
@@ -69,12 +69,14 @@ def transform(df: DataFrame, spec: JobSpec, per_file: bool = True) -> Transforme
         df = trim_text(df)
     if spec.strip_thousands:                                             # C2
         df = strip_thousands_text(df)
+    # in a stacked frame a rule on a field holds for the files that have it
+    has = lambda c: F.array_contains(LAYOUT, c) if LAYOUT in df.columns else F.lit(True)
     if DATE_FIELD in df.columns:                                         # C3 + F11
         raw = F.col(DATE_FIELD)
         parsed = parse_timestamp(raw, spec.date_formats, df.schema[DATE_FIELD].dataType)
         df = (df.withColumn("__date", parsed)
                 .withColumn(DATE_BAD, raw.isNotNull() & F.col("__date").isNull())
-                .withColumn(DATE_MISSING, F.col("__date").isNull())
+                .withColumn(DATE_MISSING, F.col("__date").isNull() & has(DATE_FIELD))
                 .withColumn(DATE_FIELD, F.col("__date")).drop("__date"))
     else:
         df = df.withColumn(DATE_BAD, F.lit(False)).withColumn(DATE_MISSING, F.lit(False))
@@ -83,14 +85,15 @@ def transform(df: DataFrame, spec: JobSpec, per_file: bool = True) -> Transforme
         num = to_num(raw, df.schema[AMOUNT_FIELD].dataType)
         df = (df.withColumn("__num", num)
                 .withColumn(NUM_BAD, raw.isNotNull() & F.col("__num").isNull())
-                .withColumn(AMOUNT_FIELD, F.coalesce(F.col("__num"), F.lit(0.0))).drop("__num"))
+                .withColumn(AMOUNT_FIELD, F.coalesce(F.col("__num"), F.when(has(AMOUNT_FIELD), F.lit(0.0)))).drop("__num"))
     else:
         df = df.withColumn(NUM_BAD, F.lit(False))
     flagged = df
     if spec.combine_on:                                                  # F11 folded into A1
         kept = (~F.col(EMPTY) & ~F.col(DATE_MISSING)).alias("__ok")
         out = df.where(~F.col(EMPTY)).select("*", kept).drop(*FLAGS)
-        out = group_sum(out, spec.combine_on, spec.var_name if spec.unpivot else None, per_file, row_ok="__ok")
+        out = group_sum(out, spec.combine_on, spec.var_name if spec.unpivot else None, per_file, row_ok="__ok",
+                        constant=spec.provider_name)
         if "__ok" in out.columns:
             out = out.where(F.col("__ok")).drop("__ok")
     else:
@@ -102,15 +105,16 @@ def transform(df: DataFrame, spec: JobSpec, per_file: bool = True) -> Transforme
     return Transformed(out, flagged, pre, info, notes)
 
 
+def row_counts() -> list:
+    """Counts of the ledger over a flagged frame, as aggregates (K5)."""
+    live, dated = ~F.col(EMPTY), ~F.col(DATE_MISSING)
+    return [F.count(F.lit(1)).alias("rows_in"),
+            F.sum(F.col(EMPTY).cast("long")).alias("empty_rows"),
+            F.sum((live & F.col(DATE_BAD)).cast("long")).alias("date_parse_failures"),
+            F.sum((live & dated & F.col(NUM_BAD)).cast("long")).alias("numeric_parse_failures"),
+            F.sum((live & dated).cast("long")).alias("rows_kept")]
+
+
 def ledger_counts(t: Transformed) -> DataFrame:
     """Per-file counts for the ledger from the flagged frame (one aggregate)."""
-    f = t.flagged
-    scope = [FILE] if FILE in f.columns else []
-    live = ~F.col(EMPTY)
-    return f.groupBy(*scope).agg(
-        F.count(F.lit(1)).alias("rows_in"),
-        F.sum(F.col(EMPTY).cast("long")).alias("empty_rows"),
-        F.sum((live & F.col(DATE_BAD)).cast("long")).alias("date_parse_failures"),
-        F.sum((live & ~F.col(DATE_MISSING) & F.col(NUM_BAD)).cast("long")).alias("numeric_parse_failures"),
-        F.sum((live & ~F.col(DATE_MISSING)).cast("long")).alias("rows_kept"),
-    )
+    return t.flagged.groupBy(*file_keys(t.flagged)).agg(*row_counts())

@@ -5,13 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.lineage import FILE, LAYOUT, ORD
+from ..operators.lineage import FILE, KEY, LAYOUT, NUMERIC, ORD, file_keys
+from ..sources.files import plain_path
 
 
-def write_frame(df: DataFrame, path: str, fmt: str = "parquet", partition_by=None, mode: str = "overwrite") -> str:
-    """K1 / K2 / K3: Parquet (default) or CSV with a header row; the order column is dropped."""
-    out = df.drop(*[c for c in (ORD, LAYOUT) if c in df.columns])
+def write_frame(df: DataFrame, path: str, fmt: str = "parquet", partition_by=None, mode: str = "overwrite",
+                only_own_parts: bool = False) -> str:
+    """K1 / K2 / K3: Parquet (default) or CSV with a header row; the lineage columns but the file name are dropped.
+
+    ``only_own_parts``: of a partitioned folder only the parts that ``df`` has rows for are replaced.
+    """
+    out = df.drop(*[c for c in (ORD, LAYOUT, KEY, NUMERIC) if c in df.columns])
     w = out.write.mode(mode)
+    if only_own_parts:
+        w = w.option("partitionOverwriteMode", "dynamic")
     parts = [c for c in (partition_by or []) if c in out.columns]
     if parts:
         w = w.partitionBy(*parts)
@@ -24,29 +31,40 @@ def write_frame(df: DataFrame, path: str, fmt: str = "parquet", partition_by=Non
     return path
 
 
+def with_file_id(df: DataFrame) -> DataFrame:
+    """Adds ``file_id``, which tells apart inputs of one name from different folders in the outputs."""
+    return df.withColumn("file_id", F.hex(F.xxhash64(plain_path(KEY)))) if KEY in df.columns else df
+
+
 def write_clean(df: DataFrame, path: str, fmt: str = "parquet", per_file: bool = True) -> str:
-    """K1: clean rows, one output folder per company and source file."""
-    return write_frame(df, path, fmt, ["company", FILE] if per_file else None)
+    """K1: clean rows, one output folder per company, source file and file id. A run replaces the folders of its own files
+    and leaves those of earlier runs. Rows are dealt by folder first, so that a folder gets few files; Spark splits large ones."""
+    if not per_file:
+        return write_frame(df, path, fmt)
+    out = with_file_id(df)
+    parts = [c for c in ("company", FILE, "file_id") if c in out.columns]
+    return write_frame(out.hint("rebalance", *parts), path, fmt, parts, only_own_parts=True)
 
 
 def quarantine_rows(raw: DataFrame, failed: DataFrame) -> DataFrame:
-    """K4: input rows of files that failed, with the reason.
+    """K4: input rows of files that failed, with the reason; a file without rows, such as one that cannot be read, has one row
+    with nothing but its name and the reason."""
+    keys = [c for c in file_keys(raw) if c in failed.columns]
+    rows = raw.join(failed.select(*keys, "reason"), keys)
+    bare = failed.join(raw.select(*keys).distinct(), keys, "left_anti").select(*keys, "reason")
+    return rows.unionByName(bare, allowMissingColumns=True)
+
 
-    The failed-file list is inlined (file -> reason map) when it is small, else joined."""
-    from ..operators.lineage import MAX_INLINE_FILES
-    got = failed.select(FILE, "reason").limit(MAX_INLINE_FILES + 1).collect()
-    if len(got) <= MAX_INLINE_FILES:
-        if not got:
-            return raw.where(F.lit(False)).withColumn("reason", F.lit(None).cast("string"))
-        reasons = F.create_map(*[x for r in got for x in (F.lit(r[FILE]), F.lit(r["reason"]))])
-        return (raw.where(F.col(FILE).isin([r[FILE] for r in got]))
-                .withColumn("reason", F.try_element_at(reasons, F.col(FILE))))
-    return raw.join(failed.select(FILE, "reason"), FILE, "inner")
+def latest(ledger: DataFrame) -> DataFrame:
+    """The last ledger row of every input (by path; by name where a ledger has no paths)."""
+    by = F.coalesce("path", FILE) if "path" in ledger.columns else F.col(FILE)
+    last = F.max_by(F.struct(*ledger.columns), "run_ts").alias("r")
+    return ledger.groupBy(by.alias("__by")).agg(last).select("r.*")
 
 
 def run_status(ledger: DataFrame) -> DataFrame:
-    """K7: per status, the number of files and the latest run time."""
-    return ledger.groupBy("status").agg(F.count(F.lit(1)).alias("files"), F.max("run_ts").alias("last_run"))
+    """K7: per status, the number of files (as of their last run) and the latest run time."""
+    return latest(ledger).groupBy("status").agg(F.count(F.lit(1)).alias("files"), F.max("run_ts").alias("last_run"))
 
 
 def retry_paths(ledger: DataFrame) -> DataFrame:

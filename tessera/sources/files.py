@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.lineage import FILE, with_file_order
+from ..operators.lineage import FILE, KEY, with_file_order
 from ..spec import SPEC_MARK, SPEC_SUFFIXES
 
 # Input kinds a drop folder is scanned for.
@@ -42,6 +42,26 @@ def _quote(text: str) -> str:
     return re.escape(text.replace("file:", ""))
 
 
+def plain_path(column: str):
+    """A path as listings, scans and callers all give it: without the local scheme, percent signs decoded."""
+    return F.try_url_decode(F.replace(F.regexp_replace(F.col(column), "^file:/+", "/"), F.lit("+"), F.lit("%2B")))
+
+
+def list_inputs(spark: SparkSession, paths) -> DataFrame:
+    """(path, source_file) of every input below ``paths``; a folder ``x.parquet`` that a job wrote is one input. Names only are read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load([paths] if isinstance(paths, str) else list(paths))
+    path = plain_path("path")
+    folder = F.regexp_extract(path, r"^(.*?\.parquet)/", 1)
+    found = files.select(F.when(folder != "", folder).otherwise(path).alias("path")).distinct()
+    return found.select("path", F.element_at(F.split("path", "/"), -1).alias(FILE))
+
+
+def company_of(path, root: str):
+    """The first folder below ``root`` on a path (null for files directly in it)."""
+    plain = root.rstrip("/").removeprefix("file://").removeprefix("file:")
+    return F.nullif(F.regexp_extract(path, "^" + _quote(plain) + "/([^/]+)/", 1), F.lit(""))
+
+
 def pair_specs(listing: DataFrame) -> DataFrame:
     """Each data file with its spec: ``<stem>.df-template.{json,yaml,yml}`` in the same folder,
     else the first spec of the folder (by name; json before yaml before yml). Unpaired files keep
@@ -59,8 +79,8 @@ def pair_specs(listing: DataFrame) -> DataFrame:
 
 
 def read_parquet(spark: SparkSession, paths, lineage: bool = True) -> DataFrame:
-    """S5 (+ S14): Parquet files with ``source_file`` and row order."""
-    df = spark.read.parquet(*([paths] if isinstance(paths, str) else paths))
+    """S5 (+ S14): Parquet files with ``source_file`` and row order; columns of all files, by name."""
+    df = spark.read.option("mergeSchema", True).parquet(*([paths] if isinstance(paths, str) else paths))
     return with_file_order(df) if lineage else df
 
 
@@ -70,11 +90,13 @@ def preflight(spark: SparkSession, listing: DataFrame, rows: DataFrame, errors:
     from ..operators.aggregate import file_sizes
     sizes = file_sizes(rows)
     if "source_sheet" in sizes.columns:
-        sizes = sizes.groupBy(FILE).agg(F.sum("rows").alias("rows"), F.max("columns").alias("columns"))
-    out = listing.select("path", FILE).join(sizes, FILE, "left")
+        sizes = sizes.groupBy(*[c for c in (KEY, FILE) if c in sizes.columns]).agg(F.sum("rows").alias("rows"), F.max("columns").alias("columns"))
+    on = KEY if KEY in sizes.columns else FILE      # names repeat across folders, paths don't
+    out = listing.select("path", FILE, plain_path("path").alias(KEY))
+    out = out.join(sizes.withColumn(on, plain_path(on)).drop(FILE if on == KEY else KEY), on, "left")
     status = F.when(F.col("rows") > 0, F.lit("OK")).otherwise(F.lit("Empty"))
     if errors is not None:
-        out = out.join(errors.select(FILE, F.col("message").alias("__err")), FILE, "left")
+        out = out.join(errors.select(plain_path("path").alias(KEY), F.col("message").alias("__err")), KEY, "left")
         status = F.when(F.col("__err").isNotNull(), F.concat(F.lit("error: "), F.col("__err"))).otherwise(status)
     out = out.withColumn("rows", F.coalesce("rows", F.lit(0))).withColumn("columns", F.coalesce("columns", F.lit(0)))
-    return out.withColumn("status", status).drop("__err")
+    return out.withColumn("status", status).drop("__err", KEY)

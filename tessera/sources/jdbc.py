@@ -6,7 +6,9 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators.lineage import with_generated_order
+from pyspark.sql import functions as F
+
+from ..operators.lineage import FILE, KEY, with_generated_order
 from ..spec import JobSpec
 
 # URL layouts per dialect.
@@ -29,6 +31,7 @@ class Connection:
     password: str | None = None
     url: str | None = None
     options: dict = field(default_factory=dict)
+    partition: dict = field(default_factory=dict)    # parallel reads of a table, see ``read_sql``
 
     def jdbc_url(self) -> str:
         if self.url:
@@ -78,4 +81,6 @@ def read_sql_with_spec(spark: SparkSession, spec: JobSpec, connections: dict,
     conn = connections.get(spec.connection_name)
     if conn is None:
         raise ValueError(f"unknown connection {spec.connection_name}")
-    return with_generated_order(read_sql(spark, conn, spec.sql_table, spec.sql_query, limit))
+    df = with_generated_order(read_sql(spark, conn, spec.sql_table, spec.sql_query, limit, conn.partition if spec.sql_table and not spec.sql_query else None))
+    name = spec.source_file or spec.sql_table or conn.name      # what stands for the input file in groups and in the ledger
+    return df.withColumns({FILE: F.lit(name), KEY: F.lit(f"sql:{conn.name}/{name}")})

@@ -8,23 +8,23 @@ record index in its file/sheet. Header rows are found and applied here; data col
 from __future__ import annotations
 
 import logging
+import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import to_num
-from ..operators.discover import FILL_SHARE, TEXT_SHARE
-from ..operators.lineage import FILE, LAYOUT, ORD, SHEET, qc
+from ..operators.discover import first_header_row
+from ..operators.lineage import FILE, KEY, LAYOUT, NUMERIC, ORD, SHEET, file_keys, qc
+from ..session import checkpointed, scratch_path
 from ..spec import JobSpec
 
 log = logging.getLogger(__name__)
 
-# A scan keeps at most this many distinct header layouts in one plan.
-MAX_LAYOUTS = 10_000
-
 
 def scope_of(rows: DataFrame) -> list[str]:
-    return [FILE, SHEET] if SHEET in rows.columns else [FILE]
+    return file_keys(rows) + ([SHEET] if SHEET in rows.columns else [])
 
 
 def drop_skipped(rows: DataFrame, skiprows) -> DataFrame:
@@ -47,24 +47,9 @@ def header_row_guess_rows(rows: DataFrame, max_rows: int | None = None) -> DataF
     filled = F.size(F.filter("vals", lambda v: v.isNotNull()))
     texts = F.size(F.filter(F.arrays_zip("vals", "kinds"),
                             lambda z: z["vals"].isNotNull() & (z["kinds"] == "text")))
-    stats = r.select(*scope, "row", filled.alias("filled"), texts.alias("texts"), F.size("vals").alias("w"))
-    return _first_qualifying_row(stats, scope)
-
-
-def _first_qualifying_row(stats: DataFrame, scope: list[str]) -> DataFrame:
-    """Per file the first row with text share > 0.8 and fill > 0.5 of the width, else 0.
-
-    Text-heavy rows are first reduced to the lowest row per (file, fill count), a table bounded by
-    the width of a file; only that small table meets the per-file width. Both aggregates combine
-    per task before the shuffle, so a file holding a third of all rows costs no single hot task.
-    """
-    width = stats.groupBy(*scope).agg(F.max("w").alias("width"))
-    text_heavy = stats.where((F.col("filled") > 0) & (F.col("texts") / F.col("filled") > TEXT_SHARE))
-    by_fill = text_heavy.groupBy(*scope, "filled").agg(F.min("row").alias("row"))
-    first = (by_fill.join(width, scope).where(F.col("filled") / F.col("width") > FILL_SHARE)
-             .groupBy(*scope).agg(F.min("row").alias("header_row")))
-    return width.select(*scope).join(first, scope, "left").select(
-        *scope, F.coalesce("header_row", F.lit(0)).alias("header_row"))
+    width = F.col("w") if "w" in r.columns else F.size("vals")  # scans pad records to the widest file and tell the file's own
+    stats = r.select(*scope, "row", filled.alias("filled"), texts.alias("texts"), width.alias("w"))
+    return first_header_row(stats, scope)
 
 
 def _unique_names(names: list) -> list[str]:
@@ -85,69 +70,64 @@ def _unique_names(names: list) -> list[str]:
 
 def apply_header(rows: DataFrame, spec: JobSpec, header_rows: DataFrame | None = None,
                  header_override: DataFrame | None = None) -> tuple[DataFrame, list[list[str]]]:
-    """Turn a row table into a frame: header row per file (spec, or ``header_rows`` table),
+    """Turn a row table (skipped rows already dropped) into a frame: header row per file (spec, or ``header_rows`` table),
     names from that row, data rows below it; files with different header layouts are stacked by
     name. ``header_override``: ``(scope…, names array<string>)`` replacing the read names (merged
-    header expansion). Returns the frame and the distinct layouts.
+    header expansion). Returns the frame and, if all files share one layout, its names.
 
-    Only the distinct layouts reach the driver, never per-file lists.
+    Only the names of the result's columns reach the driver; which file has which layout, and where a layout has which
+    name, are joined.
     """
     scope = scope_of(rows)
-    rows = drop_skipped(rows, spec.skiprows)
     if header_rows is None:
         tagged = rows.withColumn("header_row", F.lit(int(spec.header_row)))      # no per-file table
     else:
         tagged = rows.join(header_rows, scope)
+    data = tagged.where(F.col("row") > F.col("header_row"))
     if spec.headers:
         # Positional; names come from the spec, not from the file
-        data = tagged.where(F.col("row") > F.col("header_row"))
         cols = []
         for cell in spec.headers:
             target = cell.alias or spec.column_mappings.get(cell.name, cell.name)
             cols.append(F.try_element_at("vals", F.lit(cell.column + 1)).alias(target))
-        out = data.select(*cols, *_lineage(scope))
-        return out, [[c.alias or c.name for c in spec.headers]]
+        return data.select(*cols, *_lineage(scope)), [[c.alias or c.name for c in spec.headers]]
     head = tagged.where(F.col("row") == F.col("header_row")).select(*scope, F.col("vals").alias("names"))
     if header_override is not None:
         head = head.join(header_override.withColumnRenamed("names", "__ov"), scope, "left") \
                    .select(*scope, F.coalesce("__ov", "names").alias("names"))
-    head = head.withColumn("__layout", F.to_json("names"))
-    layouts_df = head.select("__layout", "names").distinct()
-    got = layouts_df.limit(MAX_LAYOUTS + 1).collect()
-    if len(got) > MAX_LAYOUTS:
-        raise ValueError(f"more than {MAX_LAYOUTS} distinct header layouts; split the input by template")
-    found = [(r["__layout"], _trim(list(r["names"] or []))) for r in got]
-    layouts = [names for _, names in found]
-    if not found:
+    head = _kept(head.withColumn("names", F.coalesce("names", F.array().cast("array<string>")))
+                 .withColumn("__layout", F.xxhash64("names")), "heads")
+    layouts = _kept(head.select("__layout", "names").distinct().mapInArrow(_column_names, "__layout long, names array<string>, columns array<string>"), "layouts")
+    # the columns of the result: every name once, by its leftmost place
+    order = [r["name"] for r in layouts.select(F.posexplode("columns").alias("at", "name")).groupBy("name").agg(F.min("at").alias("at"))
+             .orderBy("at", "name").collect()]
+    if not order:
         return rows.select(*_lineage(scope)).limit(0), []
-    data = tagged.where(F.col("row") > F.col("header_row"))
-    if len(found) == 1:
-        data = data.withColumn("__layout", F.lit(found[0][0]))             # one layout: no join
-    else:
-        data = data.join(head.select(*scope, "__layout"), scope)
-    # one projection for every layout: output column N takes, per row, the cell at N's position in
-    # that row's layout (literal maps keyed by layout); first-seen column order across layouts
-    order: list[str] = []
-    positions: dict[str, dict[str, int]] = {}
-    lists: dict[str, list[str]] = {}
-    for key, names in found:
-        unique = _unique_names(names)
-        lists[key] = unique
-        for i, n in enumerate(unique):
-            if n not in positions:
-                order.append(n)
-                positions[n] = {}
-            positions[n][key] = i + 1
-    key_col = F.col("__layout")
-
-    def lookup(mapping: dict) -> Column:
-        return F.create_map(*[x for k, v in mapping.items() for x in (F.lit(k), F.lit(v))])
-
-    cols = [F.try_element_at("vals", F.try_element_at(lookup(positions[n]), key_col)).alias(n) for n in order]
-    layout_names = F.create_map(*[x for k, v in lists.items()
-                                  for x in (F.lit(k), F.array(*[F.lit(n) for n in v]).cast("array<string>"))])
-    out = data.select(*cols, *_lineage(scope), F.try_element_at(layout_names, key_col).alias(LAYOUT))
-    return out, [names for _, names in found]
+    two = layouts.select("names").limit(2).collect()
+    if len(two) == 1:
+        own = F.array(*[F.lit(c) for c in order])                                 # one layout: no join
+        cells = [F.try_element_at("vals", F.lit(i + 1)).alias(c) for i, c in enumerate(order)]
+    else:  # each file's layout, then each layout's names, both written tables whose size the planner knows
+        data = data.join(head.select(*scope, "__layout"), scope).join(layouts.select("__layout", F.col("columns").alias("__own")), "__layout")
+        own = F.col("__own")
+        cells = [F.try_element_at("vals", F.nullif(F.array_position("__own", F.lit(c)), F.lit(0)).cast("int")).alias(c) for c in order]
+    out = data.select(*cells, *_lineage(scope), own.alias(LAYOUT))
+    return out, [order] if len(two) == 1 else []
+
+
+def _kept(df: DataFrame, name: str) -> DataFrame:
+    """A small table written to the shared folder and read back, with a size the planner knows."""
+    path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _column_names(batches):
+    """The column names that each layout's header cells give."""
+    for batch in batches:
+        names = [_unique_names(_trim(list(n))) for n in batch.column("names").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("__layout"), batch.column("names"), pa.array(names, pa.list_(pa.string()))],
+                                         names=["__layout", "names", "columns"])
 
 
 def apply_metadata_headers(rows: DataFrame, cells) -> DataFrame:
@@ -177,11 +157,11 @@ def _trim(names: list) -> list:
 
 
 def _lineage(scope) -> list[Column]:
-    cols = [F.col(FILE)]
+    cols = [F.col(c) for c in scope if c != SHEET]
     if SHEET in scope:
         cols.append(F.col(SHEET))
     # one order shape for every scan (sheet null for delimited text), so scans stack
-    order = [F.col(FILE).alias("f"),
+    order = [F.col(KEY if KEY in scope else FILE).alias("f"),
              (F.col(SHEET) if SHEET in scope else F.lit(None).cast("string")).alias("s"),
              F.col("row").cast("long").alias("i")]
     cols.append(F.struct(*order).alias(ORD))
@@ -189,13 +169,15 @@ def _lineage(scope) -> list[Column]:
 
 
 def infer_types(df: DataFrame, exclude=()) -> DataFrame:
-    """Number-like text columns become doubles (longs when every value is whole); one pass.
+    """Number-like text columns become doubles (longs when every value is whole); one grouped pass.
 
-    A column qualifies when it has values and every one of them parses as a number (the strict
-    shape of ``to_num``); ``exclude`` names columns to leave as text (declared types).
+    Types are those of each file: a column is a number in a file that has values there which all parse (the strict
+    shape of ``to_num``). Where every file with values agrees, the column is cast. Where files differ it stays text, and
+    the lineage column ``__numeric`` names the columns that are numbers in the row's file, for sums. ``exclude`` names columns to
+    leave as text (declared types).
     """
     from pyspark.sql.types import StringType
-    cols = [c for c in df.columns if c not in (FILE, SHEET, ORD) and c not in set(exclude)
+    cols = [c for c in df.columns if c not in (FILE, SHEET, ORD, LAYOUT, KEY) and c not in set(exclude)
             and isinstance(df.schema[c].dataType, StringType)]
     if not cols:
         return df
@@ -204,10 +186,19 @@ def infer_types(df: DataFrame, exclude=()) -> DataFrame:
         x = to_num(qc(c))
         aggs += [F.count(qc(c)).alias(f"n{i}"), F.count(x).alias(f"x{i}"),
                  F.sum((x == F.floor(x)).cast("long")).alias(f"w{i}")]
-    stats = df.agg(*aggs).first()
-    casts = {}
+    keys = file_keys(df)
+    stats = checkpointed(df.groupBy(*keys).agg(*aggs))
+    number = [(F.col(f"n{i}") > 0) & (F.col(f"n{i}") == F.col(f"x{i}")) for i in range(len(cols))]
+    some = stats.agg(*[F.max(number[i]).alias(f"any{i}") for i in range(len(cols))],
+                     *[F.min(number[i] | (F.col(f"n{i}") == 0)).alias(f"all{i}") for i in range(len(cols))],
+                     *[F.min(F.col(f"w{i}") == F.col(f"x{i}")).alias(f"whole{i}") for i in range(len(cols))]).first()
+    casts, mixed = {}, []
     for i, c in enumerate(cols):
-        n, x, w = stats[f"n{i}"], stats[f"x{i}"], stats[f"w{i}"] or 0
-        if n and n == x:
-            casts[c] = to_num(qc(c)).try_cast("long") if w == x else to_num(qc(c))
+        if some[f"any{i}"] and some[f"all{i}"]:
+            casts[c] = to_num(qc(c)).try_cast("long") if some[f"whole{i}"] else to_num(qc(c))
+        elif some[f"any{i}"]:
+            mixed.append(i)
+    if mixed:
+        own = F.filter(F.array(*[F.when(number[i], F.lit(cols[i])) for i in mixed]), lambda c: c.isNotNull())
+        df = df.join(stats.select(*keys, own.alias(NUMERIC, metadata={"columns": [cols[i] for i in mixed]})), keys, "left")
     return df.withColumns(casts) if casts else df

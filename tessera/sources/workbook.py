@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 
 from ..session import checkpointed
 
-from ..operators.lineage import FILE, SHEET, qc
+from ..operators.lineage import FILE, KEY, SHEET, file_keys, qc
 from ..spec import JobSpec
-from .rows import apply_header, header_row_guess_rows
+from .rows import apply_header, drop_skipped, header_row_guess_rows
 
 _M = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
@@ -188,7 +188,7 @@ def decode(spark: SparkSession, paths, checkpoint: bool = True) -> DataFrame:
     paths = [paths] if isinstance(paths, str) else list(paths)
     # decoded in the scan task: file contents are never shuffled; Spark packs small files into
     # one split and gives a large file a task of its own
-    files = spark.read.format("binaryFile").load(paths).select("path", "content")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths).select("path", "content")
     out = files.mapInArrow(_decode_batches, _parse_datatype_string(DECODED))
     return checkpointed(out) if checkpoint else out
 
@@ -220,21 +220,18 @@ def decode_errors(decoded: DataFrame) -> DataFrame:
 def sheet_rows(decoded: DataFrame, spec: JobSpec) -> DataFrame:
     """Row table of the sheets the spec names (all listed sheets, the single sheet, else the
     first); ``source_sheet`` carries the sheet as written in the spec."""
-    rows = decoded.where("rtype = 'row'")
+    rows = decoded.where("rtype = 'row'").withColumn(KEY, F.col("path"))
     wanted = list(spec.sheets) if spec.combine_sheets and spec.sheets else \
         ([spec.sheet] if spec.sheet is not None else [0])
-    conds = []
-    for s in wanted:
-        if isinstance(s, int) or (isinstance(s, str) and s.isdigit() and s not in ("",)):
-            conds.append((F.col("sheet_pos") == int(s), str(s)))
-        else:
-            conds.append((F.col("sheet") == s, str(s)))
-    label = None
-    cond = F.lit(False)
-    for c, lab in conds:
-        cond = cond | c
-        label = F.when(c, F.lit(lab)) if label is None else label.when(c, F.lit(lab))
-    return rows.where(cond).select(FILE, label.alias(SHEET), "row", "vals", "kinds")
+    label = F.lit(None).cast("string")
+    for s in reversed(wanted):
+        chosen = F.col("sheet_pos") == s if isinstance(s, int) else F.col("sheet") == s
+        if isinstance(s, str) and s.isdigit():      # a position, unless the file has a sheet of that name
+            named = decoded.where((F.col("rtype") == "sheet") & (F.col("sheet") == s)).select(F.col("path").alias(KEY), F.lit(True).alias("__named"))
+            rows = rows.drop("__named").join(named.distinct(), KEY, "left")
+            chosen = chosen | (F.col("__named").isNull() & (F.col("sheet_pos") == int(s)))
+        rows = rows.withColumn("__chosen", F.when(chosen, F.lit(str(s))).otherwise(F.col("__chosen") if "__chosen" in rows.columns else label))
+    return rows.where(F.col("__chosen").isNotNull()).select(FILE, KEY, F.col("__chosen").alias(SHEET), "row", "vals", "kinds")
 
 
 def merged_header_names(decoded: DataFrame, rows: DataFrame, header_rows: DataFrame, spec: JobSpec) -> DataFrame:
@@ -244,32 +241,32 @@ def merged_header_names(decoded: DataFrame, rows: DataFrame, header_rows: DataFr
     empty one becomes ``merged_<A1>`` (``_<column>`` added when it spans several columns).
     ``header_rows`` is in worksheet coordinates. Returns ``(source_file, source_sheet, names)``.
     """
-    merges = decoded.where("rtype = 'merge'").select(FILE, F.col("sheet").alias("__sheet_name"), "r0", "c0",
+    merges = decoded.where("rtype = 'merge'").select(FILE, F.col("path").alias(KEY), F.col("sheet").alias("__sheet_name"), "r0", "c0",
                                                      "r1", "c1")
-    sheet_names = rows.select(FILE, SHEET).distinct()
+    sheet_names = rows.select(FILE, KEY, SHEET).distinct()
     # the row table keys sheets by spec label; merges by name or position
-    sheets = decoded.where("rtype = 'sheet'").select(FILE, F.col("sheet").alias("__sheet_name"), "sheet_pos")
-    keyed = sheet_names.join(sheets, FILE).where(
+    sheets = decoded.where("rtype = 'sheet'").select(FILE, F.col("path").alias(KEY), F.col("sheet").alias("__sheet_name"), "sheet_pos")
+    keyed = sheet_names.join(sheets, [FILE, KEY]).where(
         (F.col(SHEET) == F.col("__sheet_name")) | (F.col(SHEET) == F.col("sheet_pos").cast("string")))
-    hm = (merges.join(keyed.select(FILE, SHEET, "__sheet_name"), [FILE, "__sheet_name"])
-          .join(header_rows, [FILE, SHEET])
+    hm = (merges.join(keyed.select(FILE, KEY, SHEET, "__sheet_name"), [FILE, KEY, "__sheet_name"])
+          .join(header_rows, [FILE, KEY, SHEET])
           .where((F.col("r0") <= F.col("header_row")) & (F.col("header_row") <= F.col("r1"))))
-    top = rows.select(FILE, SHEET, F.col("row").alias("r0"), F.col("vals").alias("__top"))
-    hm = hm.join(top, [FILE, SHEET, "r0"], "left")
+    top = rows.select(FILE, KEY, SHEET, F.col("row").alias("r0"), F.col("vals").alias("__top"))
+    hm = hm.join(top, [FILE, KEY, SHEET, "r0"], "left")
     base = F.try_element_at("__top", F.col("c0") + 1)
     letters = _letters_expr
     place = F.concat(F.lit("merged_"), letters(F.col("c0")), (F.col("r0") + 1).cast("string"))
-    spans = hm.select(FILE, SHEET, "c0", "c1", base.alias("base"), place.alias("place"),
+    spans = hm.select(FILE, KEY, SHEET, "c0", "c1", base.alias("base"), place.alias("place"),
                       F.explode(F.sequence("c0", "c1")).alias("col"))
-    named = spans.select(FILE, SHEET, "col", F.when(F.coalesce(F.col("base"), F.lit("")) != "", F.col("base"))
+    named = spans.select(FILE, KEY, SHEET, "col", F.when(F.coalesce(F.col("base"), F.lit("")) != "", F.col("base"))
                          .when(F.col("c1") > F.col("c0"), F.concat("place", F.lit("_"), letters(F.col("col"))))
                          .otherwise(F.col("place")).alias("name"))
-    head = rows.join(header_rows, [FILE, SHEET]).where(F.col("row") == F.col("header_row")) \
-               .select(FILE, SHEET, F.col("vals").alias("names"))
-    repl = named.groupBy(FILE, SHEET).agg(F.map_from_entries(F.collect_list(F.struct("col", "name"))).alias("m"),
+    head = rows.join(header_rows, [FILE, KEY, SHEET]).where(F.col("row") == F.col("header_row")) \
+               .select(FILE, KEY, SHEET, F.col("vals").alias("names"))
+    repl = named.groupBy(FILE, KEY, SHEET).agg(F.map_from_entries(F.collect_list(F.struct("col", "name"))).alias("m"),
                                           F.max("col").alias("mx"))
-    out = repl.join(head, [FILE, SHEET], "left").select(
-        FILE, SHEET,
+    out = repl.join(head, [FILE, KEY, SHEET], "left").select(
+        FILE, KEY, SHEET,
         F.transform(F.sequence(F.lit(0), F.greatest(F.col("mx"), F.coalesce(F.size("names") - 1, F.lit(-1)))),
                     lambda i: F.coalesce(F.try_element_at("m", i),
                                          F.try_element_at(F.coalesce("names", F.array().cast("array<string>")),
@@ -283,18 +280,15 @@ def read_workbooks(spark: SparkSession, paths, spec: JobSpec, guess_header: bool
     """S2 + S3 + S4 + P5: the sheets of many workbooks as one frame, selected and renamed."""
     from ..operators.project import filter_and_rename
     decoded = decoded if decoded is not None else decode(spark, paths)
-    rows = sheet_rows(decoded, spec)
-    if guess_header:
-        header_rows = header_row_guess_rows(rows)
-    else:
-        ws_row = spec.header_row + len([s for s in spec.skiprows if s <= spec.header_row])
-        header_rows = rows.select(FILE, SHEET).distinct().withColumn("header_row", F.lit(ws_row))
-    override = merged_header_names(decoded, rows, header_rows, spec)
-    if not guess_header:
-        header_rows = None          # apply_header re-derives it after dropping skipped rows
-    else:
-        header_rows = header_rows
-    frame, _ = apply_header(rows, spec, header_rows, header_override=override)
+    sheet = sheet_rows(decoded, spec)
+    rows = drop_skipped(sheet, spec.skiprows)         # row numbers below count without the skipped ones
+    found = header_row_guess_rows(rows) if guess_header else \
+        rows.select(*file_keys(rows), SHEET).distinct().withColumn("header_row", F.lit(spec.header_row))
+    place = F.col("header_row")
+    for s in sorted({int(x) for x in spec.skiprows}):  # merged ranges are in worksheet coordinates
+        place = F.when(place >= s, place + 1).otherwise(place)
+    override = merged_header_names(decoded, sheet, found.withColumn("header_row", place), spec)
+    frame, _ = apply_header(rows, spec, found if guess_header else None, header_override=override)
     frame = drop_null_columns(frame)                                  # S4 (rows: empty rows absent)
     frame = frame if spec.headers else filter_and_rename(frame, spec)
     if not spec.combine_sheets:

@@ -167,3 +167,129 @@ def test_job_on_parquet_per_file_groups(spark, tmp_path):
     want = sorted((int(k), round(v, 2)) for (k, _g), v in pdf.groupby(["o_custkey", "grp"])["o_totalprice"].sum().items())
     assert got == want                      # groups stay inside their source file
     assert {r["status"] for r in res.ledger.collect()} == {"processed"}
+
+
+SUM = JobSpec(source_type="csv", combine_on=("sku",), provider_name="p")
+
+
+def test_same_name_in_two_folders(spark, tmp_path):
+    for folder, text in (("acme", "sku,amount\nA,1\nB,2\n"), ("beta", "article,sku\nx,C\n")):
+        (tmp_path / "in" / folder).mkdir(parents=True)
+        (tmp_path / "in" / folder / "jan.csv").write_text(text)
+    spec = JobSpec(source_type="csv", provider_name="p")
+    res = run_job(spark, spec, str(tmp_path / "in"), str(tmp_path / "out"), kind="csv", root=str(tmp_path / "in"))
+    rows = spark.read.option("mergeSchema", True).parquet(res.clean_path).collect()
+    assert sorted((r["company"], r["sku"], r["article"]) for r in rows) == [("acme", "A", None), ("acme", "B", None), ("beta", "C", "x")]
+    led = sorted((r["path"].split("/")[-2], r["rows_in"], r["rows_out"], r["status"]) for r in res.ledger.collect())
+    assert led == [("acme", 2, 2, "processed"), ("beta", 1, 1, "processed")]
+
+
+def test_required_columns_are_those_of_each_file(spark, tmp_path):
+    d = tmp_path / "in"
+    d.mkdir()
+    (d / "one.csv").write_text("article_sku,amount\nA,1\n")
+    (d / "two.csv").write_text("sku,amount\nB,2\n")
+    spec = JobSpec(source_type="csv", provider_name="p", required_fields=("article_sku",))
+    res = run_job(spark, spec, str(d), str(tmp_path / "out"), kind="csv", level="contract")
+    assert {r[FILE]: (r["status"], r["errors"]) for r in res.ledger.collect()} == {"one.csv": ("processed", 0), "two.csv": ("quarantined", 1)}
+
+
+def test_sums_do_not_depend_on_other_files(spark, tmp_path):
+    d = tmp_path / "in"
+    d.mkdir()
+    (d / "a.csv").write_text("sku,qty,w\nA,1,1\nA,2,1\n")
+    (d / "b.csv").write_text("sku,qty,w\nA,1,2\nA,many,3\n")
+    res = run_job(spark, SUM, str(d), str(tmp_path / "out"), kind="csv")
+    got = sorted((r[FILE], r["sku"], r["qty"], r["w"]) for r in spark.read.parquet(res.clean_path).collect())
+    assert got == [("a.csv", "A", 3, 2), ("b.csv", "A", None, 5)]
+
+
+def test_header_guess_is_each_files_own_and_follows_skipped_rows(spark, tmp_path):
+    from tessera.plans.job import scan
+    d = tmp_path / "in"
+    d.mkdir()
+    (d / "narrow.csv").write_text("Title\nsku,amount\nA,1\n")
+    (d / "wide.csv").write_text("a,b,c,d,e,f,g,h\n1,2,3,4,5,6,7,8\n")
+    spec = JobSpec(source_type="csv")
+    rows = {r[FILE]: r for r in scan(spark, spec, str(d), "csv", guess_header=True).collect()}
+    assert rows["narrow.csv"]["sku"] == "A" and rows["wide.csv"]["h"] == 8
+    (tmp_path / "skip").mkdir()
+    (tmp_path / "skip" / "s.csv").write_text("junk,text\nmore,junk\nx,y\n1,2\n3,4\n")
+    out = scan(spark, spec.with_(skiprows=(0, 1)), str(tmp_path / "skip"), "csv", guess_header=True)
+    assert sorted((r["x"], r["y"]) for r in out.collect()) == [(1, 2), (3, 4)]
+
+
+def test_inputs_without_rows_and_unreadable_ones_are_in_the_ledger(spark, tmp_path):
+    d = tmp_path / "in"
+    d.mkdir()
+    write_xlsx(d / "a.xlsx", {"S": grid(["sku", "amount"], [["A", 1]])})
+    write_xlsx(d / "empty.xlsx", {"S": grid(["sku", "amount"], [])})
+    (d / "broken.xlsx").write_bytes(b"PK\x03\x04garbage")
+    res = run_job(spark, JobSpec(sheet="S", provider_name="p"), str(d), str(tmp_path / "out"), kind="excel")
+    led = {r[FILE]: r for r in res.ledger.collect()}
+    assert {k: (r["status"], r["rows_in"]) for k, r in led.items()} == {"a.xlsx": ("processed", 1), "empty.xlsx": ("processed", 0), "broken.xlsx": ("quarantined", 0)}
+    assert led["broken.xlsx"]["message"].startswith("Could not be read") and led["empty.xlsx"]["message"] == "No data rows."
+    q = spark.read.parquet(res.quarantine_path).collect()
+    assert [(r[FILE], r["reason"][:17]) for r in q] == [("broken.xlsx", "Could not be read")]
+
+
+def test_a_retry_keeps_the_good_files_rows(spark, tmp_path):
+    from tessera.plans.job import retry_quarantined
+    d = tmp_path / "in"
+    d.mkdir()
+    (d / "good.csv").write_text("article_sku\nA\n")
+    (d / "bad.csv").write_text("sku\nB\n")
+    spec = JobSpec(source_type="csv", provider_name="p", required_fields=("article_sku",))
+    res = run_job(spark, spec, str(d), str(tmp_path / "out"), kind="csv", level="contract")
+    (d / "bad.csv").write_text("article_sku\nB\n")
+    again = retry_quarantined(spark, spec, res.ledger_path, str(tmp_path / "out"), kind="csv", level="contract")
+    assert {r[FILE] for r in again.ledger.collect()} == {"bad.csv"}
+    rows = spark.read.parquet(res.clean_path).collect()
+    assert sorted((r[FILE], r["article_sku"]) for r in rows) == [("bad.csv", "B"), ("good.csv", "A")]
+    assert {r["status"]: r["files"] for r in run_status(spark.read.parquet(res.ledger_path)).collect()} == {"processed": 2}
+
+
+def test_csv_quotes_line_breaks_and_missing_marks(spark, tmp_path):
+    from tessera.sources.csv import read_csv
+    (tmp_path / "q.csv").write_text('sku,say,n\nA,"He said ""hi"", ok",NA\nB,"two\nlines",null\nC,N/A,7\n')
+    out = read_csv(spark, str(tmp_path / "q.csv"), JobSpec(source_type="csv", multiline=True))
+    assert sorted((r["sku"], r["say"], r["n"]) for r in out.collect()) == [("A", 'He said "hi", ok', None), ("B", "two\nlines", None), ("C", None, "7")]
+
+
+def test_folder_run_pairs_templates_and_companies(spark, tmp_path):
+    import json
+
+    from tessera.plans.job import run_folder
+    for c, sku in (("acme", "sku"), ("beta", "code")):
+        (tmp_path / "in" / c).mkdir(parents=True)
+        (tmp_path / "in" / c / "jan.csv").write_text(f"{sku},amount\nA,1\n")
+        (tmp_path / "in" / c / "jan.df-template.json").write_text(json.dumps(
+            {"source_type": "csv", "column_mappings": {sku: "article_sku", "amount": "sales_amount"}, "provider_name": c}))
+    (tmp_path / "in" / "none").mkdir()
+    (tmp_path / "in" / "none" / "x.csv").write_text("a\n1\n")
+    out = run_folder(spark, str(tmp_path / "in"), str(tmp_path / "out"))
+    assert len(out) == 2
+    rows = spark.read.parquet(str(tmp_path / "out" / "clean")).collect()
+    assert sorted((r["company"], r["provider_id"], r["article_sku"], r["sales_amount"]) for r in rows) == [("acme", "acme", "A", 1.0), ("beta", "beta", "A", 1.0)]
+    led = spark.read.option("mergeSchema", True).parquet(str(tmp_path / "out" / "ledger")).collect()
+    assert sorted((r[FILE], r["status"]) for r in led) == [("jan.csv", "processed"), ("jan.csv", "processed"), ("x.csv", "skipped")]
+
+
+def test_parquet_columns_of_all_files_and_widened_numbers(spark, tmp_path):
+    from tessera.operators.combine import merge_frames, stack_by_name
+    from tessera.operators.filters import apply_filters
+    from tessera.operators.reshape import unpivot
+    spark.createDataFrame([("A", 1.0)], "sku string, amount double").write.parquet(str(tmp_path / "in" / "a.parquet"))
+    spark.createDataFrame([("B", "n")], "sku string, note string").write.parquet(str(tmp_path / "in" / "b.parquet"))
+    paths = [str(tmp_path / "in" / "a.parquet"), str(tmp_path / "in" / "b.parquet")]
+    res = run_job(spark, JobSpec(source_type="parquet", provider_name="p"), paths, str(tmp_path / "out"), kind="parquet")
+    rows = spark.read.parquet(res.clean_path).collect()
+    assert sorted((r["sku"], r["amount"], r["note"]) for r in rows) == [("A", 1.0, None), ("B", None, "n")]
+    assert sorted(r[FILE] for r in res.ledger.collect()) == ["a.parquet", "b.parquet"]
+    i, f = spark.createDataFrame([(1, 2)], "k int, v int"), spark.createDataFrame([(2, 2.5)], "k long, v double")
+    assert dict(stack_by_name([i, f]).dtypes) == {"k": "bigint", "v": "double"}
+    wide, _ = unpivot(spark.createDataFrame([(1, 2, 2.5)], "k int, a int, b double"), ["k"], "var", "val")
+    assert dict(wide.dtypes)["val"] == "double"
+    dotted = spark.createDataFrame([(1, "x"), (2, "y")], "`a.b` int, `c.d` string")
+    assert apply_filters(dotted, [("a.b", ">", "1"), ("c.d", "=", "y")]).count() == 1
+    assert merge_frames([dotted, dotted], ["a.b"], "outer").columns == ["a.b", "c.d", "c.d_2"]
