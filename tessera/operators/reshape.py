@@ -13,8 +13,9 @@ from .lineage import LAYOUT, LINEAGE, NUMERIC, ORD, qc
 log = logging.getLogger(__name__)
 
 
-def unpivot(df: DataFrame, ids: list[str], var_name: str, value_name: str):
-    """Melt every non-id column into ``(var_name, value_name)`` rows; nulls are kept.
+def unpivot(df: DataFrame, ids: list[str], var_name: str, value_name: str, carry=()):
+    """Melt every non-id column into ``(var_name, value_name)`` rows; nulls are kept. ``carry`` names columns that go along
+    unchanged without being data.
 
     Returns ``(frame, shape_before, shape_after)`` where shapes are ``(rows, columns)`` as lazy
     counts are not taken here: rows are given as ``None`` and the caller's ledger fills them.
@@ -24,7 +25,7 @@ def unpivot(df: DataFrame, ids: list[str], var_name: str, value_name: str):
     if not present:
         log.warning("unpivot requested but no identifier columns found")
         return df, None
-    lineage = [c for c in LINEAGE if c in df.columns]
+    lineage = [c for c in (*LINEAGE, *carry) if c in df.columns]
     values = [c for c in df.columns if c not in present and c not in lineage]
     if not values:
         return df, None

@@ -113,3 +113,28 @@ def q_csv_messy(spark, sf_dir):
     o.write.option("header", True).option("escape", '"').csv(path)
     rows = read_csv(spark, path, JobSpec(source_type="csv", multiline=True, csv_width=3))
     return rows.select(F.col("o_orderkey").cast("long").alias("o_orderkey"), "note", "status")
+
+
+ROWS_SPEC = JobSpec(columns=("o_custkey", "day", "amount", "note"), column_mappings={"o_custkey": "article_sku", "day": "report_date", "amount": "sales_amount"},
+                    provider_name="tpch", strip_thousands=True, drop_empty_rows=True, drop_null_columns_threshold=0.5, dedupe_on=("article_sku",))
+
+
+@register("full_job_rows", """
+SELECT o_custkey AS article_sku, CAST(o_orderdate AS TIMESTAMP) AS report_date, CAST(o_totalprice AS DOUBLE) AS sales_amount, 'tpch' AS provider_id
+FROM orders WHERE o_orderkey % 11 <> 0 AND o_orderkey % 13 <> 0
+QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) = 1
+""")
+def q_full_job_rows(spark, sf_dir):
+    """The row-wise chain: empty rows, a sparse column, unreadable dates and repeated keys all go."""
+    from ..operators.lineage import ORD
+    from ..operators.project import filter_and_rename
+    from .transform import transform
+
+    o = table(spark, sf_dir, "orders")
+    there = F.col("o_orderkey") % 11 != 0
+    src = o.select(F.when(there, F.col("o_custkey")).alias("o_custkey"),
+                   F.when(there, F.when(F.col("o_orderkey") % 13 == 0, "n/a").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))).alias("day"),
+                   F.when(there, F.format_number("o_totalprice", 2)).alias("amount"), F.when(there & (F.col("o_orderkey") % 10 == 0), F.lit("x")).alias("note"),
+                   F.lit("orders").alias(FILE), F.struct(F.col("o_orderkey").alias("i")).alias(ORD))
+    out = transform(filter_and_rename(src, ROWS_SPEC), ROWS_SPEC).frame
+    return out.select("article_sku", "report_date", "sales_amount", "provider_id", *[c for c in out.columns if c == "note"])

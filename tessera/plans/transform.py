@@ -15,8 +15,9 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from ..functions import parse_timestamp, to_num
+from ..functions import parse_timestamp, strip_thousands, to_num, trim_ws
 from ..operators.aggregate import group_sum
 from ..operators.clean import strip_thousands_text, trim_text
 from ..operators.filters import apply_sparse_decision, sparse_decision
@@ -30,6 +31,7 @@ EMPTY = "__empty"
 DATE_BAD = "__date_bad"
 DATE_MISSING = "__date_missing"
 NUM_BAD = "__num_bad"
+PARSED = "__parsed_date"
 FLAGS = (EMPTY, DATE_BAD, DATE_MISSING, NUM_BAD)
 
 
@@ -45,12 +47,21 @@ class Transformed:
 def transform(df: DataFrame, spec: JobSpec, per_file: bool = True) -> Transformed:
     notes: list[str] = []
     info = None
+    carry = []
     if spec.unpivot:                                                     # R1
-        df, info = unpivot(df, spec.unpivot_ids(), spec.var_name, spec.value_name)
+        ids = [c for c in spec.unpivot_ids() if c in df.columns]
+        if DATE_FIELD in ids:   # cells that every molten row repeats are cleaned and parsed before the melt
+            text = F.col(DATE_FIELD)
+            if isinstance(df.schema[DATE_FIELD].dataType, StringType):
+                text = trim_ws(text) if spec.trim_strings else text
+                text = strip_thousands(text) if spec.strip_thousands else text
+            df = df.withColumn(PARSED, parse_timestamp(text, spec.date_formats, df.schema[DATE_FIELD].dataType))
+            carry = [PARSED]
+        df, info = unpivot(df, spec.unpivot_ids(), spec.var_name, spec.value_name, carry)
         if info is None:
             notes.append("unpivot requested but no identifier columns found")
     df = stamp_provider(df, spec)                                        # P9
-    source_cols = [c for c in df.columns if c not in LINEAGE and c != PROVIDER_FIELD]
+    source_cols = [c for c in df.columns if c not in LINEAGE and c not in (PROVIDER_FIELD, PARSED)]
     if spec.drop_empty_rows and source_cols:                             # F9 (source columns)
         empty = F.lit(True)
         for c in source_cols:
@@ -59,7 +70,7 @@ def transform(df: DataFrame, spec: JobSpec, per_file: bool = True) -> Transforme
     else:
         df = df.withColumn(EMPTY, F.lit(False))
     if spec.drop_null_columns_threshold is not None:                    # F10
-        live = df.where(~F.col(EMPTY)).drop(EMPTY)
+        live = df.where(~F.col(EMPTY)).drop(EMPTY, PARSED)
         kept, mixed, flags = sparse_decision(live, spec.drop_null_columns_threshold, per_file)
         dropped = [c for c in live.columns if c not in kept and c not in LINEAGE]
         if dropped:
@@ -73,11 +84,11 @@ def transform(df: DataFrame, spec: JobSpec, per_file: bool = True) -> Transforme
     has = lambda c: F.array_contains(LAYOUT, c) if LAYOUT in df.columns else F.lit(True)
     if DATE_FIELD in df.columns:                                         # C3 + F11
         raw = F.col(DATE_FIELD)
-        parsed = parse_timestamp(raw, spec.date_formats, df.schema[DATE_FIELD].dataType)
+        parsed = F.col(PARSED) if carry else parse_timestamp(raw, spec.date_formats, df.schema[DATE_FIELD].dataType)
         df = (df.withColumn("__date", parsed)
                 .withColumn(DATE_BAD, raw.isNotNull() & F.col("__date").isNull())
                 .withColumn(DATE_MISSING, F.col("__date").isNull() & has(DATE_FIELD))
-                .withColumn(DATE_FIELD, F.col("__date")).drop("__date"))
+                .withColumn(DATE_FIELD, F.col("__date")).drop("__date", PARSED))
     else:
         df = df.withColumn(DATE_BAD, F.lit(False)).withColumn(DATE_MISSING, F.lit(False))
     if AMOUNT_FIELD in df.columns:                                       # C4
