@@ -55,7 +55,21 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "languages")
 
 
-@register("op8_chat_formatting")
+OP8_SQL = r"""
+WITH t AS (
+  SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+f AS (
+  SELECT *, length(text) + 2 * len(regexp_extract_all(text, '<\|im_start\|>|<\|im_end\|>|</?s>|\[/?INST\]|<</?SYS>>')) + len(regexp_extract_all(text, '\\')) AS escaped FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(12 + length(role) + 1 + escaped + 10 + 1) AS BIGINT) AS formatted_chars
+FROM f GROUP BY conv_id
+"""
+
+
+@register("op8_chat_formatting", OP8_SQL)
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import chat
 
@@ -99,14 +113,42 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken", "copies", "source")
 
 
-@register("op1_near_embeddings")
+OP1_SQL = """
+WITH v AS (
+  SELECT vec_id, label, [CAST(x AS DOUBLE) FOR x IN embedding] AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+n AS (SELECT *, sqrt(list_dot_product(e, e)) AS norm FROM v),
+u AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE a.norm > 0 AND b.norm > 0 AND list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.98),
+k AS (SELECT a, count(*) AS n FROM u GROUP BY 1),
+r AS (
+  WITH RECURSIVE reach(node, other) AS (SELECT a, b FROM u UNION SELECT reach.node, u.b FROM reach JOIN u ON reach.other = u.a)
+  SELECT node, min(other) AS least FROM reach GROUP BY 1)
+SELECT m.vec_id, CAST(coalesce(k.n, 0) AS BIGINT) AS n_links, least(m.vec_id, coalesce(r.least, m.vec_id)) AS component_id,
+       m.vec_id <= coalesce(r.least, m.vec_id) AS kept
+FROM embeddings m LEFT JOIN k ON k.a = m.vec_id LEFT JOIN r ON r.node = m.vec_id
+"""
+
+
+@register("op1_near_embeddings", OP1_SQL)
 def op1_near_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import near_embeddings
 
     return near_embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
-@register("op3_topk_search")
+OP3_SQL = """
+WITH v AS (
+  SELECT vec_id, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0)
+SELECT q.vec_id AS query_id, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY list_dot_product(q.e, v.e) DESC, v.vec_id) AS INT) AS rank,
+       v.vec_id, CAST(list_dot_product(q.e, v.e) AS BIGINT) AS score
+FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0 QUALIFY rank <= 5
+"""
+
+
+@register("op3_topk_search", OP3_SQL)
 def op3_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import knn
 
@@ -115,8 +157,8 @@ def op3_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP7_SQL = r"""
 WITH w AS (
-  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-                                                '[\x20\x09-\x0D]+'), x -> x <> '') AS words FROM documents),
+  SELECT doc_id, [x FOR x IN string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                '[\x20\x09-\x0D]+') IF x <> ''] AS words FROM documents),
 s AS (
   SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
     ELSE list_distinct([array_to_string(words[i:i + 4], ' ') FOR i IN range(1, len(words) - 3)]) END AS sh FROM w),

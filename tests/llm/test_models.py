@@ -112,7 +112,11 @@ def test_base_spans_equal_plain_search(spark):
 
 def test_near_spans_touch_no_base_span(spark, documents):
     lines = [f"write to user{i}@mail{i % 9}.example.com or call +1 (555) 010-{2000 + i} now, host 10.0.{i % 250}.7, ref 77{i:05d} of {i} and 12 34 56 78 9 {i}" for i in range(300)]
-    lines += ["user.name (at) mail3.example.com wrote", "mail bob [at] mail2.example.com please", "nothing here"] * 3
+    cards = [n for n in range(4539578763620000, 4539578763629999) if luhn(str(n))][:300]
+    lines = [f"{line} paid by {cards[i]} today" for i, line in enumerate(lines)]
+    beside = f"erntou +1 (269) 555-3296 {cards[5]} and onren"
+    lines += [beside, "user.name (at) mail3.example.com wrote", "mail bob [at] mail2.example.com please", "nothing here"] * 3
+    assert base(beside) == []  # the run of both is dropped whole
     docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
     model = personal.fit(docs)
     rows = personal.scan(docs, model, keep=("doc_id", "text")).collect()
@@ -122,6 +126,8 @@ def test_near_spans_touch_no_base_span(spark, documents):
         assert all(e <= b.start or b.end <= s for s, e in near for b in r.base)
         assert all(a[1] <= b[0] for a, b in zip(sorted(near), sorted(near)[1:]))
     assert not rows[-1].near and model.trees.trees
+    assert {(s.kind, beside[s.start: s.end]) for s in next(r for r in rows if r.text == beside).near} == {
+        ("near_phone", "+1 (269) 555-3296"), ("near_card", str(cards[5]))}
     out = personal.scan(documents, personal.fit(documents)).collect()
     assert len(out) == documents.count()
     assert personal.scan(documents.limit(0), personal.fit(documents.limit(0))).count() == 0

@@ -147,3 +147,11 @@ def test_components(spark, edges):
             a, b = sorted((root(a), root(b)))
             parent[b] = a
     assert got == {x: root(x) for x in list(parent)}
+
+
+def test_queries_equal_their_sql(spark, duck, sf):
+    from tessera.llm.queries import ORACLE
+    for name, columns in (("op1_near_embeddings", ["vec_id", "n_links", "component_id", "kept"]), ("op3_topk_search", ["query_id", "rank", "vec_id", "score"]),
+                          ("op8_chat_formatting", ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])):
+        got = sorted(tuple(r) for r in QUERIES[name](spark, sf).select(columns).collect())
+        assert got == sorted(duck.execute(ORACLE[name]).fetchall()), name
