@@ -2,7 +2,7 @@
 
 Four base rules (address, network address, card, phone) are exact patterns with a check; what they find is always
 selected. Besides, generous generators propose further, overlapping spans of the same four kinds: written-out
-addresses, numbers without a plus sign or with odd separators. Each candidate has features of
+addresses, numbers without a plus sign or with odd separators, numbers within longer runs of them. Each candidate has features of
 its format and context. Trees are boosted on a bounded sample of candidates, with the base rules' verdict as
 the label, and each kind gets the lowest threshold that is precise enough on the other half of that sample. Candidates
 over it that touch no base span are selected, the likeliest first where they overlap.
@@ -37,6 +37,9 @@ GENERATORS = {
               r"(?:\x20?(?:\.|\(dot\)|\[dot\])\x20?[A-Za-z0-9-]{1,63}){1,6}+", r"@|\(at\)|\[at\]"),
     "ip": (r"(?<![0-9])[0-9]{1,4}+(?:\x20?[.,:]\x20?[0-9]{1,4}+){3}+", r"[0-9][.,:\x20]"),
     "number": (r"\+?\(?[0-9](?:[\x20()./-]{0,3}+[0-9]){7,}+", r"[0-9]{2}"),
+    # parts of longer runs, which a base rule takes whole and then drops: a phone beside a card, say
+    "solid": (r"(?<![0-9])[0-9]{8,19}+(?![0-9])", r"[0-9]{8}"),
+    "dialled": (r"\+[0-9]{1,3}[\x20.-]?\(?[0-9]{2,4}\)?[\x20.-]?[0-9]{3,4}[\x20.-]?[0-9]{3,4}(?![0-9])", r"\+[0-9]"),
 }
 
 
@@ -73,7 +76,7 @@ def candidates(text: Column) -> Column:
 
     def with_context(s):
         m = F.substring(text, s["start"] + 1, s["end"] - s["start"])
-        kind = F.when(s["kind"] != "number", s["kind"]).when(F.length(digits(m)) >= 13, "card").otherwise("phone")
+        kind = F.when(s["kind"].isin("email", "ip"), s["kind"]).when(F.length(digits(m)) >= 13, "card").otherwise("phone")
         return F.struct(kind.alias("kind"), s["start"].alias("start"), s["end"].alias("end"), m.alias("m"),
                         F.substring(text, F.greatest(s["start"] - 24, F.lit(0)) + 1, F.least(F.lit(24), s["start"])).alias("before"),
                         F.substring(text, s["end"] + 1, F.lit(1)).alias("next"))
