@@ -8,9 +8,10 @@ share one of their first n - ceil(t n) + 1, and at least l of their first n - ce
    alone: they link with no other text. Few remain; a passage that many documents share does not keep them in;
 3. the remaining documents get their whole sets and meet in blocks of a shared prefix hash. In each block a signature tree is
    joined with itself, pairs that pass are compared exactly, and one edge of a spanning forest is kept for every new connection.
-   The first rounds take the first hashes alone, which connects most copies. After that only blocks that
-   still hold several components are gone through, for all prefix hashes, with bitmaps first; whole sets follow for the documents
-   that pass.
+   The first rounds take the first hashes alone and chunks of a block by themselves, which connects most copies. After that only blocks that
+   still hold several components are gone through, for all prefix hashes: first with little more than sizes and places, so that
+   a pair is considered in hardly any block but that of its first shared hash; then with signatures; whole sets follow
+   for the few documents that pass.
 
 Nothing is left out: every linked pair shares a block or is already connected. Crowded blocks are cut into chunks and pairs of chunks are units
 of work of their own, so no block, however large, goes to one task, and a unit returns at most one edge or row per document.
@@ -39,7 +40,7 @@ class Join:
     num: int = 80  # similarity of num / den or more
     den: int = 100
     extra: float = 0.1  # l in shares of a set's size
-    chunk: int = 1024  # documents of a chunk of a block
+    chunk: int = 256  # documents of a chunk of a block
     chunk_bytes: int = 12 << 20  # of their whole sets
     rounds: int = 2  # over first hashes alone
     token_bits: int = 26  # filter of shared hashes: 8 MB, fixed
@@ -73,13 +74,17 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settin
     classes = stored(classes, "classes")
     remaining = stored(_remaining(profile, classes, settings), "remaining")
     sets = stored(_sets(docs.select(F.col(id_col).alias("id"), F.encode(F.col(text_col), "utf-8").alias("text")), remaining, kind, settings), "sets")
-    edges, named = None, None
+    named = None
     for rank in range(settings.rounds + 1):
-        last = rank == settings.rounds
-        found = _round(sets, named, None if last else rank, kind, settings)
-        found = stored(found, f"links{rank}")
-        edges = found if edges is None else edges.unionByName(found)
-        named = components(edges, "a", "b").withColumnsRenamed({"node": "rep", "component": "comp"})
+        found = stored(_round(sets, named, rank if rank < settings.rounds else None, kind, settings), f"links{rank}")
+        joined = components(found, "a", "b")
+        if named is None:
+            named = joined.withColumnsRenamed({"node": "rep", "component": "comp"})
+            continue
+        # edges are between components: those named so far move on, others are documents of their own
+        moved = named.join(joined, F.col("comp") == F.col("node"), "left").select("rep", F.coalesce("component", "comp").alias("comp"))
+        fresh = joined.join(named, F.col("node") == F.col("rep"), "left_anti").select(F.col("node").alias("rep"), F.col("component").alias("comp"))
+        named = stored(moved.unionByName(fresh), f"named{rank}")
     known = classes.join(named, "rep", "left").select("f1", "f2", "n", F.coalesce("comp", "rep").alias("component_id"))
     rows = profile.select("id", "n", "f1", "f2")
     out = rows.join(known, ["f1", "f2", "n"], "left")
@@ -160,54 +165,110 @@ def _sets(docs: DataFrame, remaining: DataFrame, kind, s: Join) -> DataFrame:
     return out.dropDuplicates(["rep", "f1"]).select("rep", "n", "tokens", "bits")  # dealt as the join is
 
 
+BEFORE = 8  # prefix hashes before the shared one that a document shows in a block
+
+
 def _round(sets: DataFrame, named: DataFrame | None, rank: int | None, kind, s: Join) -> DataFrame:
-    """Edges (a, b) that connect components of ``named`` (rep, comp), from blocks of the hash at ``rank`` (None: of every prefix hash)."""
-    def spread(batches):
-        for batch in byte_batches(batches):
-            rows, tokens = [], []
-            for k, (n, first) in enumerate(zip(batch.column("n").to_pylist(), batch.column("tokens").to_pylist())):
-                mine = np.frombuffer(first, np.uint64, s.prefix(n))
-                mine = mine if rank is None else mine[rank: rank + 1]
-                tokens.append(mine)
-                rows.append(np.full(len(mine), k))
-            rows, tokens = np.concatenate(rows), np.concatenate(tokens)
-            take = pa.array(rows)
-            yield pa.RecordBatch.from_arrays([batch.column("rep").take(take), batch.column("n").take(take), pa.array(tokens.view(np.int64)), batch.column("comp").take(take)],
-                                             names=["rep", "n", "token", "comp"])
-
-    rep, comp = T.StructField("rep", kind), T.StructField("comp", kind)
+    """Edges (a, b) between components of ``named`` (rep, comp; others are their own), from blocks of the hash at ``rank`` (None: of every prefix hash)."""
+    rep, comp, token = T.StructField("rep", kind), T.StructField("comp", kind), T.StructField("token", T.LongType())
+
+    def postings(only: np.ndarray | None):
+        """Rows of blocks: the hash at ``rank``, or all prefix hashes (those in the bitmap ``only``) with their place and the hashes before it."""
+        def run(batches):
+            for batch in byte_batches(batches):
+                rows, tokens, places, before = [], [], [], []
+                for k, (n, first) in enumerate(zip(batch.column("n").to_pylist(), batch.column("tokens").to_pylist())):
+                    mine = np.frombuffer(first, np.uint64, s.prefix(n))
+                    at = np.array([rank] if rank < len(mine) else [], np.int64) if rank is not None else \
+                        np.arange(len(mine)) if only is None else np.flatnonzero(bitmaps.holds(only, mine))
+                    rows.append(np.full(len(at), k))
+                    tokens.append(mine[at])
+                    places.append(at)
+                    if only is not None:
+                        padded = np.concatenate([np.zeros(BEFORE, np.uint64), mine])
+                        before += [padded[x: x + BEFORE].tobytes() for x in at.tolist()]
+                take = pa.array(np.concatenate(rows))
+                columns = [batch.column("rep").take(take), batch.column("n").take(take), pa.array(np.concatenate(tokens).view(np.int64)), batch.column("comp").take(take)]
+                if only is not None:
+                    columns += [pa.array(np.concatenate(places)), pa.array(before, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["rep", "n", "token", "comp", "place", "before"][: len(columns)])
+
+        fields = [rep, T.StructField("n", T.LongType()), token, comp]
+        fields += [T.StructField("place", T.LongType()), T.StructField("before", T.BinaryType())] if only is not None else []
+        return who.mapInArrow(run, T.StructType(fields))
+
     who = sets.select("rep", "n", "tokens")
     who = who.join(named, "rep", "left").withColumn("comp", F.coalesce("comp", "rep")) if named is not None else who.withColumn("comp", F.col("rep"))
-    posted = who.mapInArrow(spread, T.StructType([rep, T.StructField("n", T.LongType()), T.StructField("token", T.LongType()), comp]))
-    live = posted.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m"), F.sum("n").alias("size")).where("lo <> hi")
+    light = postings(None)
+    live = light.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m"), F.sum("n").alias("size")).where("lo <> hi")
     chunks = F.ceil(F.greatest(F.col("m") / s.chunk, F.col("size") * 8 / s.chunk_bytes)).cast("int")
-    blocks = posted.join(live.select("token", chunks.alias("chunks")), "token")
-    blocks = blocks.withColumn("part", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    units = blocks.select("token", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "rep", "comp")
-    key = ["token", "i", "j"]
-
-    def sides(table):
-        part = np.asarray(table.column("part"))
-        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+    live = stored(live.select("token", chunks.alias("chunks")), "live")
+    posted = light if rank is not None else postings(bitmaps.build(live, "token", s.token_bits))
+    blocks = posted.join(live, "token").withColumn("part", F.pmod(F.xxhash64(F.lit(rank or 0), "rep"), F.col("chunks")).cast("int"))
+    # a first round joins each chunk with itself and the next one deals the documents anew; the last has to join every two chunks
+    blocks = blocks.withColumn("other", F.col("part") if rank is not None else F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    more = [] if rank is not None else ["n", "place", "before"]
+    units = blocks.select("token", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "rep", "comp", *more)
+    key, own = ["token", "i", "j"], ["token", "i", "j", "part", "rep", "comp"]
+    unit = T.StructType([token, *(T.StructField(c, T.IntegerType()) for c in ("i", "j", "part")), rep, comp])
+
+    def sides(part: np.ndarray, i: int, j: int):
         rows = np.arange(len(part))
         return (rows, None) if i == j else (rows[part == i], rows[part == j])
 
-    def sift(table: pa.Table) -> pa.Table:
-        """The documents that a pair between components may hold."""
-        bits = [np.frombuffer(b, np.uint64) for b in table.column("bits").to_pylist()]
-        comps, near = np.asarray(table.column("comp")), np.zeros(table.num_rows, bool)
-        for a, b in candidates(bits, np.asarray(table.column("n")), *sides(table), s.num, s.den):
-            other = comps[a] != comps[b]
-            near[a[other]] = near[b[other]] = True
-        return table.select(["token", "i", "j", "part", "rep", "comp"]).filter(pa.array(near))
-
-    def settle(table: pa.Table) -> pa.Table:
-        """One edge for every connection between components that the unit's linked pairs make."""
-        sets_ = [np.frombuffer(b, np.uint64) for b in table.column("tokens").to_pylist()]
+    def meet(batches):
+        """The documents with a partner of another component for whom this block's hash may be the first they share: their sizes allow the
+        threshold, so does what follows the hash in either set, and none of the hashes shown before it is shared. A linked
+        pair passes in the block of its first shared hash; in later blocks it need not. Many units are gone through at once."""
+        for table, bounds in _units(batches):
+            n, place, comps, part = (np.asarray(table.column(c)) for c in ("n", "place", "comp", "part"))
+            apart = np.asarray(table.column("i")) != np.asarray(table.column("j"))
+            before = np.frombuffer(b"".join(table.column("before").to_pylist()), np.uint64).reshape(-1, BEFORE)
+            near, rest = np.zeros(table.num_rows, bool), n - place
+            later = np.repeat(bounds[1:], np.diff(bounds)) - np.arange(table.num_rows) - 1  # rows after each in its unit
+            upto = np.concatenate([[0], np.cumsum(later)])
+            at = 0
+            while at < table.num_rows:
+                end = max(at + 1, int(np.searchsorted(upto, upto[at] + (1 << 20), "right")) - 1)
+                a = np.repeat(np.arange(at, end), later[at:end])
+                b = np.arange(len(a)) - np.repeat(upto[at:end] - upto[at], later[at:end]) + a + 1
+                na, nb = n[a], n[b]
+                may = (comps[a] != comps[b]) & (s.den * nb >= s.num * na) & (s.den * na >= s.num * nb)
+                may &= ((s.num + s.den) * np.minimum(rest[a], rest[b]) >= s.num * (na + nb)) & (~apart[a] | (part[a] != part[b]))
+                a, b = a[may], b[may]
+                for k in range(0, len(a), 1 << 15):
+                    p, q = a[k: k + (1 << 15)], b[k: k + (1 << 15)]
+                    earlier = ((before[p][:, :, None] == before[q][:, None, :]) & (before[p][:, :, None] != 0)).any(axis=(1, 2))
+                    near[p[~earlier]] = near[q[~earlier]] = True
+                at = end
+            yield from table.select(own).filter(pa.array(near)).to_batches()
+
+    def sift(batches):
+        """The documents that a pair between components may hold, by their signatures."""
+        for table, bounds in _units(batches):
+            bits = [np.frombuffer(b, np.uint64) for b in table.column("bits").to_pylist()]
+            n, comps, part, i, j = (np.asarray(table.column(c)) for c in ("n", "comp", "part", "i", "j"))
+            near = np.zeros(table.num_rows, bool)
+            for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+                for a, b in candidates(bits[x:y], n[x:y], *sides(part[x:y], i[x], j[x]), s.num, s.den):
+                    other = comps[x + a] != comps[x + b]
+                    near[x + a[other]] = near[x + b[other]] = True
+            yield from table.select(own).filter(pa.array(near)).to_batches()
+
+    def settle(batches):
+        """The components that a unit's linked pairs connect, each with the least of those it is connected to."""
+        for table, bounds in _units(batches):
+            tokens = [np.frombuffer(b, np.uint64) for b in table.column("tokens").to_pylist()]
+            comps, part, i, j = (np.asarray(table.column(c)) for c in ("comp", "part", "i", "j"))
+            found = [connect(tokens[x:y], comps[x:y], *sides(part[x:y], i[x], j[x])) for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+            same = table.schema.field("comp").type
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[k] for f in found]), same) for k in (0, 1)], names=["a", "b"])
+
+    def connect(sets_, comp, left, right):
         sizes = np.array([len(x) for x in sets_])
-        lab = np.unique(np.asarray(table.column("comp")), return_inverse=True)[1]
-        edges = []
-        for a, b in candidates([bitmap(x) for x in sets_], sizes, *sides(table), s.num, s.den):
+        comps, lab = np.unique(comp, return_inverse=True)
+        first = lab.copy()
+        for a, b in candidates([bitmap(x) for x in sets_], sizes, left, right, s.num, s.den):
             while True:
                 apart = lab[a] != lab[b]
                 a, b = a[apart], b[apart]
@@ -220,16 +281,38 @@ def _round(sets: DataFrame, named: DataFrame | None, rank: int | None, kind, s:
                         continue
                     same = np.count_nonzero(y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x)
                     if s.den * same >= s.num * (len(x) + len(y) - same):
-                        edges.append((a[k], b[k]))
-                        lab[lab == lab[b[k]]] = lab[a[k]]
+                        one, other = sorted((lab[a[k]], lab[b[k]]))
+                        lab[lab == other] = one
                 a, b = np.delete(a, tried), np.delete(b, tried)
-        ends = np.array(edges, np.int64).reshape(-1, 2)
-        reps = table.column("rep").combine_chunks()
-        return pa.table({"a": reps.take(pa.array(ends[:, 0])), "b": reps.take(pa.array(ends[:, 1]))})
+        ends = np.unique(np.stack([first, lab])[:, first != lab], axis=1)
+        return comps[ends[0]], comps[ends[1]]
+
+    def dealt(df):
+        return df.repartition(*key).sortWithinPartitions(*key)
 
     if rank is None:
-        unit = T.StructType([*(T.StructField(c, t) for c, t in (("token", T.LongType()), ("i", T.IntegerType()), ("j", T.IntegerType()), ("part", T.IntegerType()))), rep, comp])
-        units = units.join(sets.select("rep", "n", "bits"), "rep").groupBy(*key).applyInArrow(sift, unit)
-        units = stored(units, "sifted")
-    full = units.join(sets.select("rep", "tokens"), "rep")
-    return full.groupBy(*key).applyInArrow(settle, T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
+        units = stored(dealt(units).mapInArrow(meet, unit), "met")
+        units = stored(dealt(units.join(sets.select("rep", "n", "bits"), "rep")).mapInArrow(sift, unit), "sifted")
+    full = dealt(units.join(sets.select("rep", "tokens"), "rep"))
+    return full.mapInArrow(settle, T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
+
+
+def _units(batches):
+    """Tables of whole units and their bounds, from batches sorted by unit. A unit is bounded by the chunks."""
+    rest = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        table = table if rest is None else pa.concat_tables([rest, table])
+        new = np.zeros(table.num_rows, bool)
+        new[:1] = True
+        for c in ("token", "i", "j"):
+            x = np.asarray(table.column(c))
+            new[1:] |= x[1:] != x[:-1]
+        bounds = np.flatnonzero(new)
+        if len(bounds) > 1:
+            yield table.slice(0, bounds[-1]), bounds
+            rest = table.slice(bounds[-1])
+        else:
+            rest = table
+    if rest is not None and rest.num_rows:
+        yield rest, np.array([0, rest.num_rows])
