@@ -11,6 +11,8 @@ Rotated coordinates are rounded to whole steps of 2**-14 and all block distances
 task comes to the same verdict about a pair. The rounding is allowed for in the budgets, and the cosine itself
 is computed from the given vectors in double precision.
 
+The range join carries a block's coordinates only; whole vectors follow for the few rows with a partner within budget.
+
 Equal vectors are first collapsed to a class. Crowded grid cells are cut into chunks of ``chunk`` vectors, and pairs of chunks are
 separate units of work, so a cell that holds a third of all vectors is spread over many tasks; only one row
 per vector and unit leaves them: its number of links and one edge of the unit's spanning forest.
@@ -161,11 +163,12 @@ def _links(classes: DataFrame, blocks: Blocks, single: bool) -> DataFrame:
             x[inside] = lists.flatten().to_numpy(zero_copy_only=False)
             q = blocks.rounded(x)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("rep"), batch.column("g"), batch.column("n"), pa.array([v.tobytes() for v in q], pa.binary()),
-                 pa.array([v.tobytes() for v in x.astype(given)], pa.binary())], names=["rep", "g", "n", "q", "x"])
+                [batch.column("rep"), batch.column("c"), batch.column("g"), batch.column("n"), pa.array([v.tobytes() for v in q], pa.binary()),
+                 pa.array([v.tobytes() for v in x.astype(given)], pa.binary())], names=["rep", "c", "g", "n", "q", "x"])
 
-    rows = stored(classes.select("rep", F.xxhash64("label").alias("g"), "n", "x").mapInArrow(
-        prepare, f"rep {kind.simpleString()}, g long, n long, q binary, x binary"), "rotated")
+    # rep and c, a hash of the vector, name a class also where rows share an id
+    rows = stored(classes.select("rep", F.col("h1").alias("c"), F.xxhash64("label").alias("g"), "n", "x").mapInArrow(
+        prepare, f"rep {kind.simpleString()}, c long, g long, n long, q binary, x binary"), "rotated")
 
     def matrix(column, dtype):
         return np.frombuffer(b"".join(column.to_pylist()), dtype=dtype).reshape(len(column), dim)
@@ -181,20 +184,21 @@ def _links(classes: DataFrame, blocks: Blocks, single: bool) -> DataFrame:
                                                  names=["g", "k", "cell", "m"])
 
     def enter(batches):
+        """A row for every cell that a vector enters, with its coordinates of that block."""
         for batch in byte_batches(batches, 1 << 20):
             q, groups = matrix(batch.column("q"), "<i2"), np.asarray(batch.column("g"))
-            for k in range(len(blocks.cuts)):
+            for k, (a, b) in enumerate(blocks.cuts):
                 at, cells, own = blocks.cells(q, k)
                 take = pa.array(at)
+                mine = pa.array([v.tobytes() for v in q[:, a:b]], pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(groups[at]), pa.array(np.full(len(at), k)), pa.array(cells), batch.column("rep").take(take), batch.column("n").take(take),
-                     pa.array(own), batch.column("q").take(take), batch.column("x").take(take)],
-                    names=["g", "k", "cell", "rep", "n", "own", "q", "x"])
+                    [pa.array(groups[at]), pa.array(np.full(len(at), k)), pa.array(cells), batch.column("rep").take(take), batch.column("c").take(take),
+                     pa.array(own), mine.take(take)], names=["g", "k", "cell", "rep", "c", "own", "b"])
 
     keys = "g long, k long, cell long"
     crowds = rows.mapInArrow(count, f"{keys}, m long").groupBy("g", "k", "cell").agg(F.sum("m").alias("m")).where("m > 1")
     crowds = crowds.select("g", "k", "cell", F.ceil(F.col("m") / grid.chunk).cast("int").alias("chunks"))
-    entered = rows.mapInArrow(enter, f"{keys}, rep {kind.simpleString()}, n long, own boolean, q binary, x binary")
+    entered = rows.mapInArrow(enter, f"{keys}, rep {kind.simpleString()}, c long, own boolean, b binary")
     entered = entered.join(crowds, ["g", "k", "cell"])  # a vector alone in a cell meets nobody there
     part = F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int")
     entered = entered.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
@@ -202,24 +206,43 @@ def _links(classes: DataFrame, blocks: Blocks, single: bool) -> DataFrame:
     schema = T.StructType([T.StructField("rep", kind), T.StructField("peer", kind),
                            T.StructField("links", T.LongType())])
 
-    def unit(table: pa.Table) -> pa.Table:
-        k, i, j = (table.column(c)[0].as_py() for c in ("k", "i", "j"))
-        x, q = matrix(table.column("x"), given).astype(np.float64), matrix(table.column("q"), "<i2").astype(np.float64)
-        own, part, n = (np.asarray(table.column(c)) for c in ("own", "part", "n"))
-        norm = np.sqrt((x * x).sum(axis=1))
-        a, b = blocks.cuts[k]
-        mine = q[:, a:b]
+    key = ["g", "k", "cell", "i", "j"]
+
+    def pairs(mine, own, part, i, j, budget):
+        """Row pairs of a unit within the block's budget, in slabs: one side at home, two at home once, and of different parts if the
+        unit joins two."""
         size = (mine * mine).sum(axis=1)
         homes = np.flatnonzero(own)
-        found = []
         for at in range(0, len(homes), 256):
             h = homes[at: at + 256]
-            near = size[h][:, None] + size[None, :] - 2 * (mine[h] @ mine.T) <= blocks.budget[k]
-            near &= ~own[None, :] | (np.arange(len(q))[None, :] > h[:, None])  # two at home meet once
+            near = size[h][:, None] + size[None, :] - 2 * (mine[h] @ mine.T) <= budget
+            near &= ~own[None, :] | (np.arange(len(own))[None, :] > h[:, None])
             if i != j:
                 near &= part[h][:, None] != part[None, :]
             u, v = np.nonzero(near)
-            u = h[u]
+            yield h[u], v
+
+    def head(table):
+        k, i, j = (table.column(c)[0].as_py() for c in ("k", "i", "j"))
+        return k, i, j, *(np.asarray(table.column(c)) for c in ("own", "part"))
+
+    def meet(table: pa.Table) -> pa.Table:
+        """The rows with a partner within the block's budget; only they are joined with their vectors."""
+        k, i, j, own, part = head(table)
+        mine = np.frombuffer(b"".join(table.column("b").to_pylist()), "<i2").reshape(table.num_rows, -1).astype(np.float64)
+        near = np.zeros(table.num_rows, bool)
+        for u, v in pairs(mine, own, part, i, j, blocks.budget[k]):
+            near[u] = near[v] = True
+        return table.select([*key, "part", "rep", "c", "own"]).filter(pa.array(near))
+
+    def unit(table: pa.Table) -> pa.Table:
+        k, i, j, own, part = head(table)
+        x, q = matrix(table.column("x"), given).astype(np.float64), matrix(table.column("q"), "<i2").astype(np.float64)
+        n = np.asarray(table.column("n"))
+        norm = np.sqrt((x * x).sum(axis=1))
+        a, b = blocks.cuts[k]
+        found = []
+        for u, v in pairs(q[:, a:b], own, part, i, j, blocks.budget[k]):
             for s in range(0, len(u), 65536):
                 p, r = u[s: s + 65536], v[s: s + 65536]
                 for e in range(k):  # within budget in an earlier block: counted there
@@ -229,7 +252,7 @@ def _links(classes: DataFrame, blocks: Blocks, single: bool) -> DataFrame:
                     p, r = p[later], r[later]
                 close = np.einsum("ij,ij->i", x[p], x[r]) / (norm[p] * norm[r]) >= blocks.cosine
                 found.append((p[close], r[close]))
-        p, r = (np.concatenate(c) if found else np.zeros(0, np.int64) for c in (zip(*found) if found else ([], [])))
+        p, r = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
         links = np.bincount(p, weights=n[r], minlength=len(q)) + np.bincount(r, weights=n[p], minlength=len(q))
         ids = np.asarray(table.column("rep"))
         order = np.argsort(ids, kind="stable")  # rows by id, so that the least row is the least id
@@ -239,4 +262,7 @@ def _links(classes: DataFrame, blocks: Blocks, single: bool) -> DataFrame:
         has = links > 0
         return pa.table({"rep": pa.array(ids[has]), "peer": pa.array(least[has]), "links": pa.array(links[has].astype(np.int64))})
 
-    return entered.groupBy("g", "k", "cell", "i", "j").applyInArrow(unit, schema)
+    met = T.StructType([*(T.StructField(c, T.LongType()) for c in ("g", "k", "cell")), *(T.StructField(c, T.IntegerType()) for c in ("i", "j", "part")),
+                        T.StructField("rep", kind), T.StructField("c", T.LongType()), T.StructField("own", T.BooleanType())])
+    near = stored(entered.groupBy(*key).applyInArrow(meet, met), "met")
+    return near.join(rows.select("rep", "c", "n", "q", "x"), ["rep", "c"]).groupBy(*key).applyInArrow(unit, schema)
