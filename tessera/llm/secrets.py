@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 from . import spans as S
+from .common import stored
 
 
 @dataclass(frozen=True)
@@ -87,6 +88,7 @@ def at_paths(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, text
     own = F.filter("spans", lambda s: F.coalesce(F.array_contains("tags", tag[s["kind"]]), F.lit(False)))
     hits = (docs.sparkSession.read.schema(LEDGER).parquet(ledger).select("blob", own.alias("own")).where(F.size("own") > 0)
             .groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("own"))).alias("__spans")))
+    hits = stored(hits, "findings")  # as a table: Spark can then split the paths of a blob that many of them hold
     return (rows.join(hits, rows["__blob"] == hits["blob"], "left")
             .select(*[F.col(c) for c in keep], F.col("__blob").alias("blob"), F.coalesce("__spans", S.none()).alias("spans")))
 
