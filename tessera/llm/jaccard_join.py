@@ -40,9 +40,9 @@ class Join:
     num: int = 80  # similarity of num / den or more
     den: int = 100
     extra: float = 0.1  # l in shares of a set's size
-    chunk: int = 256  # documents of a chunk of a block
+    chunk: int = 1024  # documents of a chunk of a block
     chunk_bytes: int = 12 << 20  # of their whole sets
-    rounds: int = 2  # over first hashes alone
+    rounds: int = 3  # over first hashes alone
     token_bits: int = 26  # filter of shared hashes: 8 MB, fixed
     id_bits: int = 23  # filter of remaining documents: 1 MB, fixed
 
@@ -95,7 +95,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settin
 def _profile(docs: DataFrame, kind, s: Join) -> DataFrame:
     """Size, fingerprint and first hashes of every document's set."""
     def run(batches):
-        for batch in byte_batches(batches, 4 << 20):
+        for batch in byte_batches(batches, 2 << 20):
             sets = shingle_sets(batch.column("text").to_pylist(), s.words)
             marks = [fingerprint(x) if len(x) else (0, 0) for x in sets]
             first = [x[: s.prefix(len(x)) - 1 + int(s.least(len(x)))].tobytes() if len(x) else b"" for x in sets]
@@ -150,7 +150,7 @@ def _sets(docs: DataFrame, remaining: DataFrame, kind, s: Join) -> DataFrame:
     may = bitmaps.build(remaining.select(F.xxhash64("rep").alias("h")), "h", s.id_bits)
 
     def run(batches):
-        for batch in byte_batches(batches, 4 << 20):
+        for batch in byte_batches(batches, 2 << 20):
             batch = batch.filter(pa.array(bitmaps.holds(may, np.asarray(batch.column("h")).view(np.uint64))))
             if not batch.num_rows:
                 continue
