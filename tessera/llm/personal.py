@@ -3,11 +3,12 @@
 Four base rules (address, network address, card, phone) are exact patterns with a check; what they find is always
 selected. Besides, generous generators propose further, overlapping spans of the same four kinds: written-out
 addresses, numbers without a plus sign or with odd separators, numbers within longer runs of them. Each candidate has features of
-its format and context. Trees are boosted on a bounded sample of candidates, with the base rules' verdict as
-the label, and each kind gets the lowest threshold that is precise enough on the other half of that sample. Candidates
-over it that touch no base span are selected, the likeliest first where they overlap.
+its format and context. Trees are boosted on a bounded sample of the candidates of all documents, with the base rules'
+verdict as the label, and each kind gets the lowest threshold that is precise enough on all candidates the trees have not
+seen. Candidates over it that touch no base span are selected, the likeliest first where they overlap.
 
-Everything but the fit on the sample is one projection over the scan: DataFrame functions only, no shuffle.
+The fit stores the features of all candidates once and counts them by score; the scan is one projection: DataFrame
+functions only, no shuffle.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 
 from . import spans as S
 from .boosting import Boosted, fit as boost
+from .common import stored
 
 KINDS = ["email", "ip", "card", "phone"]
 NEAR = [f"near_{k}" for k in KINDS]
@@ -121,36 +123,44 @@ class Model:
         return F.when(F.size(free) > 0, out).otherwise(S.none())
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = 4000, sample_candidates: int = 20_000,
-        precision: float = 0.99) -> Model:
-    """Fit on the candidates of about ``sample_docs`` documents, taken by a hash of the id (at most twice as many documents and
-    ``sample_candidates`` candidates). Without candidates of both verdicts nothing is selected beyond the base rules."""
+STEPS = 1 << 14  # of a score; a power of two, so that scaling is exact
+
+
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_candidates: int = 20_000, precision: float = 0.99) -> Model:
+    """Fit on the candidates of all documents. The trees see at most about ``sample_candidates`` different ones, by a hash of id and
+    candidate up to as many of every kind and verdict, and none of the other half by that hash. Thresholds come from the counts by
+    score of all candidates the trees have not seen (if none of a kind's base spans is among them, of all candidates of that
+    kind). Without candidates of both verdicts nothing is selected beyond the base rules."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    share = min(1.0, sample_docs / max(1, docs.count()))
-    u = F.pmod(F.xxhash64(F.lit(11), F.col(id_col)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    taken = docs.where(u < share).limit(2 * sample_docs).select(F.coalesce(u, F.lit(0.0)).alias("u"), text.alias("t"))
-    taken = taken.select("u", base_spans(F.col("t")).alias("base"), F.explode(candidates(F.col("t"))).alias("c"))
+    found = docs.select(F.col(id_col).alias("id"), text.alias("t"))
+    found = found.select("id", base_spans(F.col("t")).alias("base"), F.explode(candidates(F.col("t"))).alias("c"))
     label = F.exists("base", lambda b: (b["kind"] == F.col("c.kind")) & (b["start"] == F.col("c.start")) & (b["end"] == F.col("c.end")))
     x = features(F.col("c"))
-    rows = taken.select(F.xxhash64("u", "c").alias("h"), F.col("c.kind").alias("kind"), label.cast("int").alias("y"),
-                        *[v.alias(k) for k, v in x.items()]).limit(sample_candidates).collect()
-    rows.sort(key=lambda r: (r["h"], r["kind"]))
-    if not rows:
+    rows = stored(found.select(F.xxhash64(F.lit(11), "id", "c").alias("h"), F.col("c.kind").alias("kind"), label.cast("int").alias("y"),
+                               *[v.alias(k) for k, v in x.items()]), "candidates")
+    half = F.col("h").bitwiseAND(F.lit(1)) == 0
+    sizes = rows.where(half).groupBy("kind", "y").agg(F.approx_count_distinct("h").alias("n")).collect()
+    if {r["y"] for r in sizes} != {0, 1}:
         return Model(Boosted(0.0, ()), {})
-    table = {k: np.array([r[k] for r in rows]) for k in x}
-    y, kind = np.array([r["y"] for r in rows]), np.array([r["kind"] for r in rows])
-    half = np.array([r["h"] % 2 == 0 for r in rows])
-    trees = boost({k: v[half] for k, v in table.items()}, y[half])
-    p, cuts = trees.score(table), {}
+    each = sample_candidates / (2 * len(KINDS))
+    share = F.create_map(*[F.lit(v) for r in sizes for v in (f"{r['kind']}{r['y']}", min(1.0, each / max(1, r["n"])))])
+    u = F.pmod(F.shiftright("h", 1), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    drawn = half & F.coalesce(u < share[F.concat("kind", F.col("y").cast("string"))], F.lit(False))
+    sample = sorted(rows.where(drawn).dropDuplicates(["h"]).collect(), key=lambda r: (r["h"], r["kind"]))
+    trees = boost({k: np.array([r[k] for r in sample]) for k in x}, np.array([r["y"] for r in sample]))
+    step = F.floor(trees.column({k: F.col(k) for k in x}) * F.lit(float(STEPS))).cast("int")
+    counts = rows.groupBy("kind", drawn.alias("drawn"), step.alias("step"), "y").agg(F.count("*").alias("n")).collect()
+    cuts = {}
     for k in KINDS:
-        mine = ~half & (kind == k)
-        if not (mine & (y == 1)).any():
-            continue
-        order = np.flatnonzero(mine)[np.argsort(-p[mine], kind="stable")]
-        right = np.cumsum(y[order]) / np.arange(1, len(order) + 1)
-        last = np.append(p[order][1:] != p[order][:-1], True)  # a threshold takes all candidates of one score
-        if (good := np.flatnonzero((right >= precision) & last)).size:
-            cuts[k] = float(max(0.5, p[order][good[-1]] - 1e-9))
+        mine = [r for r in counts if r["kind"] == k]
+        unseen = [r for r in mine if not r["drawn"]]
+        n = np.zeros((2, STEPS + 1), np.int64)
+        for r in unseen if any(r["y"] for r in unseen) else mine:
+            n[r["y"], r["step"]] += r["n"]
+        n = n[:, ::-1]
+        right, every = np.cumsum(n[1]), np.cumsum(n.sum(axis=0))
+        if (good := np.flatnonzero((n.sum(axis=0) > 0) & (right / np.maximum(1, every) >= precision))).size:
+            cuts[k] = max(STEPS // 2, STEPS - int(good[-1])) / STEPS
     return Model(trees, cuts)
 
 

@@ -133,6 +133,29 @@ def test_near_spans_touch_no_base_span(spark, documents):
     assert personal.scan(documents.limit(0), personal.fit(documents.limit(0))).count() == 0
 
 
+def test_thresholds_count_the_candidates_of_all_documents(spark):
+    """Cards in 400 of 12,000 documents, none of them among the lower half by the hash of the id; a part of a longer run beside one of them.
+    And one long document full of numbers."""
+    cards = [n for n in range(4539578763620000, 4539578763629999) if luhn(str(n))]
+    ids = spark.range(12_000).select(F.col("id").alias("doc_id"), (F.pmod(F.xxhash64(F.lit(11), "id"), F.lit(1 << 30)) / F.lit(float(1 << 30))).alias("u"))
+    high = [r.doc_id for r in ids.where("u >= 0.5").orderBy("doc_id").limit(400).collect()]
+    other = [next(n for n in range(7000000000000 + 37 * i, 7000000000000 + 37 * i + 37) if not luhn(str(n))) for i in range(12_000)]
+    lines = {i: f"call +1 (555) 010-{2000 + i % 7000} now, ref 77{i:05d} of {i} and order {other[i]}" for i in range(12_000)}
+    lines |= {i: f"{lines[i]} paid by {cards[k]} today" for k, i in enumerate(high)}
+    beside = f"erntou +1 (269) 555-3296 {cards[5]} and onren"
+    lines |= {20_000: beside, 20_001: " and ".join(f"+1 (555) 010-{2000 + k % 7000}, ref {7700000 + k} or {90000000 + k}" for k in range(300))}
+    docs = spark.createDataFrame(list(lines.items()), "doc_id long, text string").repartition(4)
+    model = personal.fit(docs)
+    assert {"card", "phone"} <= model.thresholds.keys()
+    assert model == personal.fit(docs.repartition(3))
+    scanned = personal.scan(docs, model, keep=("doc_id", "text")).collect()
+    found = {r.doc_id: r for r in scanned}[20_000]
+    assert base(beside) == [] and ("near_card", str(cards[5])) in {(s.kind, beside[s.start: s.end]) for s in found.near}
+    for kind in ("card", "phone"):  # few selections beside what the base rules find, over all documents
+        near, own = (sum(s.kind == k for r in scanned for s in r[c]) for c, k in (("near", f"near_{kind}"), ("base", kind)))
+        assert near <= 0.02 * own
+
+
 def test_trees_score_the_same_in_spark(spark):
     from tessera.llm import boosting
     rng = np.random.default_rng(1)
