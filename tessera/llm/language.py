@@ -23,8 +23,8 @@ from pyspark.sql import types as T
 
 from .common import byte_batches, sample_per_class
 
-_LETTER = regex.compile(r"\p{L}")
-_NO_LETTER = regex.compile(r"[^\p{L}\p{M}]+")
+# what lies between words, runs of marks without a letter (as an emoji's variation selector) included
+_NO_LETTER = regex.compile(r"[^\p{L}\p{M}]+(?:\p{M}++(?!\p{L})[^\p{L}\p{M}]*)*")
 
 
 @dataclass(frozen=True)
@@ -46,9 +46,9 @@ class Model:
 
 
 def grams(texts: list[str], bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashed trigrams of all words of lower-cased texts (words: runs of letters between blanks), the first
+    """Hashed trigrams of all words of lower-cased texts (words: runs of letters and their marks), the first
     n-gram of each word, and the first word of each text."""
-    words = [_NO_LETTER.sub(" ", t.lower()).strip() for t in texts]
+    words = [_NO_LETTER.sub(" ", f" {t.lower()}").strip() for t in texts]
     joined = " ".join(words)
     code = np.frombuffer(f"  {joined} ".encode("utf-32-le", "replace"), dtype="<u4").astype(np.uint64)
     mixed = code[:-2] * np.uint64(0x9E3779B97F4A7C15) ^ code[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F) ^ code[2:] * np.uint64(0x165667B19E3779F9)

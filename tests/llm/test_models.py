@@ -80,6 +80,18 @@ def test_language_of_awkward_documents(spark, documents):
     assert language.predict(documents.limit(0), model).count() == 0
 
 
+def test_marks_without_a_letter_are_no_words(spark, table):
+    model = language.fit(table("documents").where(~held_out()))
+    bare = ["\u2764\ufe0f 100", "1\ufe0f\u20e3 2\ufe0f\u20e3", "\ufe0f", "\u0301\u0301 7", "\u2764\ufe0f\u2764\ufe0f"]
+    mixed = ["the house and the garden", "\u2764\ufe0f the house \ufe0f and 1\ufe0f\u20e3 the \u0301 garden \u0301"]
+    kept = ["e\u0301te\u0301", "\u0301a b"]
+    words = [w.count(" ") + 1 for w in mixed[:1] + kept]
+    assert np.diff(language.grams(bare + mixed + kept, 16)[2]).tolist() == [0] * len(bare) + [words[0]] * 2 + words[1:]
+    rows = language.predict(spark.createDataFrame(list(enumerate(bare + mixed)), "doc_id long, text string"), model).orderBy("doc_id").collect()
+    assert all((r.lang_pred, r.score, r.languages) == ("und", 0.0, {}) for r in rows[:len(bare)])
+    assert rows[-1][1:] == rows[-2][1:] and rows[-1].lang_pred in model.languages
+
+
 def luhn(m):
     d = re.sub("[^0-9]", "", m)
     total = 0
