@@ -25,11 +25,15 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by the similarity of their shingles, the one with the least id stays, once. Rows without an id are never linked
-    and stay."""
+    """Of rows linked by the similarity of their shingles, the one with the least id stays, once. Rows are told apart by a hash of all
+    their columns, so rows that repeat an id with unlike texts are judged one by one and equal rows stay once. Rows without
+    an id are never linked and stay."""
     docs = docs.select(COLUMNS)
-    first = jaccard_join.link(docs).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    key = F.xxhash64(*COLUMNS, *[F.col(c).isNull() for c in COLUMNS])
+    rows = docs.where("doc_id is not null").withColumn("row_key", key)
+    linked = jaccard_join.link(rows, id_col="row_key").select("row_key", "component_id").distinct()
+    first = rows.select("row_key", "doc_id").join(linked, "row_key").groupBy("component_id").agg(F.min(F.struct("doc_id", "row_key")).alias("least"))
+    kept = rows.join(first.select("least.row_key"), "row_key", "left_semi").dropDuplicates(["row_key"]).select(COLUMNS)
     return kept.unionByName(docs.where("doc_id is null"))
 
 

@@ -60,6 +60,14 @@ def test_stages_with_awkward_documents(spark, documents, tmp_path):
     assert sorted(kept, key=repr) == sorted([1, 3, 4, 5, 6, None, 10, 11, 13], key=repr)
 
 
+def test_near_copies_of_repeated_ids(spark, sf):
+    one, two, three = (" ".join(f"{w}{i}" for i in range(40)) for w in "abc")
+    docs = [(5, one), (5, two), (5, two), (3, one + " more"), (7, two + " more"), (8, three), (8, None), (8, ""), (9, three)]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = sorted(((r.doc_id, r.text) for r in P.near_copies(spark, df, sf).collect()), key=repr)
+    assert kept == sorted([(3, one + " more"), (5, two), (8, three), (8, None), (8, "")], key=repr)
+
+
 def test_run(spark, sf):
     out = P.run(spark, sf)
     assert out.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] and out.count() > 50
