@@ -182,7 +182,23 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.link(table(spark, sf_dir, "documents"))
 
 
-@register("op12_suffix_dedup")
+OP12_SQL = """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT doc_id, p, md5(array_slice(b, p, p + 399)) AS h FROM (SELECT doc_id, b, unnest(range(1, n - 398)) AS p FROM d)),
+r AS (SELECT doc_id, p FROM w QUALIFY count(*) OVER (PARTITION BY h) > 1),
+g AS (SELECT *, coalesce(p > lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 400, TRUE) AS fresh FROM r),
+i AS (SELECT *, sum(CAST(fresh AS INT)) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM g),
+s AS (SELECT doc_id, k, min(p) AS a, max(p) + 400 AS z FROM i GROUP BY 1, 2),
+k AS (
+  SELECT doc_id, sum(z - a) AS gone, count(*) AS runs, list(a ORDER BY a) AS starts, list(z ORDER BY a) AS stops FROM s GROUP BY 1)
+SELECT d.doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(runs, 0) AS BIGINT) AS n_spans,
+       CASE WHEN runs IS NULL THEN sha256(b) ELSE sha256(unhex(array_to_string(
+         [hex(array_slice(b, x[1], x[2] - 1)) FOR x IN list_zip(list_prepend(1, stops), list_append(starts, n + 1)) IF x[1] < x[2]], ''))) END AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""
+
+
+@register("op12_suffix_dedup", OP12_SQL)
 def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .repeats import remove_repeats
 
