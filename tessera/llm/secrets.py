@@ -86,8 +86,8 @@ def at_paths(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, text
     rows = docs.select(*[F.col(c) for c in keep], F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("__blob"))
     tag = F.create_map(*[F.lit(x) for r in rules for x in (r.kind, r.tag)])  # a ledger row's spans are of its own rule versions
     own = F.filter("spans", lambda s: F.coalesce(F.array_contains("tags", tag[s["kind"]]), F.lit(False)))
-    hits = (docs.sparkSession.read.schema(LEDGER).parquet(ledger).select("blob", own.alias("own")).where(F.size("own") > 0)
-            .groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("own"))).alias("__spans")))
+    hits = (docs.sparkSession.read.schema(LEDGER).parquet(ledger).select("blob", F.explode(own).alias("own"))
+            .groupBy("blob").agg(F.collect_set("own").alias("__spans")))
     hits = stored(hits, "findings")  # as a table: Spark can then split the paths of a blob that many of them hold
     return (rows.join(hits, rows["__blob"] == hits["blob"], "left")
             .select(*[F.col(c) for c in keep], F.col("__blob").alias("blob"), F.coalesce("__spans", S.none()).alias("spans")))
