@@ -3,7 +3,7 @@
 ``tokenizers`` spends some 20 microseconds on a word. The same merges run several times faster when
 the vocabulary is handed to ``tiktoken`` as ranks: a blank stands for the vocabulary's end-of-word
 mark, and as the ids of byte + mark pairs come before those of all merges, the mark is joined to the
-last byte first, as it should be. Words are kept in a bounded cache. Texts with characters beyond
+last byte first, as it should be. Texts are lowered and cut as Latin-1 bytes by tables, and words kept in a bounded cache. Texts with characters beyond
 ASCII and the Latin-1 letters, and texts that may hold special tokens, go to ``tokenizers`` itself.
 The path of the vocabulary is a parameter; nothing of it is kept in the repository.
 """
@@ -17,10 +17,10 @@ import re
 MAX_WORDS = 300_000  # cached words in one Python worker
 MARK = "</w>"
 
-_OTHER = re.compile(r"[^\x20-\x7e\n\r\tÀ-ÖØ-öø-ÿ]|<\|")
-_PIECE = re.compile(r"'(?:[stmd]|re|ve|ll)|[0-9]|[!-/:-@\[-`{-~]+")
-_CLOSE = re.compile(r"[!-/:-@\[-`{-~]{2}|'")
-_BLANK = str.maketrans("\n\r\t", "   ")
+_PIECE = re.compile(rb"'(?:[stmd]|re|ve|ll)|[0-9]|[!-/:-@\[-`{-~]+")
+_PLAIN = bytes([9, 10, 13, *range(0x20, 0x7F), *range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100)])  # ASCII and Latin-1 letters
+_LOWER = bytes(32 if c in b"\n\r\t" else ord(chr(c).lower()) for c in range(256))
+_MARKS = bytes(b"."[0] if chr(c).isascii() and chr(c).isprintable() and not chr(c).isalnum() and c != 32 else 32 for c in range(256))
 
 
 def _byte_of_char() -> dict[str, int]:
@@ -51,13 +51,13 @@ class WordBpe(dict):
             core = token[: -len(MARK)] if ends else token
             ranks[bytes(byte[c] for c in core) + b" " * ends] = i
         self.fast = tiktoken.Encoding("word_bpe", pat_str="[^ ]+ ", mergeable_ranks=ranks, special_tokens={})
-        self[""] = b""
+        self[b""] = b""
 
-    def __missing__(self, word: str) -> bytes:
-        ids = array.array("I", self.fast.encode_ordinary(_PIECE.sub(r" \g<0> ", word) + " ")).tobytes()
+    def __missing__(self, word: bytes) -> bytes:
+        ids = array.array("I", self.fast.encode_ordinary((_PIECE.sub(rb" \g<0> ", word) + b" ").decode("latin-1"))).tobytes()
         if len(self) >= MAX_WORDS:
             self.clear()
-            self[""] = b""
+            self[b""] = b""
         if len(word) < 64:
             self[word] = ids
         return ids
@@ -65,14 +65,18 @@ class WordBpe(dict):
     def ids(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if _OTHER.search(text):
+        try:
+            raw = text.encode("latin-1")
+        except UnicodeEncodeError:
+            raw = b"<|"
+        if b"<|" in raw or raw.translate(None, _PLAIN):
             return array.array("I", self.exact.encode(text, add_special_tokens=False).ids).tobytes()
-        text = text.lower().translate(_BLANK)
-        if _CLOSE.search(text):
-            text = _PIECE.sub(r" \g<0> ", text)
+        raw = raw.translate(_LOWER)
+        if b"'" in raw or b".." in raw.translate(_MARKS):
+            raw = _PIECE.sub(rb" \g<0> ", raw)
         else:  # no two marks touch: full stops and commas can be cut off without looking around
-            text = text.replace(".", " . ").replace(",", " , ")
-        return b"".join(map(self.__getitem__, text.split(" ")))
+            raw = raw.replace(b".", b" . ").replace(b",", b" , ")
+        return b"".join(map(self.__getitem__, raw.split(b" ")))
 
 
 _loaded: dict[str, WordBpe] = {}
