@@ -88,24 +88,24 @@ def boundaries(cuts: np.ndarray, raw: np.ndarray):
     return offsets, first, count - 1
 
 
-def _cut(plan: Plan):
-    def make(batches):
-        for batch in byte_batches(batches, 8 << 20):
+def _cuts(plan: Plan):
+    def places(body: pa.Array, h1: pa.Array, h2: pa.Array) -> pa.Array:
+        """Lines of each text and the bytes in front of its two cuts."""
+        out = []
+        for batch in byte_batches([pa.RecordBatch.from_arrays([body, h1, h2], ["body", "h1", "h2"])], 1 << 20):
             body = batch.column("body")
             cuts = np.frombuffer(body.buffers()[1], np.int32, len(body) + 1, body.offset * 4).astype(np.int64)
-            data = body.buffers()[2]
-            raw = np.frombuffer(data, np.uint8, cuts[-1] - cuts[0], cuts[0]) if data is not None and cuts[-1] > cuts[0] else np.zeros(0, np.uint8)
+            raw = np.frombuffer(body.buffers()[2], np.uint8, cuts[-1] - cuts[0], cuts[0]) if cuts[-1] > cuts[0] else np.zeros(0, np.uint8)
             cuts -= cuts[0]
             offsets, first, n = boundaries(cuts, raw)
             index = RankIndex(offsets, first, plan.error)
-            h = [np.asarray(batch.column(c)) for c in ("h1", "h2")]
-            a, b = h[0] % (n + 1), h[1] % (n + 1)
-            begin, low, high, end = cuts[:-1], index[first + np.minimum(a, b)], index[first + np.maximum(a, b)], index[first + n]
-            part = lambda x, y: pa.array([raw[i:j].tobytes() for i, j in zip(x, y)], pa.binary())
-            keep = [c for c in batch.schema.names if c not in ("body", "h1", "h2")]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(n.astype(np.int64)), part(begin, low), part(low, high),
-                                              part(high, end)], [*keep, "n", "prefix", "middle", "suffix"])
-    return make
+            a, b = (np.asarray(batch.column(c)) % (n + 1) for c in ("h1", "h2"))
+            low, high = (index[first + f(a, b)] - cuts[:-1] for f in (np.minimum, np.maximum))
+            out.append(pa.StructArray.from_arrays([pa.array(x.astype(np.int32)) for x in (n, low, high)], ["n", "low", "high"]))
+        kind = pa.struct([(c, pa.int32()) for c in ("n", "low", "high")])
+        return pa.concat_arrays(out) if out else pa.array([], kind)
+
+    return F.arrow_udf(places, "struct<n:int,low:int,high:int>")
 
 
 def transform(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", plan: Plan = Plan()) -> DataFrame:
@@ -114,27 +114,32 @@ def transform(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
     A text is cut behind two of its lines, or before the first, as the sha256 of the seed and the id decides, and put together with marks in
     the order of its form. It stays as it is (plain) if it is empty, holds a mark, or falls outside ``plan.rate``. Null
     texts count as empty, a null id as an id without digits; rows that repeat give equal rows. Other columns,
-    whatever their names, are not read; an empty table gives no rows. No shuffle; a text is one value of its row.
+    whatever their names, are not read; an empty table gives no rows. No shuffle; a text is one value of its row, and only the
+    places of its cuts come from Python.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     digest = F.sha2(F.concat(F.lit(plan.seed), F.coalesce(F.col(id_col).cast("string"), F.lit(""))), 256)
     h = [F.conv(F.substring(digest, 8 * k + 1, 8), 16, 10).cast("long").alias(f"h{k + 1}") for k in range(4)]
-    rows = docs.select(F.col(id_col).alias("id"), text.cast("binary").alias("body"), *h)
-    plain = (F.length("body") == 0) | F.col("body").cast("string").rlike("|".join(MARKS)) | (F.col("h3") % 100 >= plan.rate)
-    form = F.when(plain, "plain").when(F.col("h4") % 100 < plan.spm, "spm").otherwise("psm")
-    rows = rows.select("id", "body", "h1", "h2", form.alias("form"))
-    kind = docs.schema[id_col].dataType.simpleString()
-    parts = rows.mapInArrow(_cut(plan), f"id {kind}, form string, n long, prefix binary, middle binary, suffix binary")
-    pre, suf, mid = (F.col(c).cast("string") for c in ("prefix", "suffix", "middle"))
+    rows = docs.select(F.col(id_col).alias("id"), text.alias("t"), *h)
+    marked = F.contains("t", F.lit(MARKS[0])) | F.contains("t", F.lit(MARKS[1])) | F.contains("t", F.lit(MARKS[2]))
+    form = F.when((F.col("t") == "") | marked | (F.col("h3") % 100 >= plan.rate), "plain").when(F.col("h4") % 100 < plan.spm, "spm").otherwise("psm")
+    body = F.col("t").cast("binary")
+    rows = rows.select("id", form.alias("form"), body.alias("body"), _cuts(plan)(body, "h1", "h2").alias("cut"))
+    part = lambda a, b: F.substring("body", a + 1, b - a)
+    low, high, end = F.col("cut.low"), F.col("cut.high"), F.octet_length("body")
+    rows = rows.select("id", "form", F.col("cut.n").cast("long").alias("n"), "body", *[part(*x).cast("string").alias(c) for c, x in (
+        ("pre", (F.lit(0), low)), ("mid", (low, high)), ("suf", (high, end)))])
     p, s, m = map(F.lit, MARKS)
-    output = (F.when(F.col("form") == "plain", F.concat(pre, mid, suf)).when(F.col("form") == "psm", F.concat(p, pre, s, suf, m, mid))
-              .otherwise(F.concat(s, suf, p, pre, m, mid)))
+    output = (F.when(F.col("form") == "plain", F.col("body").cast("string")).when(F.col("form") == "psm", F.concat(p, "pre", s, "suf", m, "mid"))
+              .otherwise(F.concat(s, "suf", p, "pre", m, "mid")))
     chars = lambda c: F.when(F.col("form") != "plain", F.char_length(c).cast("long"))
-    return parts.select(F.col("id").alias(id_col), "n", "form", output.alias("output"), chars(pre).alias("prefix_chars"), chars(mid).alias("middle_chars"))
+    return rows.select(F.col("id").alias(id_col), "n", "form", output.alias("output"), chars("pre").alias("prefix_chars"), chars("mid").alias("middle_chars"))
 
 
 def restored(output: Column, form: Column) -> Column:
     """The text that ``output`` was made of. Texts that are cut hold no marks, so the marks of the output divide its parts."""
-    part = F.split(output, "|".join(MARKS), -1)
-    return (F.when(form == "plain", output).when(form == "psm", F.concat(part[1], part[3], part[2]))
-            .otherwise(F.concat(part[2], part[3], part[1])))
+    p, s, m = map(F.lit, MARKS)
+    between = lambda a, b: F.split_part(F.split_part(output, a, F.lit(2)), b, F.lit(1))
+    last = F.split_part(output, m, F.lit(2))
+    return (F.when(form == "plain", output).when(form == "psm", F.concat(between(p, s), last, between(s, m)))
+            .otherwise(F.concat(between(p, m), last, between(s, p))))
