@@ -10,6 +10,7 @@ from pyspark.sql.types import BooleanType, NumericType
 
 from ..functions import to_num
 from ..spec import PROVIDER_FIELD
+from .heavy import COUNTERS, most_frequent
 from .lineage import FILE, LINEAGE, NUMERIC, ORD, file_keys, qc
 
 log = logging.getLogger(__name__)
@@ -91,10 +92,17 @@ def frame_profile(df: DataFrame) -> DataFrame:
                 F.coalesce("null_cells", F.lit(0).cast("long")).alias("null_cells"))
 
 
-def value_counts_top(df: DataFrame, column: str, k: int = 25) -> DataFrame:
-    """A4 / D3: most frequent values, nulls left out, ties broken by value."""
-    return (df.where(qc(column).isNotNull()).groupBy(qc(column)).agg(F.count(F.lit(1)).alias("count"))
-            .orderBy(F.desc("count"), qc(column).asc()).limit(k))
+def value_counts_top(df: DataFrame, column: str, k: int = 25, counters: int = COUNTERS) -> DataFrame:
+    """A4 / D3: most frequent values, nulls left out, ties broken by value.
+
+    Candidates come from summaries of the tasks (``heavy``), and only their rows are counted, so a column with countless rare values does not
+    cross the network. Where the summaries cannot tell which values lead, all values are counted.
+    """
+    found = most_frequent(df, qc(column), k, counters)
+    rows = df.where(qc(column).isNotNull()).select(qc(column))
+    if found is not None:
+        rows = rows.join(found, qc(column).cast("string") == found["value"], "left_semi")
+    return rows.groupBy(qc(column)).agg(F.count(F.lit(1)).alias("count")).orderBy(F.desc("count"), qc(column).asc()).limit(k)
 
 
 def column_profile(df: DataFrame, columns=None, per_file: bool = True) -> DataFrame:

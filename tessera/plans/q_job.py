@@ -29,7 +29,7 @@ def _inputs(spark, sf_dir):
         "acme": o.where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("sku"), F.col("o_totalprice").alias("amount"), day.alias("date"), F.col("o_orderpriority").alias("note")),
         "beta": o.where("o_orderstatus = 'O'").select(day.alias("date"), cents.alias("amount"), F.col("o_custkey").alias("sku")),
         "gamma": o.where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("sku"), F.when(F.col("o_orderkey") % 7 == 0, "N/A").otherwise(day).alias("date"), cents.alias("amount")),
-        "delta": o.where("o_orderkey % 5 = 0").select(F.col("o_custkey").alias("code"), F.col("o_totalprice").alias("amount"), day.alias("date")),
+        "delta": o.select(F.col("o_custkey").alias("code"), F.col("o_totalprice").alias("amount"), day.alias("date")),
     }
     for name, df in parts.items():
         df.write.option("header", True).csv(f"{root}/in/{name}")
@@ -59,7 +59,7 @@ def q_job_clean(spark, sf_dir):
 @register("job_ledger", f"""
 SELECT company, 'processed' AS status, CAST(count(*) AS BIGINT) AS rows_in, CAST(count(*) FILTER (NOT dateless) AS BIGINT) AS rows_out, CAST(0 AS BIGINT) AS errors_files
 FROM ({_ROWS}) GROUP BY company
-UNION ALL SELECT 'delta', 'quarantined', CAST(count(*) AS BIGINT), CAST(0 AS BIGINT), CAST(1 AS BIGINT) FROM orders WHERE o_orderkey % 5 = 0
+UNION ALL SELECT 'delta', 'quarantined', CAST(count(*) AS BIGINT), CAST(0 AS BIGINT), CAST(1 AS BIGINT) FROM orders
 """)
 def q_job_ledger(spark, sf_dir):
     root, res = _run(spark, sf_dir)
@@ -69,7 +69,7 @@ def q_job_ledger(spark, sf_dir):
 
 
 @register("job_quarantine", """
-SELECT 'delta' AS company, CAST(o_totalprice AS DOUBLE) AS sales_amount, 'Validation failed.' AS reason FROM orders WHERE o_orderkey % 5 = 0
+SELECT 'delta' AS company, CAST(o_totalprice AS DOUBLE) AS sales_amount, 'Validation failed.' AS reason FROM orders
 """)
 def q_job_quarantine(spark, sf_dir):
     _, res = _run(spark, sf_dir)

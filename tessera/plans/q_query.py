@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators.combine import merge_frames, stack_by_name, stack_strict
+from ..operators.merge import merge_many
 from ..operators.filters import Term, apply_filters, filter_sql
 from ..operators.lineage import FILE
 from ..operators.project import align_to, common_columns, project
@@ -199,6 +200,50 @@ def q_merge_three(spark, sf_dir):
     return merge_frames(list(_merge_inputs(spark, sf_dir)), ["custkey"], "left")
 
 
+def _six_inputs(spark, sf_dir):
+    """Six inputs on customer numbers; a third of the orders have no key, and so has one row of each other input."""
+    o, c, s, e, p, li = (table(spark, sf_dir, t) for t in ("orders", "customer", "supplier", "events", "part", "lineitem"))
+    key = lambda c, none: F.when(none, None).otherwise(c).cast("long").alias("k")
+    return [
+        o.select(key(F.col("o_custkey"), F.col("o_orderkey") % 3 == 0), "o_orderkey", F.col("o_totalprice").alias("v")),
+        c.select(key(F.col("c_custkey"), F.col("c_custkey") == 7), "c_name", F.col("c_acctbal").alias("v")),
+        s.select(key(F.col("s_suppkey"), F.col("s_suppkey") == 3), "s_name", F.col("s_acctbal").alias("v")),
+        e.groupBy(key(F.col("user_id"), F.col("user_id") == 5)).agg(F.count(F.lit(1)).alias("events")),
+        p.select(key(F.col("p_partkey"), F.col("p_partkey") == 9), "p_name"),
+        li.groupBy(key(F.col("l_suppkey"), F.col("l_suppkey") == 2)).agg(F.sum("l_quantity").alias("v"))]
+
+
+_SIX = {
+    "a": "(SELECT CASE WHEN o_orderkey % 3 <> 0 THEN o_custkey END AS k, o_orderkey, o_totalprice AS v FROM orders)",
+    "b": "(SELECT CASE WHEN c_custkey <> 7 THEN c_custkey END AS k, c_name, c_acctbal AS v FROM customer)",
+    "c": "(SELECT CASE WHEN s_suppkey <> 3 THEN s_suppkey END AS k, s_name, s_acctbal AS v FROM supplier)",
+    "d": "(SELECT CASE WHEN user_id <> 5 THEN user_id END AS k, count(*) AS events FROM events GROUP BY 1)",
+    "e": "(SELECT CASE WHEN p_partkey <> 9 THEN p_partkey END AS k, p_name FROM part)",
+    "f": "(SELECT CASE WHEN l_suppkey <> 2 THEN l_suppkey END AS k, sum(l_quantity) AS v FROM lineitem GROUP BY 1)",
+}
+
+
+def _six_sql(how: str) -> str:
+    """The left fold, a join a step."""
+    key = {"inner": "l.k", "left": "l.k", "right": "r.k", "outer": "coalesce(l.k, r.k)"}[how]
+    join = {"inner": "JOIN", "left": "LEFT JOIN", "right": "RIGHT JOIN", "outer": "FULL JOIN"}[how]
+    cols, sql = ["o_orderkey", "v"], f"SELECT k, o_orderkey, v FROM {_SIX['a']}"
+    for t, new in (("b", "c_name, r.v AS v_2"), ("c", "s_name, r.v AS v_3"), ("d", "events"), ("e", "p_name"), ("f", "r.v AS v_6")):
+        sql = f"SELECT {key} AS k, {', '.join('l.' + c for c in cols)}, r.{new.removeprefix('r.')} FROM ({sql}) l {join} {_SIX[t]} r ON l.k IS NOT DISTINCT FROM r.k"
+        cols += [x.split(" AS ")[-1].removeprefix("r.") for x in new.split(", ")]
+    return f"SELECT CAST(k AS BIGINT) AS k, {', '.join(cols)} FROM ({sql})"
+
+
+def _register_six(how: str) -> None:
+    @register(f"merge_six_{how}", _six_sql(how))
+    def query(spark, sf_dir):
+        return merge_many(_six_inputs(spark, sf_dir), ["k"], how)
+
+
+for _how in ("inner", "left", "right", "outer"):
+    _register_six(_how)
+
+
 @register("stack_widen", """
 SELECT o_orderkey AS k, CAST(o_totalprice AS DOUBLE) AS v, 'o' AS part FROM orders
 UNION ALL SELECT l_orderkey, CAST(l_linenumber AS DOUBLE), 'l' FROM lineitem
