@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import fnmatch
+import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from ..operators.combine import merge_frames, stack_by_name, stack_strict
+from ..operators.combine import stack_by_name, stack_strict
 from ..operators.lineage import FILE
+from ..operators.merge import merge_many
+from ..session import checkpointed
+from ..sources.footers import file_footers
 
 
 def matching_files(spark: SparkSession, input_dir: str, pattern: str = "*.parquet") -> list[str]:
@@ -36,31 +41,65 @@ def read_output(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def schema_groups(spark: SparkSession, root: str, entries: list[str]) -> list[tuple[str | None, list[str]]] | None:
+    """(schema as JSON, paths) by distinct schema, in order of the first entry that has it; a folder whose files differ is listed file by
+    file, a folder with partition folders alone and without a schema. None where footers cannot be read.
+
+    Footers are read by tasks; the driver gets one row per entry.
+    """
+    root = root.rstrip("/")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(entries).select("path")
+    rel = F.regexp_replace("path", r"^(file:)?/*" + _re_escape(root.replace("file:", "").lstrip("/")) + "/", "")
+    feet = checkpointed(file_footers(files).withColumn("rel", rel).withColumn("entry", F.split("rel", "/")[0]))
+    if not feet.where("message IS NOT NULL").isEmpty():
+        return None
+    shape = feet.groupBy("entry").agg(F.count_distinct("schema").alias("n"), F.min("schema").alias("schema"), F.max(F.contains("rel", F.lit("="))).alias("parts"))
+    groups: dict = {}
+    for r in shape.orderBy("entry").collect():
+        if r["parts"]:
+            groups[r["entry"]] = (None, [f"{root}/{r['entry']}"])
+        elif r["n"] == 1:
+            groups.setdefault(r["schema"], (r["schema"], []))[1].append(f"{root}/{r['entry']}")
+        else:
+            for f in feet.where(F.col("entry") == r["entry"]).orderBy("path").select("path", "schema").toLocalIterator():
+                groups.setdefault(f["schema"], (f["schema"], []))[1].append(f["path"])
+    return list(groups.values())
+
+
+def _read_groups(spark, root, entries, lineage):
+    """One scan per distinct schema, with the first path of each."""
+    groups = schema_groups(spark, root, entries)
+    if groups is None:
+        return None
+    frames = []
+    for schema, paths in groups:
+        reader = spark.read.schema(StructType.fromJson(json.loads(schema))) if schema else spark.read
+        df = reader.parquet(*paths)
+        if lineage:   # the entry under the folder that the row came from
+            df = df.withColumn(FILE, F.regexp_extract(F.col("_metadata.file_path"), _re_escape(root.rstrip("/").replace("file:", "")) + "/([^/]+)", 1))
+        frames.append(df)
+    return frames, [paths[0].rsplit("/", 1)[-1] for _, paths in groups]
+
+
 def run_combine(spark: SparkSession, input_dir: str, pattern: str = "*.parquet", mode: str = "concat",
                 keys=None, how: str = "inner", strict_schema: bool = False, lineage: bool = False) -> DataFrame:
     """Stack (``concat``) or merge the matching files; no file is an error.
 
-    The list of file paths is the only thing the driver handles; every file stays a lazy scan.
+    Parquet files are stacked by one scan per distinct schema, whatever their number; merges are one exchange over all
+    inputs (``merge_many``). The names of the entries are the only thing the driver handles.
     """
     paths = matching_files(spark, input_dir, pattern)
     if not paths:
         raise FileNotFoundError(f"No files found in {input_dir} with pattern {pattern}")
-    if mode == "concat" and not strict_schema and all(p.lower().endswith(".parquet") for p in paths):
-        # one scan over every file; schemas merged by name (missing columns null) when types agree
-        try:
-            one = spark.read.option("mergeSchema", True).parquet(*paths)
-            if lineage:   # the entry under input_dir the row came from, as in the per-file branch
-                root = input_dir.rstrip("/").replace("file:", "")
-                one = one.withColumn(FILE, F.regexp_extract(F.col("_metadata.file_path"),
-                                                            _re_escape(root) + "/([^/]+)", 1))
-            one.schema  # noqa: B018 - resolves the merged schema now, so a type clash falls back below
-            return one
-        except Exception:  # noqa: BLE001 - conflicting types: stack by name with wider types
-            pass
-    frames = [read_output(spark, p) for p in paths]
-    if lineage:
-        frames = [f.withColumn(FILE, F.lit(p.rsplit("/", 1)[-1])) for f, p in zip(frames, paths)]
+    grouped = None
+    if mode == "concat" and all(p.lower().endswith(".parquet") for p in paths):
+        grouped = _read_groups(spark, input_dir, paths, lineage)
+    if grouped:
+        frames, labels = grouped
+    else:
+        frames, labels = [read_output(spark, p) for p in paths], [p.rsplit("/", 1)[-1] for p in paths]
+        if lineage:
+            frames = [f.withColumn(FILE, F.lit(label)) for f, label in zip(frames, labels)]
     if mode == "concat":
-        labels = [p.rsplit("/", 1)[-1] for p in paths]
         return stack_strict(frames, labels) if strict_schema else stack_by_name(frames)
-    return merge_frames(frames, list(keys or []), how)
+    return merge_many(frames, list(keys or []), how)

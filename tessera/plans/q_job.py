@@ -138,3 +138,46 @@ def q_full_job_rows(spark, sf_dir):
                    F.lit("orders").alias(FILE), F.struct(F.col("o_orderkey").alias("i")).alias(ORD))
     out = transform(filter_and_rename(src, ROWS_SPEC), ROWS_SPEC).frame
     return out.select("article_sku", "report_date", "sales_amount", "provider_id", *[c for c in out.columns if c == "note"])
+
+
+def _unlike_folder(spark, sf_dir):
+    """Orders as five inputs of different columns and types, each a folder of several files."""
+    o = table(spark, sf_dir, "orders")
+    root = scratch_path(spark, f"unlike-{uuid.uuid4().hex}")
+    whole = F.col("o_custkey")
+    parts = {
+        "a": o.select("o_orderkey", whole.cast("long").alias("v")), "b": o.select(F.col("o_orderpriority").alias("note"), "o_orderkey"),
+        "c": o.select(whole.cast("string").alias("v"), "o_orderkey", "o_orderstatus"), "d": o.select("o_orderkey", whole.cast("int").alias("v")),
+        "e": o.select("o_orderkey", F.length("o_orderpriority").alias("n"))}
+    for name, df in parts.items():
+        df.repartition(4).write.parquet(f"{root}/{name}.parquet")
+    return root
+
+
+@register("stack_unlike_files", """
+SELECT 'a.parquet' AS source_file, o_orderkey, CAST(o_custkey AS VARCHAR) AS v, NULL AS note, NULL AS o_orderstatus, NULL AS n FROM orders
+UNION ALL SELECT 'b.parquet', o_orderkey, NULL, o_orderpriority, NULL, NULL FROM orders
+UNION ALL SELECT 'c.parquet', o_orderkey, CAST(o_custkey AS VARCHAR), NULL, o_orderstatus, NULL FROM orders
+UNION ALL SELECT 'd.parquet', o_orderkey, CAST(o_custkey AS VARCHAR), NULL, NULL, NULL FROM orders
+UNION ALL SELECT 'e.parquet', o_orderkey, NULL, NULL, NULL, CAST(length(o_orderpriority) AS INT) FROM orders
+""")
+def q_stack_unlike_files(spark, sf_dir):
+    """A folder of unlike outputs, one scan per distinct schema."""
+    from .combine import run_combine
+
+    return run_combine(spark, _unlike_folder(spark, sf_dir), lineage=True)
+
+
+@register("preflight_footers", """
+SELECT o_orderpriority AS folder, CAST(count(*) AS BIGINT) AS "rows", 2 AS columns, 'OK' AS status FROM orders GROUP BY 1
+""")
+def q_preflight_footers(spark, sf_dir):
+    """A9, A10 of Parquet files from their footers."""
+    from ..sources.files import list_files
+    from ..sources.footers import preflight_footers
+
+    root = scratch_path(spark, f"footers-{uuid.uuid4().hex}")
+    table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.col("o_orderpriority").alias("p")).write.partitionBy("p").parquet(root)
+    files = preflight_footers(list_files(spark, root))
+    folder = F.try_url_decode(F.regexp_extract("path", "/p=([^/]+)/", 1))
+    return files.groupBy(folder.alias("folder")).agg(F.sum("rows").alias("rows"), F.max("columns").alias("columns"), F.max("status").alias("status"))
