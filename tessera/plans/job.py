@@ -118,8 +118,10 @@ def run_folder(spark: SparkSession, root: str, out_dir: str, load=None, **job_ar
 def run_job(spark: SparkSession, spec: JobSpec, paths, out_dir: str, kind: str | None = None,
             level: str = "coerce", fail_on_missing: bool = False, fail_on_extra: bool = False,
             guess_header: bool = False, fmt: str = "parquet", company: str | None = None,
-            run_ts=None, infer_numbers: bool = True, root: str | None = None, connections: dict | None = None) -> JobResult:
-    """One spec over all its inputs. ``company``: of all files, or the first folder below ``root`` on each file's path."""
+            run_ts=None, infer_numbers: bool = True, root: str | None = None, connections: dict | None = None,
+            run: str | None = None) -> JobResult:
+    """One spec over all its inputs. ``company``: of all files, or the first folder below ``root`` on each file's path. ``run``: the
+    outputs go to folders of this run below those of all runs (see ``sinks.commit``)."""
     raw, unreadable = scan_with_errors(spark, spec, paths, kind, guess_header, connections, infer_numbers)
     raw_cols = len([c for c in raw.columns if c not in LINEAGE and c != SHEET])
     t = transform(raw, spec)
@@ -170,9 +172,7 @@ def run_job(spark: SparkSession, spec: JobSpec, paths, out_dir: str, kind: str |
     ledger = checkpointed(with_file_id(ledger))          # small, reused by the writes below
 
     failed = ledger.where(F.col("status") == "quarantined").select(KEY, FILE, "reason")
-    clean_path = os.path.join(out_dir, "clean")
-    quarantine_path = os.path.join(out_dir, "quarantine")
-    ledger_path = os.path.join(out_dir, "ledger")
+    clean_path, quarantine_path, ledger_path = (os.path.join(out_dir, name, *([f"run={run}"] if run else [])) for name in ("clean", "quarantine", "ledger"))
     owner = F.lit(company) if company is not None else company_of(plain_path(KEY), root) if root else None
     owned = lambda df: df if owner is None or "company" in df.columns else df.withColumn("company", owner)
     good = owned(where_files(typed, failed, keep=False).drop(LAYOUT, NUMERIC))

@@ -181,3 +181,28 @@ def q_preflight_footers(spark, sf_dir):
     files = preflight_footers(list_files(spark, root))
     folder = F.try_url_decode(F.regexp_extract("path", "/p=([^/]+)/", 1))
     return files.groupBy(folder.alias("folder")).agg(F.sum("rows").alias("rows"), F.max("columns").alias("columns"), F.max("status").alias("status"))
+
+
+@register("stream_replay", """
+SELECT o_orderstatus AS company, CAST(o_custkey AS VARCHAR) AS article_sku, CAST(o_totalprice AS DOUBLE) AS sales_amount, 'processed' AS status
+FROM orders
+""")
+def q_stream_replay(spark, sf_dir):
+    """Slices of orders arrive in a drop folder before three triggers; the second trigger's batch is handed in again, and the third sees
+    a folder that holds every file of the first two, too."""
+    from ..sinks.commit import published
+    from ..streaming.incremental import commit_batch, start_committed
+
+    root = scratch_path(spark, f"stream-{uuid.uuid4().hex}")
+    spec = JobSpec(source_type="csv", column_mappings={"sku": "article_sku", "amount": "sales_amount"}, columns=("sku", "amount"), provider_name="p")
+    o = table(spark, sf_dir, "orders").select("o_orderstatus", F.col("o_custkey").alias("sku"), F.col("o_totalprice").alias("amount"))
+    args = {"kind": "csv", "root": f"{root}/in"}
+    for status in ("F", "O", "P"):
+        o.where(F.col("o_orderstatus") == status).drop("o_orderstatus").write.option("header", True).csv(f"{root}/in/{status}")
+        start_committed(spark, spec, f"{root}/in", f"{root}/out", f"{root}/checkpoint", pattern="*.csv", **args).awaitTermination()
+        if status == "O":
+            again = published(spark, f"{root}/out", "ledger").where("rows_in > 0").select("path").limit(1)
+            assert not commit_batch(spark, spec, again, f"{root}/out", "checkpoint/1", **args)
+    ledger = published(spark, f"{root}/out", "ledger").select("run", "source_file", "status").distinct()
+    clean = published(spark, f"{root}/out", "clean")
+    return clean.join(ledger, ["run", "source_file"]).select("company", "article_sku", "sales_amount", "status")
