@@ -102,7 +102,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     every = F.concat("base", "near")
     return out.select("doc_id", *[S.count(F.col("base"), k).alias(f"n_{k}") for k in P.KINDS],
                       F.sha2(S.joined(F.col("base"), P.KINDS, "kind"), 256).alias("base_sha256"),
-                      S.joined(every, P.KINDS + P.NEAR, "kind").alias("spans"))
+                      S.joined(every, P.KINDS + P.NEAR, "kind").alias("spans"), F.size(every).cast("long").alias("n_spans"))
 
 
 @register("op2_mixing")
