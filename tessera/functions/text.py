@@ -103,9 +103,12 @@ def month_token(c: Column | str) -> Column:
 def year_month_label(c: Column | str) -> Column:
     """``YYYY-mon`` when the label holds a 4-digit token and a month token, else the label."""
     label = _col(c).cast("string")
-    parts = F.filter(F.split(F.regexp_replace(label, "[/-]", " "), r"\s+"), lambda p: p != "")
-    year = F.try_element_at(F.filter(parts, lambda p: p.rlike("^[0-9]{4}$")), F.lit(1))
-    month = F.try_element_at(
-        F.filter(F.transform(parts, month_token), lambda m: m.isNotNull()), F.lit(1))
-    return F.when(year.isNotNull() & month.isNotNull(),
-                  F.concat(year, F.lit("-"), month)).otherwise(label)
+    found = F.filter(F.split(F.translate(label, "/-", "  "), r"\s+"), lambda p: p != "")
+
+    def read(parts):  # the parts are bound once; those of digits alone hold no month
+        year = F.try_element_at(F.filter(parts, lambda p: p.rlike("^[0-9]{4}$")), F.lit(1))
+        words = F.filter(parts, lambda p: ~p.rlike("^[0-9]+$"))
+        month = F.try_element_at(F.filter(F.transform(words, month_token), lambda m: m.isNotNull()), F.lit(1))
+        return F.concat(year, F.lit("-"), month)
+
+    return F.coalesce(F.transform(F.array(found), read)[0], label)

@@ -37,8 +37,7 @@ def file_keys(df: DataFrame) -> list[str]:
 def input_path():
     """Path of the input a Parquet row belongs to: a folder ``x.parquet`` that a job wrote counts as one input."""
     path = F.col("_metadata.file_path")
-    folder = F.regexp_extract(path, r"^(.*?\.parquet)/", 1)
-    return F.when(folder != "", folder).otherwise(path)
+    return F.when(F.contains(path, F.lit(".parquet/")), F.concat(F.substring_index(path, ".parquet/", 1), F.lit(".parquet"))).otherwise(path)
 
 
 def with_file_order(df: DataFrame, file_name: bool = True) -> DataFrame:
@@ -48,7 +47,7 @@ def with_file_order(df: DataFrame, file_name: bool = True) -> DataFrame:
     """
     out = df
     if file_name:
-        out = out.withColumns({FILE: F.element_at(F.split(input_path(), "/"), -1), KEY: input_path()})
+        out = out.withColumns({FILE: F.substring_index(input_path(), "/", -1), KEY: input_path()})
     return out.withColumn(
         ORD, F.struct(F.col("_metadata.file_path").alias("f"),
                       F.col("_metadata.row_index").alias("i")))

@@ -424,3 +424,19 @@ def q_dedupe_null_keys(spark, sf_dir):
                    F.when(F.col("event_type") != "error", F.col("user_id")).alias("user_id"),
                    "event_type", F.struct("ts", "event_id").alias(ORD))
     return dedupe_first(ev, ["user_id", "event_type"]).drop(ORD)
+
+
+@register("guessed_date_layouts", """
+SELECT 'orders_' || o_orderstatus AS source_file, o_orderkey, CASE WHEN o_orderkey % 17 <> 0 THEN CAST(o_orderdate AS TIMESTAMP) END AS report_date,
+       o_orderkey % 17 = 0 AS bad FROM orders
+""")
+def q_guessed_date_layouts(spark, sf_dir):
+    """Three files, the day first, the month first and in words; some cells that are no dates."""
+    from ..operators.layouts import parse_dates
+
+    o = table(spark, sf_dir, "orders")
+    layout = {"F": "dd/MM/yyyy", "O": "MM/dd/yyyy", "P": "d MMM yyyy"}
+    text = F.coalesce(*[F.when(F.col("o_orderstatus") == s, F.date_format("o_orderdate", f)) for s, f in layout.items()])
+    src = o.select(F.concat(F.lit("orders_"), "o_orderstatus").alias(FILE), "o_orderkey", F.when(F.col("o_orderkey") % 17 == 0, "pending").otherwise(text).alias("text"))
+    out = parse_dates(src, ["text"], suffix="_day")
+    return out.select(FILE, "o_orderkey", F.col("text_day").alias("report_date"), (F.col("text").isNotNull() & F.col("text_day").isNull()).alias("bad"))

@@ -21,6 +21,7 @@ from ..functions import parse_timestamp, strip_thousands, to_num, trim_ws
 from ..operators.aggregate import group_sum
 from ..operators.clean import strip_thousands_text, trim_text
 from ..operators.filters import apply_sparse_decision, sparse_decision
+from ..operators.layouts import parse_dates
 from ..operators.lineage import LAYOUT, LINEAGE, file_keys, qc
 from ..operators.order import dedupe_first
 from ..operators.project import stamp_provider
@@ -44,6 +45,10 @@ class Transformed:
     notes: list = field(default_factory=list)
 
 
+def _guessed(df: DataFrame, spec: JobSpec) -> bool:
+    return spec.guess_dates and isinstance(df.schema[DATE_FIELD].dataType, StringType)
+
+
 def transform(df: DataFrame, spec: JobSpec, per_file: bool = True) -> Transformed:
     notes: list[str] = []
     info = None
@@ -55,7 +60,8 @@ def transform(df: DataFrame, spec: JobSpec, per_file: bool = True) -> Transforme
             if isinstance(df.schema[DATE_FIELD].dataType, StringType):
                 text = trim_ws(text) if spec.trim_strings else text
                 text = strip_thousands(text) if spec.strip_thousands else text
-            df = df.withColumn(PARSED, parse_timestamp(text, spec.date_formats, df.schema[DATE_FIELD].dataType))
+            df = parse_dates(df.withColumn(PARSED, text), [PARSED]) if _guessed(df, spec) else \
+                df.withColumn(PARSED, parse_timestamp(text, spec.date_formats, df.schema[DATE_FIELD].dataType))
             carry = [PARSED]
         df, info = unpivot(df, spec.unpivot_ids(), spec.var_name, spec.value_name, carry)
         if info is None:
@@ -84,6 +90,8 @@ def transform(df: DataFrame, spec: JobSpec, per_file: bool = True) -> Transforme
     has = lambda c: F.array_contains(LAYOUT, c) if LAYOUT in df.columns else F.lit(True)
     if DATE_FIELD in df.columns:                                         # C3 + F11
         raw = F.col(DATE_FIELD)
+        if not carry and _guessed(df, spec):
+            df, carry = parse_dates(df.withColumn(PARSED, raw), [PARSED]), [PARSED]
         parsed = F.col(PARSED) if carry else parse_timestamp(raw, spec.date_formats, df.schema[DATE_FIELD].dataType)
         df = (df.withColumn("__date", parsed)
                 .withColumn(DATE_BAD, raw.isNotNull() & F.col("__date").isNull())
