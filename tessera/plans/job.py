@@ -47,6 +47,9 @@ def scan(spark: SparkSession, spec: JobSpec, paths, kind: str | None = None, gue
 
 def scan_with_errors(spark, spec, paths, kind=None, guess_header=False, connections=None, infer_numbers=True):
     """``scan`` and, for workbooks, the files that cannot be read: (path, source_file, message), else None."""
+    if infer_numbers and (kind or spec.source_type or "excel").lower() == "csv" and not guess_header:
+        from ..sources.csv_summary import read_csv_typed
+        return read_csv_typed(spark, paths, spec, exclude=set(spec.field_types)), None
     frame, errors = _scan(spark, spec, paths, kind, guess_header, connections)
     if infer_numbers and (kind or spec.source_type or "excel").lower() not in ("sql", "parquet"):
         from ..sources.rows import infer_types

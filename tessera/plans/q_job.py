@@ -206,3 +206,21 @@ def q_stream_replay(spark, sf_dir):
     ledger = published(spark, f"{root}/out", "ledger").select("run", "source_file", "status").distinct()
     clean = published(spark, f"{root}/out", "clean")
     return clean.join(ledger, ["run", "source_file"]).select("company", "article_sku", "sales_amount", "status")
+
+
+@register("csv_wide", """
+SELECT o_orderkey, CAST(o_custkey + 1 AS BIGINT) AS c1, CASE WHEN o_orderstatus = 'P' THEN 'no ' ELSE '' END || CAST(o_custkey + 15 AS VARCHAR) AS c15,
+       CAST(CASE WHEN o_orderstatus <> 'O' THEN o_custkey + 40 END AS BIGINT) AS c40, CAST(o_totalprice AS DOUBLE) AS price FROM orders
+""")
+def q_csv_wide(spark, sf_dir):
+    """Wide files of three layouts, read once for the summary and once for the result; a column that is a number in some files only
+    stays text, one that a layout lacks is null."""
+    from ..sources.csv_summary import read_csv_typed
+
+    o = table(spark, sf_dir, "orders")
+    root = scratch_path(spark, f"csv-wide-{uuid.uuid4().hex}")
+    for status, cols in (("F", range(1, 41)), ("O", range(39, 0, -1)), ("P", [40, *range(1, 40)])):
+        mark = lambda i: F.concat(F.lit("no "), (F.col("o_custkey") + i).cast("string")) if status == "P" and i == 15 else F.col("o_custkey") + i  # noqa: B023, E731
+        part = o.where(F.col("o_orderstatus") == status).select(*[mark(i).alias(f"c{i}") for i in cols], "o_orderkey", F.col("o_totalprice").alias("price"))
+        part.write.option("header", True).csv(f"{root}/{status}")
+    return read_csv_typed(spark, root, JobSpec(source_type="csv")).select("o_orderkey", "c1", "c15", "c40", "price")

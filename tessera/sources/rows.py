@@ -69,11 +69,11 @@ def _unique_names(names: list) -> list[str]:
 
 
 def apply_header(rows: DataFrame, spec: JobSpec, header_rows: DataFrame | None = None,
-                 header_override: DataFrame | None = None) -> tuple[DataFrame, list[list[str]]]:
+                 header_override: DataFrame | None = None, heads: DataFrame | None = None) -> tuple[DataFrame, list[list[str]]]:
     """Turn a row table (skipped rows already dropped) into a frame: header row per file (spec, or ``header_rows`` table),
     names from that row, data rows below it; files with different header layouts are stacked by
     name. ``header_override``: ``(scope…, names array<string>)`` replacing the read names (merged
-    header expansion). Returns the frame and, if all files share one layout, its names.
+    header expansion); ``heads``: the header cells ``(scope…, names)``, where they are known already. Returns the frame and, if all files share one layout, its names.
 
     Only the names of the result's columns reach the driver; which file has which layout, and where a layout has which
     name, are joined.
@@ -91,7 +91,7 @@ def apply_header(rows: DataFrame, spec: JobSpec, header_rows: DataFrame | None =
             target = cell.alias or spec.column_mappings.get(cell.name, cell.name)
             cols.append(F.try_element_at("vals", F.lit(cell.column + 1)).alias(target))
         return data.select(*cols, *_lineage(scope)), [[c.alias or c.name for c in spec.headers]]
-    head = tagged.where(F.col("row") == F.col("header_row")).select(*scope, F.col("vals").alias("names"))
+    head = heads if heads is not None else tagged.where(F.col("row") == F.col("header_row")).select(*scope, F.col("vals").alias("names"))
     if header_override is not None:
         head = head.join(header_override.withColumnRenamed("names", "__ov"), scope, "left") \
                    .select(*scope, F.coalesce("__ov", "names").alias("names"))
@@ -168,8 +168,9 @@ def _lineage(scope) -> list[Column]:
     return cols
 
 
-def infer_types(df: DataFrame, exclude=()) -> DataFrame:
-    """Number-like text columns become doubles (longs when every value is whole); one grouped pass.
+def infer_types(df: DataFrame, exclude=(), stats: DataFrame | None = None) -> DataFrame:
+    """Number-like text columns become doubles (longs when every value is whole); one grouped pass, or none with ``stats``
+    (file, column, cells, numbers, whole: how many cells of it are there, are numbers, are whole).
 
     Types are those of each file: a column is a number in a file that has values there which all parse (the strict
     shape of ``to_num``). Where every file with values agrees, the column is cast. Where files differ it stays text, and
@@ -187,11 +188,14 @@ def infer_types(df: DataFrame, exclude=()) -> DataFrame:
         aggs += [F.count(qc(c)).alias(f"n{i}"), F.count(x).alias(f"x{i}"),
                  F.sum((x == F.floor(x)).cast("long")).alias(f"w{i}")]
     keys = file_keys(df)
-    stats = checkpointed(df.groupBy(*keys).agg(*aggs))
+    if stats is not None:
+        of = lambda c, what: F.coalesce(F.max(F.when(F.col("column") == c, F.col(what))), F.lit(0))
+        aggs = [of(c, what).alias(f"{short}{i}") for i, c in enumerate(cols) for what, short in (("cells", "n"), ("numbers", "x"), ("whole", "w"))]
+    stats = checkpointed((df if stats is None else stats).groupBy(*keys).agg(*aggs))
     number = [(F.col(f"n{i}") > 0) & (F.col(f"n{i}") == F.col(f"x{i}")) for i in range(len(cols))]
     some = stats.agg(*[F.max(number[i]).alias(f"any{i}") for i in range(len(cols))],
                      *[F.min(number[i] | (F.col(f"n{i}") == 0)).alias(f"all{i}") for i in range(len(cols))],
-                     *[F.min(F.col(f"w{i}") == F.col(f"x{i}")).alias(f"whole{i}") for i in range(len(cols))]).first()
+                     *[F.min(F.coalesce(F.col(f"w{i}"), F.lit(0)) == F.col(f"x{i}")).alias(f"whole{i}") for i in range(len(cols))]).first()
     casts, mixed = {}, []
     for i, c in enumerate(cols):
         if some[f"any{i}"] and some[f"all{i}"]:
