@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from . import catalog
-from . import q_discover, q_job, q_query, q_transform, q_validate  # noqa: F401  (register queries)
+from . import q_discover, q_job, q_outputs, q_query, q_transform, q_validate  # noqa: F401  (register queries)
 
 
 def queries():

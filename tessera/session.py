@@ -62,13 +62,15 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared folder named in ``spark.checkpoint.dir``.
 
-    On a cluster that setting names a shared file system folder and is used as is. Only when it is
-    unset (local tests) a scratch folder is created and registered.
+    On a cluster that setting names a shared file system folder and is used as is; without it a ValueError says so. Only a
+    local master gets a scratch folder.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
         current = spark.sparkContext.getCheckpointDir() or None
     if not current:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         current = tempfile.mkdtemp(prefix="tessera-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
     if not spark.sparkContext.getCheckpointDir():
