@@ -224,3 +224,22 @@ def q_csv_wide(spark, sf_dir):
         part = o.where(F.col("o_orderstatus") == status).select(*[mark(i).alias(f"c{i}") for i in cols], "o_orderkey", F.col("o_totalprice").alias("price"))
         part.write.option("header", True).csv(f"{root}/{status}")
     return read_csv_typed(spark, root, JobSpec(source_type="csv")).select("o_orderkey", "c1", "c15", "c40", "price")
+
+
+@register("preview_heads", """
+SELECT 'company ' || o_orderstatus AS company, CAST(o_orderkey AS VARCHAR) AS order_id, CAST(o_custkey AS VARCHAR) AS article_sku
+FROM orders QUALIFY row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) <= 5
+""")
+def q_preview_heads(spark, sf_dir):
+    """The first rows of every file, of which no more is read than holds them."""
+    from ..sources.files import list_files
+    from ..sources.heads import preview_files
+
+    o = table(spark, sf_dir, "orders")
+    root = scratch_path(spark, f"heads-{uuid.uuid4().hex}")
+    for status in "FOP":  # one file each, in order
+        part = o.where(F.col("o_orderstatus") == status).select("o_orderkey", F.col("o_custkey").alias("sku"), "o_orderpriority").orderBy("o_orderkey")
+        part.coalesce(1).write.option("header", True).csv(f"{root}/company {status}")
+    spec = JobSpec(source_type="csv", column_mappings={"o_orderkey": "order_id", "sku": "article_sku"}, columns=("o_orderkey", "sku"))
+    rows = preview_files(list_files(spark, root), spec, 5)
+    return rows.select(F.try_url_decode(F.regexp_extract("__path", "/([^/]+)/[^/]+$", 1)).alias("company"), "order_id", "article_sku")

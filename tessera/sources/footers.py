@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 ROW_SCHEMA = b"org.apache.spark.sql.parquet.row.metadata"  # fixed: where Spark keeps a file's schema
 
 
-def _open(uri: str):
+def open_file(uri: str):
+    """(file system, name there) of a listed path."""
     from pyarrow import fs
 
     if re.match("(file:)?/", uri):
@@ -40,7 +41,7 @@ def _read(batches):
         out = []
         for uri in batch.column("path").to_pylist():
             try:
-                where, name = _open(uri)
+                where, name = open_file(uri)
                 with where.open_input_file(name) as f:
                     footer = parquet.read_metadata(f)
                 out.append((uri, footer.num_rows, len(footer.schema.to_arrow_schema().names), _spark_schema(footer), None))
