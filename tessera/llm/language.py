@@ -47,10 +47,10 @@ class Model:
 
 def grams(texts: list[str], bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashed trigrams of all words of lower-cased texts (words: runs of letters and their marks), the first
-    n-gram of each word, and the first word of each text."""
+    n-gram of each word, and the first word of each text; -1 stands for no n-gram."""
     words = [_NO_LETTER.sub(" ", f" {t.lower()}").strip() for t in texts]
-    joined = " ".join(words)
-    code = np.frombuffer(f"  {joined} ".encode("utf-32-le", "replace"), dtype="<u4").astype(np.uint64)
+    joined = "  ".join(words)  # two blanks: no n-gram holds letters of two texts, so a text's result does not depend on its neighbours
+    code = np.frombuffer(f"  {joined}  ".encode("utf-32-le", "replace"), dtype="<u4").astype(np.uint64)
     mixed = code[:-2] * np.uint64(0x9E3779B97F4A7C15) ^ code[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F) ^ code[2:] * np.uint64(0x165667B19E3779F9)
     mixed ^= mixed >> np.uint64(29)
     mixed *= np.uint64(0xBF58476D1CE4E5B9)
@@ -59,7 +59,9 @@ def grams(texts: list[str], bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     blank = middle == 32
     starts = np.flatnonzero(~blank & (np.concatenate([[True], blank[:-1]])))
     counts = np.array([w.count(" ") + 1 if w else 0 for w in words], dtype=np.int64)
-    # n-grams centred on a blank belong to the word before it; the first one, before all words, to none
+    # n-grams centred on a blank belong to the word before it; the first one, before all words, to none, and so do those of
+    # a second blank in a row, between texts
+    gram[blank & (code[:-2] == 32)] = -1
     return gram, starts, np.concatenate([[0], np.cumsum(counts)])
 
 
@@ -77,7 +79,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lab
     for r in sample_per_class(rows, "y", "id", settings.docs).select("y", part.alias("t")).toLocalIterator():
         gram, first, _ = grams([r.t], settings.bits)
         if len(first):
-            counts[r.y] = counts.get(r.y, 0) + np.bincount(gram[first[0]:], minlength=size)
+            counts[r.y] = counts.get(r.y, 0) + np.bincount(gram[gram >= 0], minlength=size)
     languages = tuple(sorted(counts))
     logp = np.empty((size, len(languages)), dtype=np.float32)
     seen = sum((c > 0) for c in counts.values()).astype(bool).sum() if languages else 0
@@ -95,7 +97,9 @@ def mixtures(texts: list[str], model: Model) -> tuple[np.ndarray, np.ndarray]:
     out = np.zeros((len(texts), k))
     if not len(starts) or not k:
         return out, words
-    like = np.add.reduceat(model.logp[gram], starts, axis=0).astype(np.float64)
+    rows = model.logp[gram]
+    rows[gram < 0] = 0
+    like = np.add.reduceat(rows, starts, axis=0, dtype=np.float64)
     has = np.flatnonzero(words)
     at, n = first[has], words[has].astype(np.float64)
     top = like.max(axis=1, keepdims=True)

@@ -103,4 +103,4 @@ def test_a_text_full_of_findings(spark, model):
     row = personal.scan(docs, model).first()
     took = time.perf_counter() - began
     assert sum(s.kind == "email" for s in row.base) == len(re.findall("@", text)) and sum(s.kind == "near_phone" for s in row.near) > 19_000
-    assert took < 60, took
+    assert took < 120, took

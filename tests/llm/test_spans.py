@@ -42,4 +42,4 @@ def test_a_long_text_full_of_findings_takes_time_in_proportion(spark):
     took = time.perf_counter() - began
     assert len(text) > 5_000_000 and sum(s.kind == "assign" for s in out.spans) == 100_000
     assert out.t.splitlines()[77_777] == "row 77777 <assign> and more words"
-    assert took < 60, took
+    assert took < 120, took
