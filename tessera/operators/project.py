@@ -15,24 +15,36 @@ def _keep_lineage(df: DataFrame) -> list[str]:
     return [c for c in LINEAGE if c in df.columns]
 
 
-def select_present(df: DataFrame, columns) -> DataFrame:
-    """The listed columns that exist, in list order (lineage kept)."""
+def _only(names: Column, present: list[str]) -> Column:
+    return F.array_intersect(names, F.array(*[F.lit(c) for c in present]) if present else F.array().cast("array<string>"))
+
+
+def _renamed(names: Column, renames: dict) -> Column:
+    m = F.create_map(*[x for k, v in renames.items() for x in (F.lit(k), F.lit(v))])
+    return F.transform(names, lambda x: F.coalesce(F.try_element_at(m, x), x))
+
+
+def layout_names(names: Column, spec: JobSpec, columns: list[str]) -> Column:
+    """The layout column that P1 then P2 leave of a file's own ``names`` in a frame of ``columns``."""
+    if spec.columns:
+        columns = [c for c in dict.fromkeys(spec.columns) if c in columns]
+        names = _only(names, columns)
+    renames = {k: v for k, v in spec.column_mappings.items() if k in columns and k != v}
+    return _renamed(names, renames) if renames else names
+
+
+def select_present(df: DataFrame, columns, layout: bool = True) -> DataFrame:
+    """The listed columns that exist, in list order (lineage kept). ``layout``: the layout column follows."""
     present = [c for c in dict.fromkeys(columns) if c in df.columns]
     out = df.select(*[qc(c) for c in present], *[c for c in _keep_lineage(df) if c not in present])
-    if LAYOUT in out.columns:
-        keep = F.array(*[F.lit(c) for c in present]) if present else F.array().cast("array<string>")
-        out = out.withColumn(LAYOUT, F.array_intersect(F.col(LAYOUT), keep))
-    return out
+    return out.withColumn(LAYOUT, _only(F.col(LAYOUT), present)) if layout and LAYOUT in out.columns else out
 
 
-def rename(df: DataFrame, mapping: dict) -> DataFrame:
-    """Rename by mapping; unmapped columns keep their name."""
+def rename(df: DataFrame, mapping: dict, layout: bool = True) -> DataFrame:
+    """Rename by mapping; unmapped columns keep their name. ``layout``: the layout column follows."""
     renames = {k: v for k, v in mapping.items() if k in df.columns and k != v}
     out = df.withColumnsRenamed(renames)
-    if LAYOUT in out.columns and renames:
-        m = F.create_map(*[x for k, v in renames.items() for x in (F.lit(k), F.lit(v))])
-        out = out.withColumn(LAYOUT, F.transform(LAYOUT, lambda x: F.coalesce(F.try_element_at(m, x), x)))
-    return out
+    return out.withColumn(LAYOUT, _renamed(F.col(LAYOUT), renames)) if layout and LAYOUT in out.columns and renames else out
 
 
 def positional_select(df: DataFrame, spec: JobSpec, raw_columns: list[str] | None = None) -> DataFrame:
@@ -51,14 +63,15 @@ def positional_select(df: DataFrame, spec: JobSpec, raw_columns: list[str] | Non
     return df.select(*picked, *_keep_lineage(df))
 
 
-def filter_and_rename(df: DataFrame, spec: JobSpec, raw_columns: list[str] | None = None) -> DataFrame:
-    """Selection + rename of a scanned frame as the spec says (P3, else P1 then P2)."""
+def filter_and_rename(df: DataFrame, spec: JobSpec, raw_columns: list[str] | None = None, layout: bool = True) -> DataFrame:
+    """Selection + rename of a scanned frame as the spec says (P3, else P1 then P2). ``layout``: the layout column follows (not where the scan
+    told it by ``layout_names``)."""
     if spec.headers:
         return positional_select(df, spec, raw_columns)
     if spec.columns:
-        df = select_present(df, spec.columns)
+        df = select_present(df, spec.columns, layout)
     if spec.column_mappings:
-        df = rename(df, spec.column_mappings)
+        df = rename(df, spec.column_mappings, layout)
     return df
 
 

@@ -1,4 +1,5 @@
-"""S1 in two reads: one that sums every block of every file up, one for the job itself.
+"""S1 in two reads: one that sums every block of every file up, one for the job itself. A pass over the lines, which parses nothing, tells the
+width before them where the spec does not.
 
 The summary of a block holds its record count and width, its first records (header and skipped rows lie there) and, per column position, how
 many cells are there, are numbers, are whole numbers. Summaries merge by addition, so record numbers, header layouts and number types of
@@ -20,6 +21,9 @@ from ..operators.lineage import FILE, KEY, LINEAGE, qc
 from ..spec import JobSpec
 from .rows import _column_names, _kept, apply_header, infer_types
 
+# Shapes of usual numbers. Their digits fit a double, so the shape alone tells whole numbers; all other texts are parsed.
+PLAIN_WHOLE, PLAIN_DECIMAL, NO_FRACTION = r"^[+-]?[0-9]{1,15}\z", r"^[+-]?[0-9]{1,9}\.[0-9]{1,6}\z", r"\.0+\z"
+
 _BLOCK = pa.schema([("__path", pa.string()), (FILE, pa.string()), ("__blk", pa.int64()), ("m0", pa.int64()), ("n", pa.int64()), ("over", pa.int32()),
                     ("head", pa.list_(pa.list_(pa.string()))), *[(c, pa.list_(pa.int64())) for c in ("cells", "numbers", "whole")]])
 BLOCKS = f"__path string, {FILE} string, __blk long, m0 long, n long, over int, head array<array<string>>, cells array<long>, numbers array<long>, whole array<long>"
@@ -31,7 +35,8 @@ def _kinds(vals):
 
     def kind(v):
         x = to_num(v)
-        return F.when(v.isNull() | v.isin(*NULL_MARKS), 0).when(x.isNull(), 1).when(x == F.floor(x), 3).otherwise(2).cast("tinyint")
+        plain = F.when(v.isNull(), 0).when(v.rlike(PLAIN_WHOLE), 3).when(v.rlike(PLAIN_DECIMAL), F.when(v.rlike(NO_FRACTION), 3).otherwise(2))
+        return plain.when(v.isin(*NULL_MARKS), 0).when(x.isNull(), 1).when(x == F.floor(x), 3).otherwise(2).cast("tinyint")
     return F.transform(vals, kind)
 
 
@@ -80,22 +85,27 @@ def _summed(keep: int):
     return run
 
 
-def summarise(spark: SparkSession, paths, spec: JobSpec, width: int | None = None) -> tuple[DataFrame, int, int]:
-    """(blocks, width, header): a row per file block, the width of records, and the index of the header row among all records. One read; a
-    second one where some records are wider than the first lines of the input."""
-    from .csv import csv_width
+def _widest_line(spark: SparkSession, paths, spec: JobSpec) -> int:
+    """Most delimiters on one line, plus one."""
+    lines = spark.read.option("recursiveFileLookup", True).option("encoding", spec.encoding).text(paths)
+    found = F.length("value") - F.length(F.replace("value", F.lit(spec.delimiter)))
+    return int(lines.agg(F.max(found)).first()[0] or 0) // len(spec.delimiter) + 1
 
+
+def summarise(spark: SparkSession, paths, spec: JobSpec, width: int | None = None) -> tuple[DataFrame, int, int]:
+    """(blocks, width, header): a row per file block, the width of records, and the index of the header row among all records. One read after
+    the widest line is known; a second one where records are wider still, as those of several lines or in other encodings may be."""
     skip = set(spec.skiprows)
     header = [i for i in range(int(spec.header_row) + len(skip) + 1) if i not in skip][int(spec.header_row)]
     known = width or spec.csv_width
-    lines = spark.read.option("recursiveFileLookup", True).option("encoding", spec.encoding).text(paths).limit(200)
-    width = known or int(lines.agg(F.max(F.size(F.split("value", re.escape(spec.delimiter), -1)))).first()[0] or 1)
+    exact = known or not spec.multiline and spec.encoding.lower() in ("utf-8", "utf8")     # no record is wider than the widest line
+    width = known or _widest_line(spark, paths, spec)
     while True:
-        raw = _read(spark, paths, spec, width, corrupt=not known)
+        raw = _read(spark, paths, spec, width, corrupt=not exact)
         raw = raw.select("*", _kinds(F.col("vals")).alias("kinds"))
         blocks = _kept(raw.mapInArrow(_summed(max([header, *skip]) + 1), BLOCKS), "csv-blocks")
         over = blocks.agg(F.max("over")).first()[0] or 0
-        if known or over <= width:
+        if exact or over <= width:
             return blocks, width, header
         width = over
 
@@ -108,7 +118,7 @@ def _numbered(blocks: DataFrame) -> DataFrame:
 def read_csv_typed(spark: SparkSession, paths, spec: JobSpec, width: int | None = None, exclude=()) -> DataFrame:
     """``read_csv`` and ``infer_types`` out of one summary: the result reads each file once more. The second read must cut files into the same
     blocks as the first (the same session settings); where it does not, it fails rather than number records wrongly."""
-    from ..operators.project import filter_and_rename
+    from ..operators.project import filter_and_rename, layout_names
     from .csv import NULL_MARKS
 
     paths = [paths] if isinstance(paths, str) else list(paths)
@@ -125,10 +135,11 @@ def read_csv_typed(spark: SparkSession, paths, spec: JobSpec, width: int | None
     raw = raw.withColumn("i", F.coalesce(i, F.raise_error(F.lit("CSV blocks differ from those of the summary")).cast("long")))
     row = F.col("i") - sum(((F.col("i") > s).cast("long") for s in skip), F.lit(0))
     rows = raw.where(~F.col("i").isin(skip)) if skip else raw
-    frame, _ = apply_header(rows.select(FILE, KEY, row.alias("row"), "vals"), spec, heads=heads)
+    frame, _ = apply_header(rows.select(FILE, KEY, row.alias("row"), "vals"), spec, heads=heads,
+                            shown=None if spec.headers else lambda own, columns: layout_names(own, spec, columns))
     data = [c for c in frame.columns if c not in LINEAGE]
     frame = frame.withColumns({c: F.when(~qc(c).isin(*NULL_MARKS), qc(c)) for c in data}) if data else frame
-    frame = frame if spec.headers else filter_and_rename(frame, spec)
+    frame = frame if spec.headers else filter_and_rename(frame, spec, layout=False)
 
     none = (F.col("i") <= header) | F.col("i").isin(skip) if skip else F.col("i") <= header
     count = lambda kinds, least: F.transform(kinds, lambda k: -(k >= least).cast("long"))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import to_num
 from ..operators.discover import first_header_row
 from ..operators.lineage import FILE, KEY, LAYOUT, NUMERIC, ORD, SHEET, file_keys, qc
-from ..session import checkpointed, scratch_path
+from ..session import scratch_path
 from ..spec import JobSpec
 
 log = logging.getLogger(__name__)
@@ -69,11 +69,12 @@ def _unique_names(names: list) -> list[str]:
 
 
 def apply_header(rows: DataFrame, spec: JobSpec, header_rows: DataFrame | None = None,
-                 header_override: DataFrame | None = None, heads: DataFrame | None = None) -> tuple[DataFrame, list[list[str]]]:
+                 header_override: DataFrame | None = None, heads: DataFrame | None = None, shown=None) -> tuple[DataFrame, list[list[str]]]:
     """Turn a row table (skipped rows already dropped) into a frame: header row per file (spec, or ``header_rows`` table),
     names from that row, data rows below it; files with different header layouts are stacked by
     name. ``header_override``: ``(scope…, names array<string>)`` replacing the read names (merged
-    header expansion); ``heads``: the header cells ``(scope…, names)``, where they are known already. Returns the frame and, if all files share one layout, its names.
+    header expansion); ``heads``: the header cells ``(scope…, names)``, where they are known already; ``shown(names, columns)``: what the
+    layout column holds instead of a file's own names, told once per layout. Returns the frame and, if all files share one layout, its names.
 
     Only the names of the result's columns reach the driver; which file has which layout, and where a layout has which
     name, are joined.
@@ -106,10 +107,12 @@ def apply_header(rows: DataFrame, spec: JobSpec, header_rows: DataFrame | None =
     two = layouts.select("names").limit(2).collect()
     if len(two) == 1:
         own = F.array(*[F.lit(c) for c in order])                                 # one layout: no join
+        own = shown(own, order) if shown else own
         cells = [F.try_element_at("vals", F.lit(i + 1)).alias(c) for i, c in enumerate(order)]
     else:  # each file's layout, then each layout's names, both written tables whose size the planner knows
-        data = data.join(head.select(*scope, "__layout"), scope).join(layouts.select("__layout", F.col("columns").alias("__own")), "__layout")
-        own = F.col("__own")
+        data = data.join(head.select(*scope, "__layout"), scope).join(layouts.select(
+            "__layout", F.col("columns").alias("__own"), (shown(F.col("columns"), order) if shown else F.col("columns")).alias("__shown")), "__layout")
+        own = F.col("__shown")
         cells = [F.try_element_at("vals", F.nullif(F.array_position("__own", F.lit(c)), F.lit(0)).cast("int")).alias(c) for c in order]
     out = data.select(*cells, *_lineage(scope), own.alias(LAYOUT))
     return out, [order] if len(two) == 1 else []
@@ -191,7 +194,7 @@ def infer_types(df: DataFrame, exclude=(), stats: DataFrame | None = None) -> Da
     if stats is not None:
         of = lambda c, what: F.coalesce(F.max(F.when(F.col("column") == c, F.col(what))), F.lit(0))
         aggs = [of(c, what).alias(f"{short}{i}") for i, c in enumerate(cols) for what, short in (("cells", "n"), ("numbers", "x"), ("whole", "w"))]
-    stats = checkpointed((df if stats is None else stats).groupBy(*keys).agg(*aggs))
+    stats = _kept((df if stats is None else stats).groupBy(*keys).agg(*aggs), "types")   # joined below: its size is known
     number = [(F.col(f"n{i}") > 0) & (F.col(f"n{i}") == F.col(f"x{i}")) for i in range(len(cols))]
     some = stats.agg(*[F.max(number[i]).alias(f"any{i}") for i in range(len(cols))],
                      *[F.min(number[i] | (F.col(f"n{i}") == 0)).alias(f"all{i}") for i in range(len(cols))],

@@ -106,3 +106,29 @@ def test_records_wider_than_the_first_lines(spark, tmp_path):
     blocks, width, header = summarise(spark, [str(d / "a.csv"), str(d / "b.csv")], JobSpec(source_type="csv"))
     assert (width, header) == (5, 0) and blocks.agg(F.sum("n")).first()[0] == 503
     same(spark, str(d), JobSpec(source_type="csv"))
+
+
+def test_one_summary_where_the_first_lines_are_narrow(spark, tmp_path, monkeypatch):
+    d = tmp_path / "narrow"
+    d.mkdir()
+    (d / "a.csv").write_text("k,v\n" + "".join(f"{i},{i}\n" for i in range(500)))
+    (d / "b.csv").write_text('k,v,w,x\n1,2,3,4\n5,"1,234,567.5",,\n')
+    reads, real = [], csv_summary._read
+    monkeypatch.setattr(csv_summary, "_read", lambda *a, **kw: reads.append(1) or real(*a, **kw))
+    read_csv_typed(spark, str(d), JobSpec(source_type="csv")).collect()
+    assert len(reads) == 2                     # the summary and the result
+    same(spark, str(d), JobSpec(source_type="csv", columns=("w", "v"), column_mappings={"v": "value"}))
+
+
+def test_kinds_by_shape_are_those_of_parsed_numbers(spark):
+    from tessera.functions import to_num
+    from tessera.sources.csv import NULL_MARKS
+
+    rng = random.Random(5)
+    texts = [*NULL_MARKS, None, "0", "-0", "+7", "1.0", "1.", ".5", "-3.25", "999999999.000001", "999999999.0000001", "9" * 15, "9" * 16, "9" * 400, "1e3", "1e-3", "1.50\n",
+             "5\n", " 5", "5 ", "inf", "-Infinity", "1d", "1,5", "--1", "\u0661", "1.0.0"]
+    texts += ["".join(rng.choice("0123456789.+-e ") for _ in range(rng.randint(1, 9))) for _ in range(2000)]
+    x = to_num(F.col("t"))
+    slow = F.when(F.col("t").isNull() | F.col("t").isin(*NULL_MARKS), 0).when(x.isNull(), 1).when(x == F.floor(x), 3).otherwise(2)
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", csv_summary._kinds(F.array("t"))[0].alias("got"), slow.alias("want"))
+    assert [r for r in df.collect() if r["got"] != r["want"]] == []
