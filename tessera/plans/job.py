@@ -144,8 +144,10 @@ def run_job(spark: SparkSession, spec: JobSpec, paths, out_dir: str, kind: str |
     keys = file_keys(scored)
     data_cols = [c for c in typed.columns if c not in LINEAGE and c != FAILS]
     by_layout = LAYOUT in scored.columns
-    presence = [F.array_distinct(F.flatten(F.collect_set(LAYOUT))).alias("__names")] if by_layout else []
-    stats = scored.groupBy(*keys).agg(*row_counts(), *presence, *fails)
+    stats = scored.groupBy(*keys, *[LAYOUT] * by_layout).agg(*row_counts(), *fails)
+    if by_layout:  # rows are counted by file and layout, so that the names are gathered from few rows
+        counts = [c for c in stats.columns if c not in (*keys, LAYOUT)]
+        stats = stats.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in counts], F.array_distinct(F.flatten(F.collect_set(LAYOUT))).alias("__names"))
     if not row_local:
         stats = stats.join(typed.groupBy(*keys).agg(F.sum(FAILS).cast("long").alias("errors")), keys, "left")
         typed = typed.drop(FAILS)
