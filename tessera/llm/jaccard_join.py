@@ -76,8 +76,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settin
     sets = stored(_sets(docs.select(F.col(id_col).alias("id"), F.encode(F.col(text_col), "utf-8").alias("text")), remaining, kind, settings), "sets")
     named = None
     for rank in range(settings.rounds + 1):
-        found = stored(_round(sets, named, rank if rank < settings.rounds else None, kind, settings), f"links{rank}")
-        joined = components(found, "a", "b")
+        joined = components(_round(sets, named, rank if rank < settings.rounds else None, kind, settings))  # writes the edges itself
         if named is None:
             named = joined.withColumnsRenamed({"node": "rep", "component": "comp"})
             continue

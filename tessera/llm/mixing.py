@@ -3,9 +3,10 @@
 Of all document rates that meet the token constraints, entropy balancing takes those closest (in relative entropy
 weighted by tokens) to taking every document once. Its solution is an exponential tilt: the rate of a document is the
 exponential of the sum of one multiplier for each group it belongs to. The convex dual has one variable for each
-constraint, and Newton's method solves it: each step needs only the tokens of the constraint's groups at the current
-rates, an aggregation over the table of group combinations that Spark derives from all documents. Several margins (source, language, ...)
-are balanced by turns, as the Hessian is diagonal within each of them.
+constraint, and Newton's method solves it. Several margins (source, language, ...) are balanced by turns, as the Hessian is
+diagonal within each of them: a turn needs only the tokens of the margin's groups at the current rates, an aggregation over the table of
+group combinations that Spark derives from all documents, and takes every step of each group on its row. Each query of a turn costs the
+driver memory, however small the tables are; one margin needs one turn.
 
 Rates are rounded into copies so that every document gets the whole number below or above its rate and every source's tokens come
 as near to its target as a document allows: documents of a source are ordered by size, the copies follow the running sum
@@ -57,8 +58,8 @@ def balance(cells: DataFrame, margins: dict[str, DataFrame], tokens: str = "toke
     """``cells`` with ``rate``: the exponential tilt under which the tokens of every group of every margin meet its target.
 
     ``cells``: one row per combination of groups with its tokens; ``margins``: column -> (column, target). Null is a group like another.
-    A target of 0, and one of a group without tokens, leaves rate 0 and 1 there. ``steps`` bounds the Newton steps;
-    they end when no group is further than ``near`` from its target, in shares of it.
+    A target of 0, and one of a group without tokens, leaves rate 0 and 1 there. ``steps`` bounds the turns, and the Newton steps of a
+    turn; with several margins the turns end when no group is further than ``near`` from its target, in shares of it.
     """
     state = {c: t.select(F.col(c).alias("g"), F.col("target").cast("double").alias("target"), F.lit(0.0).alias("lam")) for c, t in margins.items()}
 
@@ -70,18 +71,21 @@ def balance(cells: DataFrame, margins: dict[str, DataFrame], tokens: str = "toke
             total = total + F.coalesce(f"__l{k}", F.lit(0.0))
         return out.withColumn("rate", F.exp(total)).drop(*[f"__l{k}" for k in range(len(state))])
 
-    for step in range(steps):
+    def step(by, _):
+        # gradient target - now, Hessian now; the first steps are kept short where the curve is far from a parabola
+        now = F.col("now") * F.exp(by)
+        return by + F.greatest(F.lit(-1.0), F.least(F.lit(1.5), (F.col("target") - now) / now))
+
+    for _ in range(steps):
         worst = 0.0
         for c in margins:
             now = rated().groupBy(F.col(c).alias("h")).agg(F.sum(F.col(tokens) * F.col("rate")).alias("now"))
-            both = state[c].join(now, F.col("g").eqNullSafe(F.col("h")), "left").drop("h")
-            # gradient target - now, Hessian now; the first steps are kept short where the curve is far from a parabola
-            move = F.when(F.coalesce("now", F.lit(0.0)) <= 0, 0.0).otherwise(
-                F.greatest(F.lit(-1.0), F.least(F.lit(1.5), (F.col("target") - F.col("now")) / F.col("now"))))
-            off = F.when((F.coalesce("now", F.lit(0.0)) > 0) & (F.col("target") > 0), F.abs(F.col("now") / F.col("target") - 1)).otherwise(0.0)
-            done = stored(both.select("g", "target", (F.col("lam") + F.when(F.col("target") > 0, move).otherwise(
-                F.when(F.coalesce("now", F.lit(0.0)) > 0, -800.0 - F.col("lam")).otherwise(0.0))).alias("lam"), off.alias("off")), "dual")
-            worst = max(worst, done.agg(F.max("off")).first()[0] or 0.0)
+            both = state[c].join(now, F.col("g").eqNullSafe(F.col("h")), "left").drop("h").withColumn("now", F.coalesce("now", F.lit(0.0)))
+            move = F.when(F.col("now") <= 0, 0.0).when(F.col("target") > 0, F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.lit(0.0), step)).otherwise(-800.0 - F.col("lam"))
+            off = F.when((F.col("now") > 0) & (F.col("target") > 0), F.abs(F.col("now") / F.col("target") - 1)).otherwise(0.0)
+            done = stored(both.select("g", "target", (F.col("lam") + move).alias("lam"), off.alias("off")), "dual")
+            if len(margins) > 1:
+                worst = max(worst, done.agg(F.max("off")).first()[0] or 0.0)
             state[c] = done.drop("off")
         if worst <= near:
             break
@@ -103,6 +107,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     cells = stored(base.groupBy("src", "size", "salt").agg(F.count("*").alias("n")), "mix-cells")
     named = F.when(F.col("src") != "", F.substring("src", 2, 1 << 30))
     sizes = cells.groupBy("src").agg(F.sum(F.col("size") * F.col("n")).alias("size")).select(named.alias("source"), "size")
+    sizes = stored(sizes, "mix-sizes")
     targets = stored(source_targets(sizes, cycle, most), "mix-targets")
     rates = balance(sizes.withColumnRenamed("size", "tokens"), {"source": targets}).select(F.col("source").alias("s"), F.round("rate", 9).alias("rate"))
     per = targets.join(rates, F.col("source").eqNullSafe(F.col("s"))).select(

@@ -88,3 +88,17 @@ def test_two_margins_meet_both_targets(spark):
         assert np.isclose(sum(r.tokens * r.rate for r in out if r.l == k), t, rtol=1e-9)
     rate = {(r.s, r.l): np.log(r.rate) for r in out}  # an exponential tilt: one multiplier for each group
     assert np.isclose(rate["a", "x"] - rate["a", "y"], rate["b", "x"] - rate["b", "y"])
+
+
+def test_one_margin_takes_one_turn(spark, monkeypatch):
+    """Every query of a turn costs the driver memory, so one margin is balanced by one, however far its targets are."""
+    names, real = [], mixing.stored
+    monkeypatch.setattr(mixing, "stored", lambda df, name: names.append(name) or real(df, name))
+    tokens = {"a": 10.0, "b": 7.0, None: 100.0, "empty": 0.0, "gone": 5.0, "same": 3.0}
+    targets = {"a": 30.0, "b": 7e-4, None: 1e8, "empty": 0.0, "gone": 0.0, "same": 3.0}
+    cells = spark.createDataFrame(list(tokens.items()), "s string, tokens double")
+    out = mixing.balance(cells, {"s": spark.createDataFrame(list(targets.items()), "s string, target double")}).collect()
+    assert len(out) == 6 and names == ["dual"]
+    for r in out:
+        assert np.isclose(r.tokens * r.rate, targets[r.s], rtol=1e-9, atol=0), r
+    assert {r.s: r.rate for r in out if r.s in ("empty", "gone", "same")} == {"empty": 1.0, "gone": 0.0, "same": 1.0}
